@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from .language_id import op5_language_id
+from .line_dedup import OP6_SQL, op6_line_dedup
+from .mixing import op1_mix_sources
+from .packing import op8_pack_sequences
 from .simhash import op10_simhash_near_dedup
 
-_ALL = (op10_simhash_near_dedup,)
+_ALL = (op1_mix_sources, op5_language_id, op6_line_dedup, op8_pack_sequences, op10_simhash_near_dedup)
 
 
 def queries() -> dict:
@@ -12,4 +16,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_line_dedup": OP6_SQL}
