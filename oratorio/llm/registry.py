@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from .fingerprints import op3_weighted_fingerprints
+from .html_extract import op7_html_main_text
 from .language_id import op5_language_id
 from .line_dedup import OP6_SQL, op6_line_dedup
+from .media import op2_image_copies
 from .mixing import op1_mix_sources
 from .packing import op8_pack_sequences
+from .pii import op4_personal_data
 from .simhash import op10_simhash_near_dedup
+from .suffix_dedup import op9_suffix_dedup
 
-_ALL = (op1_mix_sources, op5_language_id, op6_line_dedup, op8_pack_sequences, op10_simhash_near_dedup)
+_ALL = (
+    op1_mix_sources, op2_image_copies, op3_weighted_fingerprints, op4_personal_data, op5_language_id, op6_line_dedup,
+    op7_html_main_text, op8_pack_sequences, op9_suffix_dedup, op10_simhash_near_dedup,
+)
 
 
 def queries() -> dict:
