@@ -8,8 +8,11 @@ multiples of the sequence length, without moving a row. Only the last sequence i
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,14 +26,23 @@ from .common import own_columns, table, written
 SEQUENCE = 2048
 END = 1
 #: Chunks kept by a Python worker with their ids; when full, it starts anew.
-CACHED = 400_000
+CACHED = 600_000
+#: Letters of ASCII and Latin-1, and ASCII punctuation but for the apostrophe, which may begin a suffix.
+PLAIN = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]*)([!-&(-/:-@\[-`{-~]*)")
+#: The usual printable stand-ins for bytes in byte-level vocabularies, for the letters of PLAIN.
+_printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_stand_in = {b: chr(b) for b in _printable} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _printable)}
+BYTES = {c: "".join(_stand_in[b] for b in chr(c).encode()) for c in range(0xDF, 0x100)}
 
 
 class Encoder:
     """Ids of texts by a tokenizers file whose pre-tokenizer drops white space.
 
     No token crosses white space, so a text is cut at ASCII white space and each distinct chunk is
-    tokenised once as long as it is cached. Ids are 16 bits wide here, or 32 for larger vocabularies.
+    tokenised once as long as it is cached. If the file lower-cases, normalises to NFC, splits letters
+    from the rest and has byte-level merges, a chunk of plain letters with punctuation behind it goes
+    to the merges at once; all others go through the whole tokenizer. Ids are 16 bits wide here, or 32
+    for larger vocabularies.
     """
 
     def __init__(self, path: str):
@@ -38,22 +50,51 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.width = array(self.code).itemsize
         self.cache: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        self.marks = [t.content.encode()[:2] for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(path) as f:
+            self.plain = _is_plain(json.load(f))
+
+    def _ids(self, piece: str) -> bytes:
+        return array(self.code, [t.id for t in self.model.tokenize(piece.translate(BYTES))]).tobytes()
+
+    def _chunk(self, chunk: bytes) -> bytes:
+        if self.plain and (m := PLAIN.fullmatch(chunk.decode("utf-8", "replace").lower())):
+            out = b""
+            for part in m.groups():
+                if part:
+                    key = part.encode()
+                    if (own := self.cache.get(key)) is None:
+                        own = self.cache[key] = self._ids(part)
+                    out += own
+            return out
+        text = chunk.decode("utf-8", "replace")
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        missing = list({c for chunks in split for c in chunks}.difference(self.cache))
-        if len(self.cache) + len(missing) > CACHED:
-            self.cache.clear()
-            missing = list({c for chunks in split for c in chunks})
-        for at in range(0, len(missing), 1024):
-            part = missing[at : at + 1024]
-            found = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in part], add_special_tokens=False)
-            for c, e in zip(part, found, strict=True):
-                self.cache[c] = np.array(e.ids, self.dtype).tobytes()
-        end = np.array([END], self.dtype).tobytes()
-        return [b"".join(map(self.cache.__getitem__, chunks)) + end for chunks in split]
+        end, out, cache = array(self.code, [END]).tobytes(), [], self.cache
+        if len(cache) > CACHED:
+            cache.clear()
+        for t in texts:
+            data = (t or "").encode("utf-8", "surrogatepass")
+            # case matters only to added tokens, which are found before lower-casing
+            chunks = (data.lower() if self.plain and not any(m in data for m in self.marks) else data).split()
+            for c in set(chunks).difference(cache):
+                cache[c] = self._chunk(c)
+            out.append(b"".join(map(cache.__getitem__, chunks)) + end)
+        return out
+
+
+def _is_plain(spec: dict) -> bool:
+    """Whether the file's normalizer and pre-tokenizer do to plain Latin letters, lower-cased, and to
+    punctuation behind them nothing but part the two."""
+    norm = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+    pre = [x.get("type") for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+    split = next((x["pattern"].get("Regex", "") for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if x.get("type") == "Split"), "")
+    return norm == ["NFC", "Replace", "Lowercase"] and pre == ["Split", "ByteLevel"] and split.endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
 def tokenised(docs: DataFrame, tokenizer_path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -61,7 +102,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, text: str = "text", doc_id:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, start = Encoder(tokenizer_path), TaskContext.get().partitionId(), 0
-        width = encoder.dtype.itemsize
+        width = encoder.width
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 piece = b.slice(at, 64)
