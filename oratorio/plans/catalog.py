@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from . import q_errors  # noqa: F401
+from . import q_errors, q_relational  # noqa: F401

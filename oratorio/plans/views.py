@@ -123,7 +123,7 @@ labels_log AS (
 def turns(spark: SparkSession, d: str) -> DataFrame:
     """events as turns: each user is a speaker, each hour of the table an episode's second scale."""
     e = table(spark, d, "events").select("event_id", "user_id", "ts", "value", "event_type")
-    start = F.unix_micros("ts") / F.lit(1000000.0)
+    start = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1000000.0)
     return e.select(F.col("event_id").alias("turn_id"), (F.col("user_id") % 10).alias("episode"), F.col("user_id").alias("speaker"), F.col("event_type").alias("kind"), start.alias("start"), (start + F.col("value")).alias("end"))
 
 
