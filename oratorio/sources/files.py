@@ -35,7 +35,12 @@ def put_text(spark: SparkSession, path: str, text: str) -> None:
 
 
 def get_text(spark: SparkSession, path: str) -> str:
-    return "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+    fs, p = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 def renamed(spark: SparkSession, source: str, target: str, replace: bool = False) -> None:
