@@ -12,8 +12,9 @@ is the start of such a string. Sorting all suffixes of a large corpus is not nee
    by their first eight bytes, and then by mergesort, in which two suffixes are compared by a binary
    search for their common extension over prefix polynomial hashes. Neighbours with a common extension
    of ``length`` are compared byte for byte before they count.
-4. A minimum with more than ``GROUP`` different segments would not fit a task: its suffixes are dealt by
-   two independent 64-bit hashes of their first ``length`` bytes instead, where equal ones meet.
+4. A minimum with more than ``GROUP`` different segments would not fit a task. Its segments are cut into
+   blocks of ``BLOCK`` starts, on which step 2 is done again; what is left is dealt by two independent
+   64-bit hashes of the first ``length`` bytes of each suffix, where equal ones meet.
 
 Texts are worked on in steps, so memory does not grow with their length.
 """
@@ -35,6 +36,7 @@ LENGTH = 200
 GRAM = 64
 STEP = 1 << 18
 GROUP = 256
+BLOCK = 16
 #: Suffixes sorted at once.
 BATCH = 1 << 17
 MASK = (1 << 64) - 1
@@ -208,33 +210,74 @@ def _find(length: int):
 
 
 def _fetch(length: int):
-    """Brings the text of the segments asked for; of those of hot minima, two hashes of each suffix."""
+    """Brings the text of the segments asked for. Those of hot minima come in blocks of BLOCK starts,
+    counted from the minimum, so that equal texts have equal blocks, with two hashes of each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "th", "least", "first", "data", "one", "two"]
+        names = ["doc_id", "th", "least", "block", "first", "data", "one", "two"]
         for b in batches:
             for k in range(b.num_rows):
-                data, wanted = b.column(2)[k].as_buffer(), b.column(3)[k].as_py()
-                out: list[list] = [[], [], [], [], []]
-                for w in wanted:
+                data, out = b.column(2)[k].as_buffer(), []
+                for w in b.column(3)[k].as_py():
                     text = data[w["first"] : w["first"] + w["n"] + length - 1].to_pybytes()
                     if not w["hot"]:
-                        for c, v in zip(out, (w["least"], w["first"], text, None, None), strict=True):
-                            c.append(v)
+                        out.append((w["least"], None, w["first"], text, None, None))
                         continue
-                    for at in range(0, w["n"], STEP):
-                        piece = np.frombuffer(text, np.uint8)[at : at + STEP + length - 1]
-                        hashes = [Prefixes(piece, i).every(length).view(np.int64).tolist() for i in (0, 1)]
-                        m = len(hashes[0])
-                        for c, v in zip(out, ([w["least"]] * m, range(w["first"] + at, w["first"] + at + m), [None] * m, *hashes), strict=True):
-                            c.extend(v)
-                if out[0]:
-                    same = pa.array([k] * len(out[0]), pa.int32())
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(same), b.column(1).take(same), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.int64())], names)
+                    piece = np.frombuffer(text, np.uint8)
+                    one, two = Prefixes(piece, 0), Prefixes(piece, 1)
+                    at = int(np.flatnonzero(one.every(GRAM).view(np.int64) == w["least"])[0])
+                    block = (at - np.arange(w["n"])) // BLOCK
+                    low = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+                    high = np.append(low[1:], w["n"]) + length - 1
+                    hashes = [h.of(low, high).view(np.int64).tolist() for h in (one, two)]
+                    out += [(w["least"], int(block[x]), w["first"] + x, text[x:y], h, g) for x, y, h, g in zip(low.tolist(), high.tolist(), *hashes, strict=True)]
+                if out:
+                    same = pa.array([k] * len(out), pa.int32())
+                    columns = list(zip(*out, strict=True))
+                    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(same), b.column(1).take(same), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names)
 
     return run
 
 
+def _windows(length: int):
+    """Two hashes of each string of `length` bytes of the blocks given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of, starts, ones, twos = [], [], [], []
+            for k, (first, data) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                piece = np.frombuffer(data, np.uint8)
+                one, two = (Prefixes(piece, i).every(length).view(np.int64) for i in (0, 1))
+                of += [k] * len(one)
+                starts.append(first + np.arange(len(one)))
+                ones.append(one)
+                twos.append(two)
+            if of:
+                take = pa.array(of, pa.int32())
+                columns = [pa.array(np.concatenate(c)) for c in (starts, ones, twos)]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), columns[0].cast(pa.int32()), columns[1], columns[2]], ["doc_id", "th", "s", "one", "two"])
+
+    return run
+
+
+def _hot_spans(blocks: DataFrame, kind: str, length: int) -> DataFrame:
+    """The repeated spans of blocks, however many there are of one minimum: whole blocks that stand
+    twice, and of one copy of each different block the strings that do."""
+    end = F.col("first") + F.octet_length("data")
+    texts = blocks.groupBy("least", "block", "one", "two").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "first")).alias("at"))
+    texts = written(texts, "block-texts")
+    several = texts.groupBy("least", "block").agg(F.count("*").alias("m")).where("m > 1").select("least", "block")
+    keys = ["least", "block", "one", "two"]
+    whole = blocks.join(texts.where("c > 1").select(*keys), keys, "left_semi").select("doc_id", "th", F.col("first").alias("s"), end.alias("e"))
+    places = texts.join(several, ["least", "block"], "left_semi").select(F.col("at.doc_id").alias("d"), F.col("at.th").alias("t"), F.col("at.first").alias("f"))
+    chosen = blocks.join(places, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")) & (F.col("first") == F.col("f")), "left_semi")
+    windows = written(chosen.select("doc_id", "th", "first", "data").mapInArrow(_windows(length), f"doc_id {kind}, th bigint, s int, one bigint, two bigint"), "windows")
+    same = windows.groupBy("one", "two").agg(F.count("*").alias("c")).where("c > 1").select("one", "two")
+    met = windows.join(same, ["one", "two"], "left_semi").select("doc_id", "th", "s", (F.col("s") + length).alias("e"))
+    return whole.unionByName(met)
+
+
 def _sort(length: int):
     """Rows of one minimum stand together; the suffixes of as many minima as fit are sorted at once."""
 
@@ -294,7 +337,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeated_spans(rows: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """Rows (doc_id, th, s, e), spans of bytes to remove, from rows (doc_id, th, data)."""
     kind = rows.schema["doc_id"].dataType.simpleString()
     spark = rows.sparkSession
@@ -310,20 +353,18 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     whole = joined.where("c > 1").select("doc_id", "th", F.col("first").alias("s"), (F.col("first") + F.col("n") + (length - 1)).alias("e"))
     # one copy of each different segment, where a minimum has several
     chosen = joined.where("m > 1").groupBy("least", "seg", "n").agg(F.min(F.struct("doc_id", "th", "first")).alias("at"), F.max("m").alias("m"))
-    wanted = chosen.select("at.doc_id", "at.th", F.struct("least", "at.first", "n", (F.col("m") > GROUP).alias("hot")).alias("w")).groupBy("doc_id", "th").agg(F.collect_list("w").alias("wanted"))
+    wanted = chosen.select("at.doc_id", "at.th", F.struct("least", "at.first", "n", (F.col("m") > group).alias("hot")).alias("w")).groupBy("doc_id", "th").agg(F.collect_list("w").alias("wanted"))
     wanted = wanted.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "wanted")
     asked = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["d"]) & (rows["th"] == wanted["t"]))
-    fetched = written(asked.select("doc_id", "th", "data", "wanted").mapInArrow(_fetch(length), f"doc_id {kind}, th bigint, least bigint, first int, data binary, one bigint, two bigint"), "pieces")
+    fetched = written(asked.select("doc_id", "th", "data", "wanted").mapInArrow(_fetch(length), f"doc_id {kind}, th bigint, least bigint, block int, first int, data binary, one bigint, two bigint"), "pieces")
     release(spark)
-    pieces = fetched.where("data is not null").select("doc_id", "th", "least", "first", "data").repartition("least").sortWithinPartitions("least")
+    pieces = fetched.where("block is null").select("doc_id", "th", "least", "first", "data").repartition("least").sortWithinPartitions("least")
     sorted_ = pieces.mapInArrow(_sort(length), f"doc_id {kind}, th bigint, s int, e int")
-    hot = fetched.where("data is null").select("doc_id", "th", F.col("first").alias("s"), "one", "two")
-    same = hot.groupBy("one", "two").agg(F.count("*").alias("c")).where("c > 1")
-    met = hot.join(same, ["one", "two"], "left_semi").select("doc_id", "th", "s", (F.col("s") + length).alias("e"))
-    return written(whole.unionByName(sorted_).unionByName(met), "spans")
+    hot = _hot_spans(fetched.where("block is not null"), kind, length)
+    return written(whole.unionByName(sorted_).unionByName(hot), "spans")
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256), one a row of docs.
 
     Null texts count as empty. A repeated row repeats all of its strings. Whatever other columns docs
@@ -331,7 +372,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     data = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(data).alias("th"), data.cast("binary").alias("data"))
-    spans = repeated_spans(rows, length)
+    spans = repeated_spans(rows, length, group)
     per = spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans")).select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "spans")
     joined = rows.join(per, rows["doc_id"].eqNullSafe(per["d"]) & (rows["th"] == per["t"]), "left")
     kind = rows.schema["doc_id"].dataType.simpleString()
