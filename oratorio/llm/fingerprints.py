@@ -91,9 +91,12 @@ def next_ids(ids: DataFrame) -> DataFrame:
     return ahead.join(firsts, "part").select(*ids.columns, F.coalesce("lead", "after").alias("next_id"))
 
 
-def with_edits(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Rows (doc_id, next_id, n_chars, text, kept, ins): the edited text is kept || ins."""
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+def with_edits(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, next_id, n_chars, text, kept, ins), where the edited text is kept || ins: those with
+    a doc_id, which stay partitioned by it, and those without, which have no next document."""
+    # both joins below read one exchange of the texts: its plan must be the same, so nothing is renamed
+    same = F.col(doc_id) if doc_id == "doc_id" else F.col(doc_id).alias("doc_id")
+    own = docs.select(same, F.coalesce(F.col(text), F.lit("")).alias("text"))
     ids = next_ids(own.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.length("text")).alias("n")))
     ids = written(ids, "next-ids")
     wanted = ids.select(F.col("doc_id").alias("into"), "next_id", F.floor(F.col("n") / 4).cast("int").alias("m"))
@@ -102,11 +105,12 @@ def with_edits(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     known = own.where("doc_id is not null")
     joined = known.join(ids.select("doc_id", "next_id"), "doc_id").join(parts, F.col("doc_id") == F.col("into"), "left").select("doc_id", "next_id", "text", "ins")
     alone = own.where("doc_id is null").select("doc_id", F.col("doc_id").alias("next_id"), "text", F.lit("").alias("ins"))
-    return joined.unionByName(alone).select(
+    parts = (
         "doc_id", "next_id", F.length("text").cast("long").alias("n_chars"), "text",
         F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 4) as int))").alias("kept"),
         F.expr("substring(coalesce(ins, ''), 1, cast(floor(length(text) / 4) as int))").alias("ins"),
     )
+    return joined.select(*parts), alone.select(*parts)
 
 
 def op3_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +124,17 @@ def edited_fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     document's part and fingerprint are the smallest of them. A row without doc_id has no next
     document: nothing is put in, and near_next is null. A single document is its own next one.
     """
-    edits = with_edits(docs, text, doc_id)
+    known, alone = with_edits(docs, text, doc_id)
+    own = written(_signed(known).unionByName(_signed(alone)), "fingerprints")
+    after = own.groupBy(F.col("doc_id").alias("id")).agg(F.min("fingerprint").alias("next_fingerprint"))
+    return own.join(after, own["next_id"] == after["id"], "left").select(
+        "doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+    )
+
+
+def _signed(edits: DataFrame) -> DataFrame:
+    """Both fingerprints of each edit. The aggregations keep the partitioning by doc_id."""
     spaced = F.col("kept").rlike("[\\x20\\x09-\\x0D]\\z")
     step = edits.select(
         "doc_id", "next_id", "n_chars", F.xxhash64("text").alias("th"), F.unhex(F.sha2(F.concat("kept", "ins"), 256)).alias("sha"),
@@ -139,17 +153,8 @@ def edited_fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     step = step.withColumn("shingles", shingled(F.col("own"))).withColumn("edited", shingled(F.col("tail"))).withColumn("both", both)
     row = lambda part, w: F.struct(part.alias("part"), *[w[f"w{i}"].alias(f"w{i}") for i in range(SHINGLE)])
     every = F.concat(F.transform("shingles", lambda w, i: row((i >= F.col("both")).cast("int"), w)), F.transform("edited", lambda w: row(F.lit(2), w)))
-    return _finish(step.select(*keys, every.alias("every")).select(*keys, F.inline_outer("every")), keys)
-
-
-def _finish(rows: DataFrame, keys: list[str]) -> DataFrame:
+    rows = step.select(*keys, every.alias("every")).select(*keys, F.inline_outer("every"))
     names = [f"s{k}" for k in range(SAMPLES)]
     parts = samples(rows, [*keys, "part"])
     merged = parts.groupBy(*keys).agg(*[F.min(F.when(F.col("part") != 2, F.col(s))).alias(f"a{s}") for s in names], *[F.min(F.when(F.col("part") != 1, F.col(s))).alias(f"b{s}") for s in names])
-    own = merged.select(*keys, fingerprint_text([F.col(f"a{s}") for s in names]).alias("fingerprint"), fingerprint_text([F.col(f"b{s}") for s in names]).alias("edited_fingerprint"))
-    own = written(own, "fingerprints")
-    after = own.groupBy(F.col("doc_id").alias("id")).agg(F.min("fingerprint").alias("next_fingerprint"))
-    return own.join(after, own["next_id"] == after["id"], "left").select(
-        "doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
-    )
+    return merged.select(*keys, fingerprint_text([F.col(f"a{s}") for s in names]).alias("fingerprint"), fingerprint_text([F.col(f"b{s}") for s in names]).alias("edited_fingerprint"))
