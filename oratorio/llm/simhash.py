@@ -25,6 +25,8 @@ from .common import lower_hex, own_columns, release, table, written
 from .graph import components
 
 SEED = 42
+#: Buckets up to this size are compared within one row, larger ones as a group.
+FEW = 32
 MASK = (1 << 64) - 1
 
 
@@ -103,7 +105,9 @@ def links(distinct: DataFrame, max_distance: int = 3, extra: int = 3, dense: int
         sizes = rows.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1")
         shared = written(rows.join(sizes, ["mask", "key"]), "buckets")
         small = shared if bounded else shared.where(F.col("n") <= dense)
-        found.append(written(small.groupBy("mask", "key").applyInPandas(_forest(max_distance), "a bigint, b bigint").distinct(), "links"))
+        few = small.where(F.col("n") <= FEW).groupBy("mask", "key").agg(F.collect_list("fp").alias("fps"))
+        more = small.where(F.col("n") > FEW).groupBy("mask", "key").applyInPandas(_forest(max_distance), "a bigint, b bigint")
+        found.append(written(_near_pairs(few, max_distance).unionByName(more).distinct(), "links"))
         if bounded:
             break
         large = shared.where(F.col("n") > dense).select("mask", "fp")
@@ -126,6 +130,15 @@ def links(distinct: DataFrame, max_distance: int = 3, extra: int = 3, dense: int
     return out
 
 
+def _near_pairs(few: DataFrame, distance: int) -> DataFrame:
+    """The pairs within distance of buckets of at most FEW fingerprints."""
+
+    def partners(x):
+        return F.transform(F.filter("fps", lambda y: (y > x) & (F.bit_count(x.bitwiseXOR(y)) <= distance)), lambda y: F.struct(x.alias("a"), y.alias("b")))
+
+    return few.select(F.inline(F.flatten(F.transform("fps", partners))))
+
+
 def _keyed(fps: DataFrame, masks: list[int]) -> DataFrame:
     pairs = F.explode(F.array(*[F.struct(F.lit(_signed(m)).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for m in masks]))
     return fps.select("fp", pairs.alias("k")).select("k.mask", "k.key", "fp")
