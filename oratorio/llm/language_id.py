@@ -23,6 +23,7 @@ UNKNOWN = "und"
 LETTERS = regex.compile(r"\p{L}+")
 ORDERS = 4
 STEP = 1 << 20
+BROADCAST_ROWS = 500_000
 
 
 def normalised(text: str | None) -> bytes:
@@ -97,8 +98,16 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     the profiles, top n-grams a language.
     """
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("lang is not null and text is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)), "doc_id")
-    chosen = rows.select("lang", "doc_id").withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_per_language).select("lang", "doc_id").distinct()
+    # few rows a language come to one task: first those under a threshold that lets three times as many
+    # through as are needed, which counts of the languages give; a language with few documents keeps all
+    draw = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)), 11) / float(1 << 53)
+    drawn = rows.select("lang", "doc_id").withColumn("draw", draw)
+    sizes = drawn.groupBy("lang").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("lang").orderBy("draw", "doc_id")
+    near = drawn.join(sizes, "lang").where(F.col("draw") * F.col("n") < 3 * sample_per_language)
+    chosen = written(near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_per_language).select("lang", "doc_id").distinct(), "sample-ids")
+    if chosen.count() <= BROADCAST_ROWS:  # sample_per_language for each language: small unless languages are very many
+        chosen = F.broadcast(chosen)
     sample = rows.join(chosen, ["lang", "doc_id"], "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
