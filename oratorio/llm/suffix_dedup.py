@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, table, written
+from .common import discard, release, table, written
 
 LENGTH = 200
 GRAM = 64
@@ -344,6 +344,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, group: int = GROUP) ->
     found = written(rows.where(F.octet_length("data") >= length).mapInArrow(_find(length), f"doc_id {kind}, th bigint, least bigint, seg bigint, first int, n int"), "segments")
     twice = found.groupBy("least").agg(F.count("*").alias("c")).where("c > 1").select("least")
     live = written(found.join(twice, "least", "left_semi"), "shared-segments")
+    discard(found)
     release(spark)
     texts = live.groupBy("least", "seg", "n").agg(F.count("*").alias("c"))
     kinds = texts.groupBy("least").agg(F.count("*").alias("m"))
@@ -361,7 +362,10 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, group: int = GROUP) ->
     pieces = fetched.where("block is null").select("doc_id", "th", "least", "first", "data").repartition("least").sortWithinPartitions("least")
     sorted_ = pieces.mapInArrow(_sort(length), f"doc_id {kind}, th bigint, s int, e int")
     hot = _hot_spans(fetched.where("block is not null"), kind, length)
-    return written(whole.unionByName(sorted_).unionByName(hot), "spans")
+    spans = written(whole.unionByName(sorted_).unionByName(hot), "spans")
+    discard(live, texts, fetched)
+    release(spark)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, group: int = GROUP) -> DataFrame:
