@@ -10,6 +10,7 @@ of images. Equal images are one class with one set of descriptors.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -26,6 +27,8 @@ PATCH = 13
 MARGIN = PATCH + 1
 CORNERS = 48
 DISTANCE = 3
+_gap = rb"(?:\s|#[^\n]*\n)+"
+PNM = re.compile(rb"P([56])" + _gap + rb"(\d+)" + _gap + rb"(\d+)" + _gap + rb"(\d+)\s")
 AGREE = 4
 #: Widths of the cells in which votes meet: of the shift in pixels, of rotation in degrees, of log2 scale.
 CELL = (8.0, 30.0, 0.5)
@@ -36,22 +39,9 @@ TESTS = np.clip(np.rint(_random.normal(0, PATCH / 2.2, (128, 2, 2))), -9, 9)
 def decode(data: bytes | None) -> np.ndarray | None:
     """Grey values of a binary PGM or PPM, or an 8-bit PNG without interlace; None if it is neither."""
     try:
-        if data and data[:2] in (b"P5", b"P6"):
-            head, at = [], 2
-            while len(head) < 3:
-                while data[at : at + 1].isspace():
-                    at += 1
-                if data[at : at + 1] == b"#":
-                    at = data.index(b"\n", at)
-                    continue
-                end = at
-                while not data[end : end + 1].isspace():
-                    end += 1
-                head.append(int(data[at:end]))
-                at = end
-            w, h, top = head
-            n = 3 if data[1:2] == b"6" else 1
-            a = np.frombuffer(data, np.uint8, w * h * n, at + 1).reshape(h, w, n)
+        if data and (m := PNM.match(data)):
+            n, w, h, top = 3 if m[1] == b"6" else 1, *map(int, m.groups()[1:])
+            a = np.frombuffer(data, np.uint8, w * h * n, m.end()).reshape(h, w, n)
             return a.mean(2, dtype=np.float32) * (255 / top) if w and h else None
         if data and data[:8] == b"\x89PNG\r\n\x1a\n":
             return _png(data)
