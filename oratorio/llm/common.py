@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import re
 import shutil
 import tempfile
 import uuid
@@ -26,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
     if path:
         return path.rstrip("/")
-    if not (spark.sparkContext.master or "").startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master or ""):
         raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     path = tempfile.mkdtemp(prefix="oratorio-")
     atexit.register(shutil.rmtree, path, ignore_errors=True)
@@ -44,15 +46,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_to = path
+    if not _kept:
+        atexit.register(_clean)
+    _kept.append(out)
     return out
 
 
+#: What this process has written and not yet discarded; deleted when it ends, as no result outlives it.
+_kept: list[DataFrame] = []
+
+
+def _clean() -> None:
+    for df in _kept:
+        with contextlib.suppress(Exception):  # the session may be gone by then
+            _delete(df)
+
+
+def _delete(df: DataFrame) -> None:
+    spark = df.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of written() that nothing will read again: what came of them is itself written."""
     for df in tables:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df)
+        _kept[:] = [k for k in _kept if k is not df]
 
 
 def release(spark: SparkSession) -> None:
