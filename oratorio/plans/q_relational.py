@@ -421,10 +421,11 @@ def _inv(s, d):
     "g28_category",
     f"""WITH {_INV}, u AS (SELECT *, unnest([{{'c': 'status', 'b': o_orderstatus}}, {{'c': 'tier', 'b': tier}}]) AS x FROM inv), v AS (SELECT x.c AS category, x.b AS bucket, voice, sum(words) AS w FROM u GROUP BY 1, 2, 3), k AS (SELECT category, bucket, count(voice) AS voices, count(*) FILTER (w >= 150 AND voice IS NOT NULL) AS usable_voices FROM v GROUP BY 1, 2),
 g AS (SELECT x.c AS category, x.b AS bucket, sum(duration / 3600) AS hours, count(*) AS clips, count(DISTINCT episode) AS episodes, sum(CASE WHEN tier = 'verified' THEN duration / 3600 ELSE 0 END) AS verified_hours, sum(CASE WHEN tier = 'screened' THEN duration / 3600 ELSE 0 END) AS screened_hours, sum(CASE WHEN pot = 'gold' THEN duration / 3600 ELSE 0 END) AS gold_hours, sum(CASE WHEN pot = 'train' THEN duration / 3600 ELSE 0 END) AS train_hours FROM u GROUP BY 1, 2)
-SELECT g.*, voices, usable_voices, hours / sum(hours) OVER (PARTITION BY category) AS share FROM g JOIN k USING (category, bucket)""",
+SELECT category, bucket, clips, episodes, round(hours, 3) AS hours, round(verified_hours, 3) AS verified_hours, round(screened_hours, 3) AS screened_hours, round(gold_hours, 3) AS gold_hours, round(train_hours, 3) AS train_hours, voices, usable_voices, hours / sum(hours) OVER (PARTITION BY category) AS share FROM g JOIN k USING (category, bucket)""",
 )
 def _(s, d):
-    return R.categories(_inv(s, d), F.create_map(F.lit("status"), F.col("o_orderstatus"), F.lit("tier"), F.col("tier")), 150)
+    out = R.categories(_inv(s, d), F.create_map(F.lit("status"), F.col("o_orderstatus"), F.lit("tier"), F.col("tier")), 150)
+    return out.withColumns({f"{c}hours": F.round(f"{c}hours", 3) for c in ("", "verified_", "screened_", "gold_", "train_")})
 
 
 @query("g30_crosstab", f"WITH {_INV} SELECT o_orderstatus, sum(duration) FILTER (tier = 'screened') AS screened, sum(duration) FILTER (tier = 'verified') AS verified FROM inv GROUP BY 1")
