@@ -25,7 +25,7 @@ from .common import release, table, written
 SCALES = (1.0, 0.75, 0.5)
 PATCH = 13
 MARGIN = PATCH + 1
-CORNERS = 48
+CORNERS = 24
 DISTANCE = 3
 _gap = rb"(?:\s|#[^\n]*\n)+"
 PNM = re.compile(rb"P([56])" + _gap + rb"(\d+)" + _gap + rb"(\d+)" + _gap + rb"(\d+)\s")
@@ -168,18 +168,22 @@ def described(images: DataFrame, kind: str, draw: Callable[[object], bytes | Non
 
 
 def _by_word(rows: DataFrame, name: str) -> DataFrame:
-    p = rows.select(F.col("digest").alias(f"{name}"), F.posexplode("points").alias(f"{name}_k", "p")).select(name, f"{name}_k", *[F.col(f"p.{c}").alias(f"{name}_{c}") for c in ("x", "y", "scale", "angle", "w0", "w1", "w2", "w3")])
-    words = F.array(*[F.struct(F.lit(i).alias("at"), F.col(f"{name}_w{i}").alias("word")) for i in range(4)])
-    return p.withColumn("key", F.explode(words)).select("key.at", "key.word", *p.columns)
+    """A row for each word of each point: (at, word), the image, the point's number and values, and the
+    four words packed in two longs."""
+    p = rows.select(F.col("id").alias(name), F.posexplode("points").alias(f"{name}_k", "p"))
+    packed = [F.shiftleft(F.col(f"p.w{2 * k}"), 32).bitwiseOR(F.col(f"p.w{2 * k + 1}")).alias(f"{name}_d{k}") for k in (0, 1)]
+    words = F.array(*[F.struct(F.lit(i).alias("at"), F.col(f"p.w{i}").alias("word")) for i in range(4)])
+    return p.select(F.explode(words).alias("key"), name, f"{name}_k", *[F.col(f"p.{c}").alias(f"{name}_{c}") for c in ("x", "y", "scale", "angle")], *packed).select("key.at", "key.word", "*").drop("key")
 
 
 def matches(queries: DataFrame, images: DataFrame) -> DataFrame:
-    """Rows (query, image, agree) from rows (digest, points), distinct by digest: how many matched
-    corners agree on one rotation, scale and shift; pairs with fewer than AGREE are left out."""
+    """Rows (query, image, agree) from rows (id, points), distinct by id: how many matched corners
+    agree on one rotation, scale and shift; pairs with fewer than AGREE are left out."""
     q, i = _by_word(queries, "q"), _by_word(images, "i")
     pairs = q.join(i, ["at", "word"])
-    apart = sum((F.bit_count(F.col(f"q_w{k}").bitwiseXOR(F.col(f"i_w{k}"))) for k in range(1, 4)), F.bit_count(F.col("q_w0").bitwiseXOR(F.col("i_w0"))))
-    close = pairs.where(apart <= DISTANCE)
+    apart = F.bit_count(F.col("q_d0").bitwiseXOR(F.col("i_d0"))) + F.bit_count(F.col("q_d1").bitwiseXOR(F.col("i_d1")))
+    # a pair of points that shares several words is one match
+    close = pairs.where(apart <= DISTANCE).dropDuplicates(["q", "q_k", "i", "i_k"])
     turn = F.pmod(F.col("i_angle") - F.col("q_angle"), F.lit(360.0))
     grow = F.col("q_scale") / F.col("i_scale")
     c, s = F.cos(F.radians(turn)), F.sin(F.radians(turn))
@@ -195,17 +199,16 @@ def matches(queries: DataFrame, images: DataFrame) -> DataFrame:
 
 
 def drawn(vector: list[float] | None, side: int = 96) -> bytes | None:
-    """A picture of a vector: its values as grey squares, eight in a row. The tables have no image
-    column; this gives them one whose content follows the row."""
+    """A picture of a vector: 16 by 16 grey squares, each from two of its values, so that every part of it
+    differs from other pictures. The tables have no image column; this gives them one."""
     if not vector:
         return None
-    v = np.asarray(vector, np.float32)
+    v = np.asarray(vector, np.float64)
     v = np.nan_to_num((v - v.mean()) / (v.std() + 1e-9))
-    rows = -(-len(v) // 8)
-    cells = np.zeros(rows * 8, np.float32)
-    cells[: len(v)] = v
-    a = np.kron(cells.reshape(rows, 8), np.ones((max(1, side // rows), side // 8), np.float32))
-    return encode(127 + 60 * a)
+    r, c = np.mgrid[0:16, 0:16]
+    n = len(v)
+    cells = v[(3 * r + 5 * c + r * c) % n] + 0.8 * v[(7 * r + 11 * c + 1) % n]
+    return encode(127 + 45 * np.kron(cells, np.ones((side // 16, side // 16))))
 
 
 def edited(data: bytes | None, turn: bool) -> bytes | None:
@@ -230,20 +233,19 @@ def op2_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = rows.schema["vec_id"].dataType.simpleString()
     all_ = written(described(rows, kind, drawn), "described")
     classes = written(all_.where("digest is not null").groupBy("digest").agg(F.min("id").alias("class_id"), F.max(F.col("id") % 50 == 0).alias("asks")), "classes")
-    images = all_.join(classes.select(F.col("class_id").alias("id")), "id", "left_semi").where("digest is not null").dropDuplicates(["digest"]).select("digest", "points")
+    images = all_.join(classes.select(F.col("class_id").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select("id", "points")
     asking = rows.join(classes.where("asks").select(F.col("class_id").alias("vec_id")), "vec_id", "left_semi").dropDuplicates(["vec_id"])
 
     def draw(v: list[float] | None) -> bytes | None:
         data = drawn(v)
         return edited(data, zlib.crc32(data or b"") % 2 == 1)
 
-    edits = described(asking, kind, draw).join(classes.select(F.col("class_id").alias("id"), F.col("digest").alias("source")), "id").select(F.col("source").alias("digest"), "points")
+    edits = described(asking, kind, draw).select("id", "points")
     found = written(matches(edits, images), "matches")
     release(spark)
-    hits = found.join(classes.select(F.col("digest").alias("image"), F.col("class_id").alias("hit")), "image")
-    best = hits.groupBy("query").agg(F.count("*").alias("n_links"), F.max(F.struct("agree", (-F.col("hit")).alias("least"))).alias("b"))
-    best = best.select(F.col("query").alias("digest"), "n_links", (-F.col("b.least")).alias("found_id"), F.col("b.agree").alias("agree"))
-    of_class = classes.join(best, "digest", "left").select("digest", "class_id", "n_links", "found_id", "agree")
+    best = found.groupBy(F.col("query").alias("class_id")).agg(F.count("*").alias("n_links"), F.max(F.struct("agree", (-F.col("image")).alias("least"))).alias("b"))
+    best = best.select("class_id", "n_links", (-F.col("b.least")).alias("found_id"), F.col("b.agree").alias("agree"))
+    of_class = classes.join(best, "class_id", "left").select("digest", "class_id", "n_links", "found_id", "agree")
     ask = F.col("id") % 50 == 0
     return all_.select("id", "digest").join(of_class, "digest", "left").select(
         F.col("id").alias("vec_id"), F.coalesce("class_id", "id").alias("class_id"),
