@@ -1,7 +1,7 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame functions only.
 
 A document is a set of weighted terms: its shingles of five words (fewer words: the whole sequence),
-lower-cased, each weighing its length in code points, at most 315. For each of the samples, a term
+lower-cased, each weighing how often it stands in the document. For each of the samples, a term
 draws r and c from Gamma(2, 1) and b from U(0, 1), all from hashes of the term, and with its weight w
 
     t = floor(ln w / r + b),   a = c * exp(-r * (t - b + 1)),
@@ -10,7 +10,8 @@ and the document keeps the (term, t) of the least a. Two documents keep the same
 probability of their generalised Jaccard similarity, the weight of what they share by the weight of
 what either has. The fingerprint is the hashes of what is kept; likeness is the share of equal places.
 
-The draws of a term that a document and its edited version share are made once.
+Terms are counted within the row of their document, in sorted arrays, so nothing more is shuffled. The
+draws of a term that a document and its edited version have equally often are made once.
 """
 
 from __future__ import annotations
@@ -41,9 +42,8 @@ def _draw(h: Column, log_w: Column, k: int) -> Column:
 
 
 def word_codes(text: Column) -> Column:
-    """An array of longs: the hash of each word with its length, at most 63, in the low six bits."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
-    return F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit(~63)).bitwiseOR(F.least(F.length(w), F.lit(63)).cast("long")))
+    """An array of longs: the hash of each word."""
+    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))
 
 
 def shingled(codes: Column) -> Column:
@@ -52,12 +52,38 @@ def shingled(codes: Column) -> Column:
     return F.arrays_zip(*[F.slice(codes, i + 1, n).alias(f"w{i}") for i in range(SHINGLE)])
 
 
+def _tagged(w: Column, part: Column) -> Column:
+    """The hash of a shingle, with its part (0, 1 or 2) in the low two bits."""
+    return F.xxhash64(*[w[f"w{i}"] for i in range(SHINGLE)]).bitwiseAND(F.lit(~3)).bitwiseOR(part.cast("long"))
+
+
+def counted(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (keys..., part, h, n) from rows (keys..., tagged), where tagged has a long for each shingle:
+    in part 0 it is of both texts, in 1 of the own and in 2 of the edited one. n is how often h stands in
+    the text; part is 0 where that is the same for both. No shingles give one row of nulls."""
+    rows = rows.select(*keys, F.sort_array("tagged").alias("s"))
+    # each column is read more than once below, so that Spark does not move its making into the lambdas
+    new = lambda x, i: F.when((i == 0) | (F.get("s", i - 1).bitwiseAND(F.lit(~3)) != x.bitwiseAND(F.lit(~3))), i).otherwise(-1)
+    rows = rows.withColumn("starts", F.filter(F.transform("s", new), lambda i: i >= 0))
+
+    def term(at: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("starts", k + 1), F.size("s"))
+        return F.struct(F.get("s", at).bitwiseAND(F.lit(~3)).alias("h"), F.slice("s", at + 1, end - at).alias("g"))
+
+    def row(part: int, h: Column, n: Column) -> Column:
+        return F.struct(F.lit(part).alias("part"), h.alias("h"), n.alias("n"))
+
+    def parts(t: Column) -> Column:
+        own, edited = (F.size(F.filter(t["g"], lambda x: x.bitwiseAND(F.lit(3)) != other)) for other in (2, 1))
+        return F.when(own == edited, F.array(row(0, t["h"], own))).otherwise(F.filter(F.array(row(1, t["h"], own), row(2, t["h"], edited)), lambda r: r["n"] > 0))
+
+    return rows.select(*keys, F.flatten(F.transform(F.transform("starts", term), parts)).alias("terms")).select(*keys, F.inline_outer("terms"))
+
+
 def samples(terms: DataFrame, keys: list[str], n_samples: int = SAMPLES) -> DataFrame:
-    """Rows (keys..., s0 ... ) from rows (keys..., w0 ... w4): the least draw for each sample."""
-    w = [F.col(f"w{i}") for i in range(SHINGLE)]
-    weight = sum((F.coalesce(x.bitwiseAND(F.lit(63)), F.lit(0)) for x in w[1:]), F.coalesce(w[0].bitwiseAND(F.lit(63)), F.lit(0)))
-    rows = terms.select(*keys, F.xxhash64(*w).alias("h"), F.ln(F.greatest(weight, F.lit(1)).cast("double")).alias("log_w"))
-    return rows.groupBy(*keys).agg(*[F.min(_draw(F.col("h"), F.col("log_w"), k)).alias(f"s{k}") for k in range(n_samples)])
+    """Rows (keys..., s0 ... ) from rows (keys..., h, n): the least draw for each sample; h null: none."""
+    rows = terms.select(*keys, "h", F.ln(F.col("n").cast("double")).alias("log_w"))
+    return rows.groupBy(*keys).agg(*[F.min(F.when(F.col("h").isNotNull(), _draw(F.col("h"), F.col("log_w"), k))).alias(f"s{k}") for k in range(n_samples)])
 
 
 def fingerprint_text(sample: list[Column]) -> Column:
@@ -73,8 +99,9 @@ def likeness(a: Column, b: Column, n_samples: int = SAMPLES) -> Column:
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n_samples: int = SAMPLES) -> DataFrame:
     """Rows (doc_id, fingerprint), one for each distinct doc_id and text; null texts count as empty."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(whole).alias("th"), whole.alias("text")).select("doc_id", "th", F.explode_outer(shingled(word_codes(F.col("text")))).alias("w")).select("doc_id", "th", "w.*")
-    return samples(rows, ["doc_id", "th"], n_samples).select("doc_id", fingerprint_text([F.col(f"s{k}") for k in range(n_samples)]).alias("fingerprint"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(whole).alias("th"), word_codes(whole).alias("codes"))
+    rows = rows.select("doc_id", "th", F.transform(shingled(F.col("codes")), lambda w: _tagged(w, F.lit(0))).alias("tagged"))
+    return samples(counted(rows, ["doc_id", "th"]), ["doc_id", "th"], n_samples).select("doc_id", fingerprint_text([F.col(f"s{k}") for k in range(n_samples)]).alias("fingerprint"))
 
 
 def next_ids(ids: DataFrame) -> DataFrame:
@@ -151,9 +178,8 @@ def _signed(edits: DataFrame) -> DataFrame:
     both = F.greatest(F.col("same") - (SHINGLE - 1), F.lit(0))
     keys = ["doc_id", "next_id", "n_chars", "th", "sha"]
     step = step.withColumn("shingles", shingled(F.col("own"))).withColumn("edited", shingled(F.col("tail"))).withColumn("both", both)
-    row = lambda part, w: F.struct(part.alias("part"), *[w[f"w{i}"].alias(f"w{i}") for i in range(SHINGLE)])
-    every = F.concat(F.transform("shingles", lambda w, i: row((i >= F.col("both")).cast("int"), w)), F.transform("edited", lambda w: row(F.lit(2), w)))
-    rows = step.select(*keys, every.alias("every")).select(*keys, F.inline_outer("every"))
+    every = F.concat(F.transform("shingles", lambda w, i: _tagged(w, i >= F.col("both"))), F.transform("edited", lambda w: _tagged(w, F.lit(2))))
+    rows = counted(step.select(*keys, every.alias("tagged")), keys)
     names = [f"s{k}" for k in range(SAMPLES)]
     parts = samples(rows, [*keys, "part"])
     merged = parts.groupBy(*keys).agg(*[F.min(F.when(F.col("part") != 2, F.col(s))).alias(f"a{s}") for s in names], *[F.min(F.when(F.col("part") != 1, F.col(s))).alias(f"b{s}") for s in names])
