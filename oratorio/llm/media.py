@@ -25,7 +25,6 @@ from .common import release, table, written
 SCALES = (1.0, 0.75, 0.5)
 PATCH = 13
 MARGIN = PATCH + 1
-CORNERS = 24
 DISTANCE = 3
 _gap = rb"(?:\s|#[^\n]*\n)+"
 PNM = re.compile(rb"P([56])" + _gap + rb"(\d+)" + _gap + rb"(\d+)" + _gap + rb"(\d+)\s")
@@ -113,7 +112,7 @@ _disc = (_grid[:, None] ** 2 + _grid[None] ** 2 <= 50).astype(np.float32)
 
 
 def describe(a: np.ndarray) -> np.ndarray:
-    """Rows (x, y, scale, angle, word 0, ..., word 3) of the strongest corners at each scale."""
+    """Rows (x, y, scale, angle, word 0, ..., word 3) of all corners at each scale."""
     out = []
     for scale in SCALES:
         s = _smooth(_resized(a, scale))
@@ -126,8 +125,6 @@ def describe(a: np.ndarray) -> np.ndarray:
         inner = np.zeros_like(r, bool)
         inner[MARGIN : h - MARGIN, MARGIN : w - MARGIN] = True
         y, x = np.nonzero(_peaks(r) & inner & (r > 1.0))
-        keep = np.lexsort((x, y, -r[y, x]))[:CORNERS]
-        y, x = y[keep], x[keep]
         if not len(y):
             continue
         patch = s[y[:, None, None] + _grid[None, :, None], x[:, None, None] + _grid[None, None, :]] * _disc
@@ -182,8 +179,10 @@ def matches(queries: DataFrame, images: DataFrame) -> DataFrame:
     q, i = _by_word(queries, "q"), _by_word(images, "i")
     pairs = q.join(i, ["at", "word"])
     apart = F.bit_count(F.col("q_d0").bitwiseXOR(F.col("i_d0"))) + F.bit_count(F.col("q_d1").bitwiseXOR(F.col("i_d1")))
-    # a pair of points that shares several words is one match
-    close = pairs.where(apart <= DISTANCE).dropDuplicates(["q", "q_k", "i", "i_k"])
+    # a pair of points that shares several words is one match: that of the first of them
+    x0, x1, low = F.col("q_d0").bitwiseXOR(F.col("i_d0")), F.col("q_d1").bitwiseXOR(F.col("i_d1")), F.lit((1 << 32) - 1)
+    first = F.when(F.shiftrightunsigned(x0, 32) == 0, 0).when(x0.bitwiseAND(low) == 0, 1).when(F.shiftrightunsigned(x1, 32) == 0, 2).otherwise(3)
+    close = pairs.where((apart <= DISTANCE) & (F.col("at") == first))
     turn = F.pmod(F.col("i_angle") - F.col("q_angle"), F.lit(360.0))
     grow = F.col("q_scale") / F.col("i_scale")
     c, s = F.cos(F.radians(turn)), F.sin(F.radians(turn))
@@ -192,23 +191,26 @@ def matches(queries: DataFrame, images: DataFrame) -> DataFrame:
     # each shift votes in the two nearest cells of either axis, so that no border parts a group
     near = lambda v, w: F.array(F.floor(v / w - 0.5), F.floor(v / w + 0.5))
     angle = F.pmod(F.round(turn / CELL[1]), F.lit(360.0 / CELL[1])).cast("int")
-    voted = close.select("q", "i", "q_k", angle.alias("turn"), F.round(F.log2(grow) / CELL[2]).cast("int").alias("grow"), F.explode(near(tx, CELL[0])).alias("tx"), ty.alias("ty"))
-    voted = voted.select("q", "i", "q_k", "turn", "grow", "tx", F.explode(near(F.col("ty"), CELL[0])).alias("ty"))
+    moved = close.select("q", "i", F.struct("q_k", angle.alias("turn"), F.round(F.log2(grow) / CELL[2]).cast("int").alias("grow"), tx.alias("tx"), ty.alias("ty")).alias("m"))
+    # a row a match is shuffled, once; pairs with too few matched corners have no cell with enough of them
+    both = moved.groupBy("q", "i").agg(F.collect_list("m").alias("m")).where(F.size(F.array_distinct(F.transform("m", lambda m: m["q_k"]))) >= AGREE)
+    voted = both.select("q", "i", F.inline("m")).withColumn("tx", F.explode(near(F.col("tx"), CELL[0]))).withColumn("ty", F.explode(near(F.col("ty"), CELL[0])))
     cells = voted.groupBy("q", "i", "turn", "grow", "tx", "ty").agg(F.count_distinct("q_k").alias("agree")).where(F.col("agree") >= AGREE)
     return cells.groupBy(F.col("q").alias("query"), F.col("i").alias("image")).agg(F.max("agree").alias("agree"))
 
 
 def drawn(vector: list[float] | None, side: int = 96) -> bytes | None:
-    """A picture of a vector: 16 by 16 grey squares, each from two of its values, so that every part of it
-    differs from other pictures. The tables have no image column; this gives them one."""
+    """A picture of a vector: its values as grey squares, eight in a row. The tables have no image
+    column; this gives them one whose content follows the row."""
     if not vector:
         return None
-    v = np.asarray(vector, np.float64)
+    v = np.asarray(vector, np.float32)
     v = np.nan_to_num((v - v.mean()) / (v.std() + 1e-9))
-    r, c = np.mgrid[0:16, 0:16]
-    n = len(v)
-    cells = v[(3 * r + 5 * c + r * c) % n] + 0.8 * v[(7 * r + 11 * c + 1) % n]
-    return encode(127 + 45 * np.kron(cells, np.ones((side // 16, side // 16))))
+    rows = -(-len(v) // 8)
+    cells = np.zeros(rows * 8, np.float32)
+    cells[: len(v)] = v
+    a = np.kron(cells.reshape(rows, 8), np.ones((max(1, side // rows), side // 8), np.float32))
+    return encode(127 + 60 * a)
 
 
 def edited(data: bytes | None, turn: bool) -> bytes | None:

@@ -1,6 +1,8 @@
 """Whole jobs: what a cut by prefix, by id or by count would lose."""
 
-from oratorio.llm import fingerprints
+import numpy as np
+
+from oratorio.llm import fingerprints, media
 
 
 def test_op3_counts_repeated_terms(spark):
@@ -12,3 +14,14 @@ def test_op3_counts_repeated_terms(spark):
     assert like(1, 2) < 0.05  # 36 of some 8000 shingles
     assert abs(like(3, 4) - 0.5) < 0.12  # as often p, a third of q
     assert fp[5] == "0" * 8 * 256
+
+
+def test_op2_describes_faint_parts(spark):
+    """A crop of a faint part, beside a part with many stronger corners, is found."""
+    random = np.random.default_rng(3)
+    strong, faint = (np.kron(random.normal(0, 1, (40, 20)), np.ones((8, 8))) for _ in range(2))
+    a = np.hstack([127 + 50 * strong, 127 + 8 * faint])
+    rows = spark.createDataFrame([(1, media.encode(a)), (2, media.encode(a[::-1].T))], "id long, media binary")
+    crop = spark.createDataFrame([(9, media.encode(a[60:260, 180:310]))], "id long, media binary")
+    found = {r.image: r.agree for r in media.matches(media.described(crop, "bigint").select("id", "points"), media.described(rows, "bigint").select("id", "points")).collect()}
+    assert found.get(1, 0) >= 20
