@@ -12,10 +12,10 @@ from .views import table, turns
 
 
 def _pairs(s, d):
-    """Consecutive turns of conversations as reference and hypothesis, shortened to their first line."""
-    c = table(s, d, "conversations").select("conv_id", "turn", F.element_at(F.split("text", "\n"), 1).alias("t"))
+    """Consecutive turns of conversations as reference and hypothesis."""
+    c = table(s, d, "conversations").select("conv_id", "turn", F.col("text").alias("t"))
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("t").alias("hyp"))
-    return c.join(nxt, ["conv_id", "turn"]).select(F.concat_ws("-", "conv_id", "turn").alias("clip_id"), F.col("conv_id").alias("group"), F.substring("t", 1, 200).alias("ref"), F.substring("hyp", 1, 200).alias("hyp"))
+    return c.join(nxt, ["conv_id", "turn"]).select(F.concat_ws("-", "conv_id", "turn").alias("clip_id"), F.col("conv_id").alias("group"), F.col("t").alias("ref"), "hyp")
 
 
 @query("c1_align")
@@ -41,7 +41,7 @@ def _(s, d):
 @query("c25_hazards")
 def _(s, d):
     p = _pairs(s, d)
-    return p.select("clip_id", T.hazards(F.col("ref"), F.array("hyp", F.substring("ref", 1, 100)), F.array("hyp")).alias("x")).select("clip_id", "x.*")
+    return p.select("clip_id", T.hazards(F.col("ref"), F.array("hyp", "ref"), F.array("hyp")).alias("x")).select("clip_id", "x.*")
 
 
 @query("g34_disagreement")
