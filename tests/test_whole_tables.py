@@ -3,6 +3,7 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from oratorio.plans import registry
 
@@ -29,3 +30,10 @@ def test_whole_turns_are_aligned(spark, folder):
     # ref and hyp, each with both in a row: all but the last word of each
     assert run("g34_disagreement").first().disagreement > 0
     assert run("c25_hazards").first().asr_disagreement == pytest.approx(1 / 81, abs=1e-4)
+
+
+def test_whole_event_tables_are_read(spark, folder):
+    run = lambda name: registry.queries()[name](spark, folder)
+    assert run("j20_slots").agg(F.sum("systems")).first()[0] == 8
+    assert run("d11_outvoted").count() == 6
+    assert run("d12_slices").count() == 8
