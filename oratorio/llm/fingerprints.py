@@ -11,7 +11,8 @@ probability of their generalised Jaccard similarity, the weight of what they sha
 what either has. The fingerprint is the hashes of what is kept; likeness is the share of equal places.
 
 Terms are counted within the row of their document, in sorted arrays, so nothing more is shuffled. The
-draws of a term that a document and its edited version have equally often are made once.
+draws of a term that a document and its edited version have equally often are made once, and a term
+whose a is surely not the least of its text is not drawn in full.
 """
 
 from __future__ import annotations
@@ -21,24 +22,37 @@ from pyspark.sql import functions as F
 
 from .common import WORD, shuffles, table, written
 
-SAMPLES = 32
+SAMPLES = 48
 SHINGLE = 5
 LOW32 = 0xFFFFFFFF
+#: Hex digits of a fingerprint for each sample.
+DIGITS = 4
 #: A document without terms keeps nothing; every place then reads as this.
 NOTHING = 0
+#: The least a of a text of weight W is exponential with rate W, so it is above REACH / W with probability
+#: exp(-REACH), below 1e-15: a term whose a must be above that is not drawn in full.
+REACH = 36.0
 
 
-def _draw(h: Column, log_w: Column, k: int) -> Column:
-    """What the term gives for sample k: the rank of a in the upper bits, the hash of (term, t) below."""
-    x, y = F.xxhash64(h, F.lit(2 * k)), F.xxhash64(h, F.lit(2 * k + 1))
-    u1, u2, b = ((x.bitwiseAND(F.lit(((1 << 21) - 1) << s)) / float(1 << s) + 0.5) / float(1 << 21) for s in (0, 21, 42))
-    v1 = (y.bitwiseAND(F.lit(LOW32)) + 0.5) / float(1 << 32)
-    v2 = (F.shiftrightunsigned(y, 32) + 0.5) / float(1 << 32)
-    r = -F.ln(u1 * u2)
-    t = F.floor(log_w / r + b)
-    log_a = F.ln(-F.ln(v1 * v2)) - r * (t - b + 1)
+def _draw(h: Column, log_n: Column, near: Column, k: int) -> Column:
+    """What the term gives for sample k: the rank of a in the upper bits, the hash of (term, t) below;
+    null where a is surely above n * near.
+
+    With x = exp(-r) and f the fraction of ln n / r + b, a is c / n * x ** (1 - f). Bounds from below
+    that need no logarithm are tried first: -ln v >= 4 (1 - sqrt v) / (1 + sqrt v), and x ** (1 - f) >=
+    x / (f x + 1 - f), where f is b if n is 1; else f >= 0.
+    """
+    p, q = F.xxhash64(h, F.lit(2 * k)), F.xxhash64(h, F.lit(2 * k + 1))
+    u1, u2, u3 = (F.shiftrightunsigned(p, s).bitwiseAND(F.lit((1 << 21) - 1)) + 0.5 for s in (0, 21, 42))
+    x, b = u1 * u2 * F.lit(2.0**-42), u3 * F.lit(2.0**-21)
+    v = (q.bitwiseAND(F.lit(LOW32)) + 0.5) * (F.shiftrightunsigned(q, 32) + 0.5) * F.lit(2.0**-64)
+    root = F.sqrt(v)
+    part = F.when(log_n == 0, b).otherwise(0.0)
+    r = -F.ln(x)
+    t = F.floor(log_n / r + b)
+    log_a = F.ln(-F.ln(v)) - r * (t - b + 1)
     rank = F.greatest(F.lit(0), F.least(F.lit((1 << 31) - 1), ((log_a + 400.0) * float(1 << 22)).cast("long")))
-    return F.shiftleft(rank, 32) + F.xxhash64(h, t, F.lit(k)).bitwiseAND(F.lit(LOW32))
+    return F.when(4 * (1 - root) * x <= near * (1 + root) * (part * x + 1 - part), F.shiftleft(rank, 32) + F.xxhash64(h, t, F.lit(k)).bitwiseAND(F.lit(LOW32)))
 
 
 def word_codes(text: Column) -> Column:
@@ -46,23 +60,25 @@ def word_codes(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))
 
 
-def shingled(codes: Column) -> Column:
-    """Rows of up to SHINGLE word codes each; a sequence with fewer is one row, none gives none."""
+def shingle_codes(codes: Column) -> Column:
+    """The hash of each SHINGLE words in a row; a sequence with fewer is one, none gives none. The low
+    two bits are 0."""
     n = F.greatest(F.size(codes) - (SHINGLE - 1), F.least(F.size(codes), F.lit(1)))
-    return F.arrays_zip(*[F.slice(codes, i + 1, n).alias(f"w{i}") for i in range(SHINGLE)])
+    rows = F.arrays_zip(*[F.slice(codes, i + 1, n).alias(f"w{i}") for i in range(SHINGLE)])
+    return F.transform(rows, lambda w: F.xxhash64(*[w[f"w{i}"] for i in range(SHINGLE)]).bitwiseAND(F.lit(~3)))
 
 
-def _tagged(w: Column, part: Column) -> Column:
-    """The hash of a shingle, with its part (0, 1 or 2) in the low two bits."""
-    return F.xxhash64(*[w[f"w{i}"] for i in range(SHINGLE)]).bitwiseAND(F.lit(~3)).bitwiseOR(part.cast("long"))
+TERMS = "array<struct<h:bigint,part:int,n:int>>"
 
 
 def counted(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows (keys..., part, h, n) from rows (keys..., tagged), where tagged has a long for each shingle:
-    in part 0 it is of both texts, in 1 of the own and in 2 of the edited one. n is how often h stands in
-    the text; part is 0 where that is the same for both. No shingles give one row of nulls."""
-    rows = rows.select(*keys, F.sort_array("tagged").alias("s"))
-    # each column is read more than once below, so that Spark does not move its making into the lambdas
+    """rows (keys..., h, part) with terms instead of h and part, arrays of one length: h has a hash for
+    each shingle, and part is 0 for those of both texts, 1 for the own and 2 for the edited one's. terms
+    are (h, part, n): n is how often h stands in the text, part is 0 where that is the same for both."""
+    # most texts have every shingle once: nothing to count. Each column is read more than once below,
+    # so that Spark does not move its making into the lambdas
+    again = F.size(F.array_distinct("h")) < F.size("h")
+    rows = rows.withColumn("s", F.when(again, F.sort_array(F.zip_with("h", "part", lambda h, p: h.bitwiseOR(p.cast("long"))))))
     new = lambda x, i: F.when((i == 0) | (F.get("s", i - 1).bitwiseAND(F.lit(~3)) != x.bitwiseAND(F.lit(~3))), i).otherwise(-1)
     rows = rows.withColumn("starts", F.filter(F.transform("s", new), lambda i: i >= 0))
 
@@ -71,37 +87,43 @@ def counted(rows: DataFrame, keys: list[str]) -> DataFrame:
         return F.struct(F.get("s", at).bitwiseAND(F.lit(~3)).alias("h"), F.slice("s", at + 1, end - at).alias("g"))
 
     def row(part: int, h: Column, n: Column) -> Column:
-        return F.struct(F.lit(part).alias("part"), h.alias("h"), n.alias("n"))
+        return F.struct(h.alias("h"), F.lit(part).alias("part"), n.alias("n"))
 
     def parts(t: Column) -> Column:
         own, edited = (F.size(F.filter(t["g"], lambda x: x.bitwiseAND(F.lit(3)) != other)) for other in (2, 1))
         return F.when(own == edited, F.array(row(0, t["h"], own))).otherwise(F.filter(F.array(row(1, t["h"], own), row(2, t["h"], edited)), lambda r: r["n"] > 0))
 
-    return rows.select(*keys, F.flatten(F.transform(F.transform("starts", term), parts)).alias("terms")).select(*keys, F.inline_outer("terms"))
+    several = F.flatten(F.transform(F.transform("starts", term), parts)).cast(TERMS)
+    once = F.arrays_zip(F.col("h"), F.col("part"), F.array_repeat(F.lit(1), F.size("h")).alias("n")).cast(TERMS)
+    return rows.select(*keys, F.when(F.col("s").isNotNull(), several).otherwise(once).alias("terms"))
 
 
-def samples(terms: DataFrame, keys: list[str], n_samples: int = SAMPLES) -> DataFrame:
-    """Rows (keys..., s0 ... ) from rows (keys..., h, n): the least draw for each sample; h null: none."""
-    rows = terms.select(*keys, "h", F.ln(F.col("n").cast("double")).alias("log_w"))
-    return rows.groupBy(*keys).agg(*[F.min(F.when(F.col("h").isNotNull(), _draw(F.col("h"), F.col("log_w"), k))).alias(f"s{k}") for k in range(n_samples)])
+def samples(rows: DataFrame, keys: list[str], n_samples: int = SAMPLES) -> DataFrame:
+    """Rows (keys..., part, s0 ...) from rows (keys..., weight, terms): the least draw for each sample.
+    weight is that of the text, or of the lighter of the two."""
+    near = F.lit(REACH) * F.col("t.n") / F.greatest(F.col("weight"), F.lit(1))
+    terms = rows.select(*keys, "weight", F.explode_outer("terms").alias("t")).select(*keys, F.coalesce("t.part", F.lit(0)).alias("part"), "t.h", F.ln(F.col("t.n").cast("double")).alias("log_n"), near.alias("near"))
+    return terms.groupBy(*keys, "part").agg(*[F.min(_draw(F.col("h"), F.col("log_n"), F.col("near"), k)).alias(f"s{k}") for k in range(n_samples)])
 
 
 def fingerprint_text(sample: list[Column]) -> Column:
-    """Eight hex digits for each sample."""
-    return F.concat(*[F.lower(F.lpad(F.hex(F.coalesce(s.bitwiseAND(F.lit(LOW32)), F.lit(NOTHING))), 8, "0")) for s in sample])
+    """DIGITS hex digits for each sample."""
+    return F.concat(*[F.lower(F.lpad(F.hex(F.coalesce(s.bitwiseAND(F.lit((1 << 4 * DIGITS) - 1)), F.lit(NOTHING))), DIGITS, "0")) for s in sample])
 
 
 def likeness(a: Column, b: Column, n_samples: int = SAMPLES) -> Column:
     """The share of equal places of two fingerprints. Two without terms are equal."""
-    return sum(((F.substring(a, 8 * k + 1, 8) == F.substring(b, 8 * k + 1, 8)).cast("int") for k in range(1, n_samples)), (F.substring(a, 1, 8) == F.substring(b, 1, 8)).cast("int")) / float(n_samples)
+    place = lambda x, k: F.substring(x, DIGITS * k + 1, DIGITS)
+    return sum(((place(a, k) == place(b, k)).cast("int") for k in range(1, n_samples)), (place(a, 0) == place(b, 0)).cast("int")) / float(n_samples)
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n_samples: int = SAMPLES) -> DataFrame:
-    """Rows (doc_id, fingerprint), one for each distinct doc_id and text; null texts count as empty."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(whole).alias("th"), word_codes(whole).alias("codes"))
-    rows = rows.select("doc_id", "th", F.transform(shingled(F.col("codes")), lambda w: _tagged(w, F.lit(0))).alias("tagged"))
-    return samples(counted(rows, ["doc_id", "th"]), ["doc_id", "th"], n_samples).select("doc_id", fingerprint_text([F.col(f"s{k}") for k in range(n_samples)]).alias("fingerprint"))
+    """Rows (doc_id, fingerprint), one a row of docs; null texts count as empty."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"), shingle_codes(word_codes(F.coalesce(F.col(text), F.lit("")))).alias("h"))
+    rows = rows.withColumn("part", F.array_repeat(F.lit(0), F.size("h"))).withColumn("weight", F.size("h"))
+    keys = ["doc_id", "row"]
+    out = samples(counted(rows, [*keys, "weight"]), keys, n_samples)
+    return out.select("doc_id", fingerprint_text([F.col(f"s{k}") for k in range(n_samples)]).alias("fingerprint"))
 
 
 def next_ids(ids: DataFrame) -> DataFrame:
@@ -141,15 +163,17 @@ def with_edits(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> t
 
 
 def op3_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by edited_fingerprints; nulls, ties and repeated rows as it says."""
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
 def edited_fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Rows (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
 
-    One row for each distinct (doc_id, text). Where a doc_id stands with several texts, the next
-    document's part and fingerprint are the smallest of them. A row without doc_id has no next
-    document: nothing is put in, and near_next is null. A single document is its own next one.
+    One row a row of docs, repeated ones included; null texts count as empty; an empty table gives no
+    rows; other columns are ignored. Where a doc_id stands with several texts, the next document's part
+    and fingerprint are the smallest of them. A row without doc_id has no next document: nothing is put
+    in, and near_next is null. A single document is its own next one.
     """
     known, alone = with_edits(docs, text, doc_id)
     own = written(_signed(known).unionByName(_signed(alone)), "fingerprints")
@@ -163,24 +187,25 @@ def edited_fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_
 def _signed(edits: DataFrame) -> DataFrame:
     """Both fingerprints of each edit. The aggregations keep the partitioning by doc_id."""
     spaced = F.col("kept").rlike("[\\x20\\x09-\\x0D]\\z")
+    keys = ["doc_id", "row", "next_id", "n_chars", "sha"]
     step = edits.select(
-        "doc_id", "next_id", "n_chars", F.xxhash64("text").alias("th"), F.unhex(F.sha2(F.concat("kept", "ins"), 256)).alias("sha"),
+        "doc_id", F.monotonically_increasing_id().alias("row"), "next_id", "n_chars", F.unhex(F.sha2(F.concat("kept", "ins"), 256)).alias("sha"),
         word_codes(F.col("text")).alias("own"), F.regexp_count("kept", F.lit(WORD)).alias("n_kept"),
         F.when(spaced | (F.col("kept") == ""), F.col("ins")).otherwise(F.concat(F.substring_index(F.translate("kept", "\t\n\x0b\f\r", "     "), " ", -1), "ins")).alias("rest"),
         (~spaced & (F.col("kept") != "")).cast("int").alias("open"),
     )
     # the first `same` words are those of both texts; `rest` begins with the word that the cut is in
     step = step.withColumn("same", F.col("n_kept") - F.col("open")).withColumn("rest", word_codes(F.col("rest")))
+    none = F.array().cast("array<bigint>")
     lead_in = F.slice("own", F.greatest(F.col("same") - (SHINGLE - 2), F.lit(1)), F.least(F.col("same"), F.lit(SHINGLE - 1)))
-    tail = F.concat(F.when(F.col("same") > 0, lead_in).otherwise(F.array().cast("array<bigint>")), "rest")
-    tail = F.when((F.size(tail) < SHINGLE) & (F.col("same") + F.size("rest") >= SHINGLE), F.array().cast("array<bigint>")).otherwise(tail)
-    step = step.withColumn("tail", tail)
-    both = F.greatest(F.col("same") - (SHINGLE - 1), F.lit(0))
-    keys = ["doc_id", "next_id", "n_chars", "th", "sha"]
-    step = step.withColumn("shingles", shingled(F.col("own"))).withColumn("edited", shingled(F.col("tail"))).withColumn("both", both)
-    every = F.concat(F.transform("shingles", lambda w, i: _tagged(w, i >= F.col("both"))), F.transform("edited", lambda w: _tagged(w, F.lit(2))))
-    rows = counted(step.select(*keys, every.alias("tagged")), keys)
+    tail = F.concat(F.when(F.col("same") > 0, lead_in).otherwise(none), "rest")
+    step = step.withColumn("tail", F.when((F.size(tail) < SHINGLE) & (F.col("same") + F.size("rest") >= SHINGLE), none).otherwise(tail))
+    step = step.withColumn("shingles", shingle_codes(F.col("own"))).withColumn("edited", shingle_codes(F.col("tail")))
+    step = step.withColumn("both", F.greatest(F.col("same") - (SHINGLE - 1), F.lit(0)).cast("int"))
+    part = F.concat(F.array_repeat(F.lit(0), F.col("both")), F.array_repeat(F.lit(1), F.size("shingles") - F.col("both")), F.array_repeat(F.lit(2), F.size("edited")))
+    weight = F.least(F.size("shingles"), F.col("both") + F.size("edited"))
+    rows = counted(step.select(*keys, F.concat("shingles", "edited").alias("h"), part.alias("part"), weight.alias("weight")), [*keys, "weight"])
     names = [f"s{k}" for k in range(SAMPLES)]
-    parts = samples(rows, [*keys, "part"])
+    parts = samples(rows, keys)
     merged = parts.groupBy(*keys).agg(*[F.min(F.when(F.col("part") != 2, F.col(s))).alias(f"a{s}") for s in names], *[F.min(F.when(F.col("part") != 1, F.col(s))).alias(f"b{s}") for s in names])
-    return merged.select(*keys, fingerprint_text([F.col(f"a{s}") for s in names]).alias("fingerprint"), fingerprint_text([F.col(f"b{s}") for s in names]).alias("edited_fingerprint"))
+    return merged.select(*[k for k in keys if k != "row"], fingerprint_text([F.col(f"a{s}") for s in names]).alias("fingerprint"), fingerprint_text([F.col(f"b{s}") for s in names]).alias("edited_fingerprint"))
