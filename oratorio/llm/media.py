@@ -1,11 +1,12 @@
 """Copies among images by local descriptors.
 
-Corners are found at several scales, oriented by their intensity centroid, and described by 128 binary
-tests of a smoothed patch that is turned to that orientation. Descriptors within three bits share one
-of four words of 32 bits, so that a join on words finds them. Matched corners of two images each give
-a rotation, a scale and a shift; where several agree on one, the images show the same thing: one is a
-crop or an edited copy of the other. Votes are counted in Spark, a row a match and never a row a pair
-of images. Equal images are one class with one set of descriptors.
+Corners are found at five scales, oriented by their intensity centroid, and described by 128 binary
+tests of a smoothed disc that is turned to that orientation. A word is 32 of the bits. A corner and each
+of its nearest neighbours give a key a word: that word of both, so that a flat or repeated patch, whose
+words many images have, is told apart by what is beside it. A join on keys gives candidate pairs of
+images; their descriptors are compared, and pairs of corners DISTANCE or fewer bits apart each give a
+rotation, a scale and a shift; where several agree on one, the images show the same thing: one is a crop
+or an edited copy of the other. Equal images are one class with one set of descriptors.
 """
 
 from __future__ import annotations
@@ -17,22 +18,34 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, table, written
+from .common import own_columns, release, table, written
 
-SCALES = (1.0, 0.75, 0.5)
-PATCH = 13
-MARGIN = PATCH + 1
-DISTANCE = 3
+#: From full size down to about half; steps of a fifth or less, so that any size between is near one.
+SCALES = (1.0, 0.84, 0.71, 0.59, 0.5)
+#: Those of an image that asks: it can be of any size between, and there are few.
+FINE = (1.0, 0.92, 0.84, 0.77, 0.71, 0.65, 0.59, 0.54, 0.5)
+RADIUS = 15
+MARGIN = RADIUS + 2
+#: Bits of 128 in which two descriptors of one corner may differ.
+DISTANCE = 16
 _gap = rb"(?:\s|#[^\n]*\n)+"
 PNM = re.compile(rb"P([56])" + _gap + rb"(\d+)" + _gap + rb"(\d+)" + _gap + rb"(\d+)\s")
-AGREE = 4
+AGREE = 12
+#: Keys that a pair of images must share to be compared, and neighbours of a corner that make its keys.
+SHARED = 2
+NEIGHBOURS = 2
 #: Widths of the cells in which votes meet: of the shift in pixels, of rotation in degrees, of log2 scale.
 CELL = (8.0, 30.0, 0.5)
+#: Rows of a batch, pixels and corners worked on at once.
+STACK, PIXELS, POINTS = 128, 1 << 18, 2048
+_grid = np.arange(-RADIUS, RADIUS + 1)
+_disc = (_grid[:, None] ** 2 + _grid[None] ** 2 <= RADIUS**2).astype(np.float32)
 _random = np.random.default_rng(5)
-TESTS = np.clip(np.rint(_random.normal(0, PATCH / 2.2, (128, 2, 2))), -9, 9)
+_spread = _random.normal(0, RADIUS / 2.2, (128, 2, 2))
+TESTS = _spread * np.minimum(1, RADIUS / np.maximum(1e-9, np.hypot(_spread[..., :1], _spread[..., 1:])))
 
 
 def decode(data: bytes | None) -> np.ndarray | None:
@@ -40,6 +53,8 @@ def decode(data: bytes | None) -> np.ndarray | None:
     try:
         if data and (m := PNM.match(data)):
             n, w, h, top = 3 if m[1] == b"6" else 1, *map(int, m.groups()[1:])
+            if not 0 < top < 256:  # two bytes a value are not read
+                return None
             a = np.frombuffer(data, np.uint8, w * h * n, m.end()).reshape(h, w, n)
             return a.mean(2, dtype=np.float32) * (255 / top) if w and h else None
         if data and data[:8] == b"\x89PNG\r\n\x1a\n":
@@ -82,121 +97,191 @@ def encode(a: np.ndarray) -> bytes:
 
 
 def _smooth(a: np.ndarray) -> np.ndarray:
-    for _ in range(2):
-        p = np.pad(a, ((2, 2), (0, 0)), "edge")
-        a = ((p[:-4] + p[4:] + 4 * (p[1:-3] + p[3:-1]) + 6 * p[2:-2]) / 16).T
+    """A stack of images (n, h, w), smoothed by five binomial weights along both axes."""
+    for axis in (1, 2):
+        p = np.pad(a, [(2, 2) if k == axis else (0, 0) for k in range(3)], "edge")
+        at = lambda k: p[:, k : k + a.shape[1]] if axis == 1 else p[:, :, k : k + a.shape[2]]  # noqa: B023, E731
+        a = (at(0) + at(4) + 4 * (at(1) + at(3)) + 6 * at(2)) / 16
     return a
 
 
 def _resized(a: np.ndarray, scale: float) -> np.ndarray:
     if scale == 1:
         return a
-    h, w = int(a.shape[0] * scale), int(a.shape[1] * scale)
+    h, w = (max(1, int(n * scale)) for n in a.shape[1:])
     y, x = (np.arange(h) + 0.5) / scale - 0.5, (np.arange(w) + 0.5) / scale - 0.5
-    y0, x0 = np.clip(y.astype(int), 0, a.shape[0] - 2), np.clip(x.astype(int), 0, a.shape[1] - 2)
-    fy, fx = np.clip(y - y0, 0, 1)[:, None], np.clip(x - x0, 0, 1)[None]
-    rows = a[y0] * (1 - fy) + a[y0 + 1] * fy
-    return rows[:, x0] * (1 - fx) + rows[:, x0 + 1] * fx
+    y0, x0 = np.clip(y.astype(int), 0, max(0, a.shape[1] - 2)), np.clip(x.astype(int), 0, max(0, a.shape[2] - 2))
+    y1, x1 = np.minimum(y0 + 1, a.shape[1] - 1), np.minimum(x0 + 1, a.shape[2] - 1)
+    fy, fx = np.clip(y - y0, 0, 1).astype(np.float32)[:, None], np.clip(x - x0, 0, 1).astype(np.float32)
+    rows = a[:, y0] * (1 - fy) + a[:, y1] * fy
+    return rows[:, :, x0] * (1 - fx) + rows[:, :, x1] * fx
 
 
 def _peaks(r: np.ndarray, radius: int = 2) -> np.ndarray:
     most = r
-    for axis in (0, 1):
-        shifted = [np.roll(most, k, axis) for k in range(-radius, radius + 1)]
-        most = np.maximum.reduce(shifted)
+    for axis in (1, 2):
+        most = np.maximum.reduce([np.roll(most, k, axis) for k in range(-radius, radius + 1)])
     return r >= most
 
 
-_grid = np.arange(-7, 8)
-_disc = (_grid[:, None] ** 2 + _grid[None] ** 2 <= 50).astype(np.float32)
-
-
-def describe(a: np.ndarray) -> np.ndarray:
-    """Rows (x, y, scale, angle, word 0, ..., word 3) of all corners at each scale."""
-    out = []
-    for scale in SCALES:
-        s = _smooth(_resized(a, scale))
-        h, w = s.shape
+def describe(stack: np.ndarray, scales: tuple[float, ...] = SCALES) -> dict[str, np.ndarray]:
+    """All corners at each scale of a stack of images (n, h, w): the image's number, x, y, scale, angle
+    and the descriptor's two halves, by image and then by scale."""
+    found = []
+    for scale in scales:
+        s = _smooth(_resized(stack, scale))
+        n, h, w = s.shape
         if min(h, w) <= 2 * MARGIN + 2:
             continue
-        gy, gx = np.gradient(s)
+        gy, gx = np.gradient(s, axis=(1, 2))
         xx, yy, xy = _smooth(gx * gx), _smooth(gy * gy), _smooth(gx * gy)
         r = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
-        inner = np.zeros_like(r, bool)
-        inner[MARGIN : h - MARGIN, MARGIN : w - MARGIN] = True
-        y, x = np.nonzero(_peaks(r) & inner & (r > 1.0))
-        if not len(y):
-            continue
-        patch = s[y[:, None, None] + _grid[None, :, None], x[:, None, None] + _grid[None, None, :]] * _disc
-        angle = np.arctan2((patch * _grid[None, :, None]).sum((1, 2)), (patch * _grid[None, None, :]).sum((1, 2)))
-        # the same corner turned a little must give the same tests: angles are not rounded
-        c, sn = np.cos(angle)[:, None, None], np.sin(angle)[:, None, None]
-        px, py = TESTS[None, :, :, 0], TESTS[None, :, :, 1]
-        qx = np.rint(x[:, None, None] + px * c - py * sn).astype(int)
-        qy = np.rint(y[:, None, None] + px * sn + py * c).astype(int)
-        v = s[np.clip(qy, 0, h - 1), np.clip(qx, 0, w - 1)]
-        words = np.packbits(v[:, :, 0] < v[:, :, 1], axis=1).view(">u4").astype(np.float64)
-        out.append(np.column_stack([(x + 0.5) / scale, (y + 0.5) / scale, np.full(len(y), scale), np.degrees(angle), words]))
-    return np.concatenate(out) if out else np.empty((0, 8))
-
-
-ROW = "array<struct<x:float,y:float,scale:float,angle:float,w0:bigint,w1:bigint,w2:bigint,w3:bigint>>"
-
-
-def described(images: DataFrame, kind: str, draw: Callable[[object], bytes | None] | None = None) -> DataFrame:
-    """Rows (id, digest, points) from rows (id, media): digest is the SHA-256 of the bytes, null where
-    there are none or they cannot be read. `draw` turns the second column into bytes where it is not."""
+        strong = _peaks(r) & (r > 1.0)
+        strong[:, :MARGIN] = strong[:, h - MARGIN :] = False
+        strong[:, :, :MARGIN] = strong[:, :, w - MARGIN :] = False
+        every = np.column_stack(np.nonzero(strong))
+        for at in range(0, len(every), POINTS):  # patches of so many corners at once: bounded memory
+            i, y, x = every[at : at + POINTS].T
+            patch = s[i[:, None, None], y[:, None, None] + _grid[None, :, None], x[:, None, None] + _grid[None, None, :]] * _disc
+            angle = np.arctan2((patch * _grid[None, :, None]).sum((1, 2)), (patch * _grid[None, None, :]).sum((1, 2)))
+            # the same corner turned a little must give the same tests: angles are not rounded
+            c, sn = np.cos(angle)[:, None, None], np.sin(angle)[:, None, None]
+            px, py = TESTS[None, :, :, 0], TESTS[None, :, :, 1]
+            qx, qy = np.rint(x[:, None, None] + px * c - py * sn).astype(int), np.rint(y[:, None, None] + px * sn + py * c).astype(int)
+            v = s[i[:, None, None], qy, qx]
+            halves = np.packbits(v[:, :, 0] < v[:, :, 1], axis=1).view(">u8").astype(np.uint64)
+            found.append((i, (x + 0.5) / scale, (y + 0.5) / scale, np.full(len(y), scale), np.degrees(angle), halves[:, 0], halves[:, 1]))
+    names = ("image", "x", "y", "scale", "angle", "d0", "d1")
+    if not found:
+        return {k: np.empty(0, np.int64 if k in ("image", "d0", "d1") else np.float32) for k in names}
+    out = dict(zip(names, (np.concatenate(c) for c in zip(*found, strict=True)), strict=True))
+    order = np.lexsort((-out["scale"], out["image"]))
+    return {k: v[order] for k, v in out.items()}
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return x ^ (x >> np.uint64(33))
+
+
+def keys(points: dict[str, np.ndarray]) -> np.ndarray:
+    """The index keys of one image's corners: for each of the NEIGHBOURS nearest corners of a corner at
+    its scale, and each of the four words of 32 bits, that word of both, the greater first."""
+    out = []
+    for scale in np.unique(points["scale"]):
+        mine = np.flatnonzero(points["scale"] == scale)
+        x, y = points["x"][mine], points["y"][mine]
+        words = np.stack([points[d][mine] >> np.uint64(k) & np.uint64(0xFFFFFFFF) for d in ("d0", "d1") for k in (32, 0)])
+        for at in range(0, len(mine), 512):
+            far = (x[at : at + 512, None] - x) ** 2 + (y[at : at + 512, None] - y) ** 2
+            far[np.arange(far.shape[0]), np.arange(at, at + far.shape[0])] = np.inf
+            k = min(NEIGHBOURS, len(mine) - 1)
+            near = np.argpartition(far, k - 1, axis=1)[:, :k] if k > 0 else np.empty((far.shape[0], 0), int)
+            own, other = words[:, at : at + 512, None], words[:, near]
+            both = np.maximum(own, other) << np.uint64(32) | np.minimum(own, other)
+            out.append(_mixed(both + np.arange(1, 5, dtype=np.uint64)[:, None, None] * np.uint64(0x9E3779B97F4A7C15)).ravel())
+    return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
+
+
+POINT = ("x", "y", "scale", "angle", "d0", "d1")
+_kinds = [("x", pa.float32()), ("y", pa.float32()), ("scale", pa.float32()), ("angle", pa.float32()), ("d0", pa.int64()), ("d1", pa.int64())]
+COLUMNS = "x array<float>, y array<float>, scale array<float>, angle array<float>, d0 array<bigint>, d1 array<bigint>, keys array<bigint>"
+
+
+def described(images: DataFrame, kind: str, draw: Callable[[object], bytes | None] | None = None, scales: tuple[float, ...] = SCALES) -> DataFrame:
+    """Rows (id, digest, x, y, scale, angle, d0, d1, keys) from rows (id, media), arrays with a value for
+    each corner: digest is the SHA-256 of the bytes, null where there are none or they cannot be read.
+    `draw` turns the second column into bytes where it is not."""
     import hashlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            digests, points = [], []
-            for x in b.column(1):
-                data = draw(x.as_py()) if draw else x.as_py()
-                a = decode(data)
-                digests.append(None if a is None else hashlib.sha256(data).hexdigest())
-                found = [] if a is None else describe(a)
-                points.append([dict(zip(("x", "y", "scale", "angle", "w0", "w1", "w2", "w3"), (*map(float, p[:4]), *map(int, p[4:])), strict=True)) for p in found])
-            f, i = pa.float32(), pa.int64()
-            of = pa.list_(pa.struct([("x", f), ("y", f), ("scale", f), ("angle", f), ("w0", i), ("w1", i), ("w2", i), ("w3", i)]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.string()), pa.array(points, of)], ["id", "digest", "points"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, STACK):
+                b = whole.slice(start, STACK)
+                digests: list[str | None] = []
+                shapes: dict[tuple[int, ...], list[tuple[int, np.ndarray]]] = {}
+                for k, v in enumerate(b.column(1)):
+                    data = draw(v.as_py()) if draw else v.as_py()
+                    a = decode(data)
+                    digests.append(None if a is None else hashlib.sha256(data).hexdigest())
+                    if a is not None:
+                        shapes.setdefault(a.shape, []).append((k, a))
+                of: list[dict | None] = [None] * b.num_rows
+                for shape, own in shapes.items():  # images of one shape at once, large ones alone
+                    step = max(1, PIXELS // (shape[0] * shape[1]))
+                    for at in range(0, len(own), step):
+                        part = own[at : at + step]
+                        points = describe(np.stack([a for _, a in part]).astype(np.float32), scales)
+                        ends = np.searchsorted(points["image"], np.arange(len(part) + 1))
+                        for (k, _), low, high in zip(part, ends, ends[1:], strict=False):
+                            of[k] = {c: points[c][low:high] for c in POINT}
+                empty = {c: np.empty(0, np.uint64 if c in ("d0", "d1") else np.float32) for c in POINT}
+                all_ = [x or empty for x in of]
+                marks = [keys(x) for x in all_]
+                offsets = lambda xs: pa.array(np.concatenate([[0], np.cumsum([len(x) for x in xs])]), pa.int32())
+                at_points = offsets([x["x"] for x in all_])
+                as_kind = lambda v, t: pa.array(np.ascontiguousarray(v).view(np.int64) if t == pa.int64() else v.astype(np.float32), t)
+                lists = [pa.ListArray.from_arrays(at_points, as_kind(np.concatenate([x[c] for x in all_]), t)) for c, t in _kinds]
+                lists.append(pa.ListArray.from_arrays(offsets(marks), as_kind(np.concatenate(marks), pa.int64())))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.string()), *lists], ["id", "digest", *POINT, "keys"])
+
+    return images.mapInArrow(run, f"id {kind}, digest string, {COLUMNS}")
+
+
+def agreement(q: dict[str, np.ndarray], i: dict[str, np.ndarray]) -> int:
+    """How many corners of q have a partner in i, DISTANCE or fewer bits apart, that agrees with the
+    others on one rotation, scale and shift."""
+    pairs = []
+    for at in range(0, len(q["d0"]), 256):
+        apart = np.bitwise_count(q["d0"][at : at + 256, None] ^ i["d0"]) + np.bitwise_count(q["d1"][at : at + 256, None] ^ i["d1"])
+        a, b = np.nonzero(apart <= DISTANCE)
+        pairs.append((a + at, b))
+    a, b = (np.concatenate(c) for c in zip(*pairs, strict=True)) if pairs else (np.empty(0, int),) * 2
+    if not len(a):
+        return 0
+    turn = (i["angle"][b] - q["angle"][a]) % 360
+    grow = q["scale"][a] / i["scale"][b]
+    c, s = np.cos(np.radians(turn)), np.sin(np.radians(turn))
+    tx = i["x"][b] - grow * (c * q["x"][a] - s * q["y"][a])
+    ty = i["y"][b] - grow * (s * q["x"][a] + c * q["y"][a])
+    # each match votes in the two nearest cells of every axis, so that no border parts a group
+    cells = []
+    size = np.log2(grow) / CELL[2]
+    for dx in (-0.5, 0.5):
+        for dy in (-0.5, 0.5):
+            for dt in (-0.5, 0.5):
+                for dg in (-0.5, 0.5):
+                    cells.append(np.column_stack([np.floor(tx / CELL[0] + dx), np.floor(ty / CELL[0] + dy), np.floor(turn / CELL[1] + dt) % (360 / CELL[1]), np.floor(size + dg), a]))
+    votes = np.unique(np.concatenate(cells).astype(np.int64), axis=0)
+    return int(np.unique(votes[:, :4], axis=0, return_counts=True)[1].max())
+
+
+def _values(x: pa.ListScalar) -> np.ndarray:
+    v = x.values.to_numpy(zero_copy_only=False)
+    return v.view(np.uint64) if v.dtype == np.int64 else v
 
-    return images.mapInArrow(run, f"id {kind}, digest string, points {ROW}")
 
+def matches(queries: DataFrame, images: DataFrame) -> DataFrame:
+    """Rows (query, image, agree) from rows (id, x, ..., keys), distinct by id: how many matched corners
+    agree on one rotation, scale and shift; pairs with fewer than AGREE are left out.
+
+    Pairs of images that share SHARED keys are candidates; what a pair shares is counted before it is
+    shuffled by pair. Both sides' corners are then brought to each candidate and compared."""
+    kind = queries.schema["id"].dataType.simpleString()
+    q, i = (d.select(F.col("id").alias(n), F.explode("keys").alias("key")) for d, n in ((queries, "q"), (images, "i")))
+    near = written(q.join(i, "key").groupBy("q", "i").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED).select("q", "i"), "candidates")
+    own = queries.select(F.col("id").alias("q"), *[F.col(c).alias(f"q_{c}") for c in POINT])
+    other = images.select(F.col("id").alias("i"), *[F.col(c).alias(f"i_{c}") for c in POINT])
+    both = near.join(own, "q").join(other, "i").select("q", "i", *[f"q_{c}" for c in POINT], *[f"i_{c}" for c in POINT])
 
-def _by_word(rows: DataFrame, name: str) -> DataFrame:
-    """A row for each word of each point: (at, word), the image, the point's number and values, and the
-    four words packed in two longs."""
-    p = rows.select(F.col("id").alias(name), F.posexplode("points").alias(f"{name}_k", "p"))
-    packed = [F.shiftleft(F.col(f"p.w{2 * k}"), 32).bitwiseOR(F.col(f"p.w{2 * k + 1}")).alias(f"{name}_d{k}") for k in (0, 1)]
-    words = F.array(*[F.struct(F.lit(i).alias("at"), F.col(f"p.w{i}").alias("word")) for i in range(4)])
-    return p.select(F.explode(words).alias("key"), name, f"{name}_k", *[F.col(f"p.{c}").alias(f"{name}_{c}") for c in ("x", "y", "scale", "angle")], *packed).select("key.at", "key.word", "*").drop("key")
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = [b.column(k) for k in range(2, 2 + 2 * len(POINT))]
+            sides = [[_values(c[k]) for c in columns] for k in range(b.num_rows)]
+            agree = [agreement(dict(zip(POINT, x[: len(POINT)], strict=True)), dict(zip(POINT, x[len(POINT) :], strict=True))) for x in sides]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(agree, pa.int64())], ["query", "image", "agree"])
 
-def matches(queries: DataFrame, images: DataFrame) -> DataFrame:
-    """Rows (query, image, agree) from rows (id, points), distinct by id: how many matched corners
-    agree on one rotation, scale and shift; pairs with fewer than AGREE are left out."""
-    q, i = _by_word(queries, "q"), _by_word(images, "i")
-    pairs = q.join(i, ["at", "word"])
-    apart = F.bit_count(F.col("q_d0").bitwiseXOR(F.col("i_d0"))) + F.bit_count(F.col("q_d1").bitwiseXOR(F.col("i_d1")))
-    # a pair of points that shares several words is one match: that of the first of them
-    x0, x1, low = F.col("q_d0").bitwiseXOR(F.col("i_d0")), F.col("q_d1").bitwiseXOR(F.col("i_d1")), F.lit((1 << 32) - 1)
-    first = F.when(F.shiftrightunsigned(x0, 32) == 0, 0).when(x0.bitwiseAND(low) == 0, 1).when(F.shiftrightunsigned(x1, 32) == 0, 2).otherwise(3)
-    close = pairs.where((apart <= DISTANCE) & (F.col("at") == first))
-    turn = F.pmod(F.col("i_angle") - F.col("q_angle"), F.lit(360.0))
-    grow = F.col("q_scale") / F.col("i_scale")
-    c, s = F.cos(F.radians(turn)), F.sin(F.radians(turn))
-    tx = F.col("i_x") - grow * (c * F.col("q_x") - s * F.col("q_y"))
-    ty = F.col("i_y") - grow * (s * F.col("q_x") + c * F.col("q_y"))
-    # each shift votes in the two nearest cells of either axis, so that no border parts a group
-    near = lambda v, w: F.array(F.floor(v / w - 0.5), F.floor(v / w + 0.5))
-    angle = F.pmod(F.round(turn / CELL[1]), F.lit(360.0 / CELL[1])).cast("int")
-    moved = close.select("q", "i", F.struct("q_k", angle.alias("turn"), F.round(F.log2(grow) / CELL[2]).cast("int").alias("grow"), tx.alias("tx"), ty.alias("ty")).alias("m"))
-    # a row a match is shuffled, once; pairs with too few matched corners have no cell with enough of them
-    both = moved.groupBy("q", "i").agg(F.collect_list("m").alias("m")).where(F.size(F.array_distinct(F.transform("m", lambda m: m["q_k"]))) >= AGREE)
-    voted = both.select("q", "i", F.inline("m")).withColumn("tx", F.explode(near(F.col("tx"), CELL[0]))).withColumn("ty", F.explode(near(F.col("ty"), CELL[0])))
-    cells = voted.groupBy("q", "i", "turn", "grow", "tx", "ty").agg(F.count_distinct("q_k").alias("agree")).where(F.col("agree") >= AGREE)
-    return cells.groupBy(F.col("q").alias("query"), F.col("i").alias("image")).agg(F.max("agree").alias("agree"))
+    return both.mapInArrow(run, f"query {kind}, image {kind}, agree bigint").where(F.col("agree") >= AGREE)
 
 
 def drawn(vector: list[float] | None, side: int = 96) -> bytes | None:
@@ -229,20 +314,21 @@ def op2_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     One row a vec_id: class_id is the smallest vec_id with an equal picture (its own where there is
     none to draw); for those that ask, n_links is the number of classes whose picture agrees with the
     edited copy, found_id the class with the most agreement (ties: the smallest), agree that number.
-    Rows of one class ask as one. Other rows have nulls there.
+    Rows of one class ask as one. Other rows have nulls there. Null and empty vectors have no picture
+    and link to nothing; an empty table gives no rows; repeated rows come out as often as they stand.
     """
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    rows = own_columns(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     kind = rows.schema["vec_id"].dataType.simpleString()
     all_ = written(described(rows, kind, drawn), "described")
     classes = written(all_.where("digest is not null").groupBy("digest").agg(F.min("id").alias("class_id"), F.max(F.col("id") % 50 == 0).alias("asks")), "classes")
-    images = all_.join(classes.select(F.col("class_id").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select("id", "points")
+    images = all_.join(classes.select(F.col("class_id").alias("id")), "id", "left_semi").drop("digest").dropDuplicates(["id"])
     asking = rows.join(classes.where("asks").select(F.col("class_id").alias("vec_id")), "vec_id", "left_semi").dropDuplicates(["vec_id"])
 
     def draw(v: list[float] | None) -> bytes | None:
         data = drawn(v)
         return edited(data, zlib.crc32(data or b"") % 2 == 1)
 
-    edits = described(asking, kind, draw).select("id", "points")
+    edits = written(described(asking, kind, draw, FINE).drop("digest"), "edits")
     found = written(matches(edits, images), "matches")
     release(spark)
     best = found.groupBy(F.col("query").alias("class_id")).agg(F.count("*").alias("n_links"), F.max(F.struct("agree", (-F.col("image")).alias("least"))).alias("b"))

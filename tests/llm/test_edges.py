@@ -106,9 +106,10 @@ def test_images(spark):
     png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 30, 40, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"".join(b"\0" + r.tobytes() for r in a))) + chunk(b"IEND", b"")
     assert (media.decode(png) == a).all() and (media.decode(media.encode(a.astype(float))) == a).all()
     assert media.decode(None) is None and media.decode(b"P5 2") is None and media.decode(b"\x89PNG\r\n\x1a\nxx") is None
-    rows = spark.createDataFrame([(1, None), (2, b"junk"), (3, media.drawn([float(i % 7) for i in range(64)]))], "id long, media binary")
+    rows = spark.createDataFrame([(1, None), (2, b"junk"), (3, media.drawn([float(i * i % 11) for i in range(64)]))], "id long, media binary")
     out = {r.id: r for r in media.described(rows, "bigint").collect()}
-    assert out[1].digest is None and out[2].points == [] and out[3].digest
+    assert out[1].digest is None and out[2].x == [] and out[3].digest and len(out[3].x) == len(out[3].d0) > 0
+    assert media.decode(b"P5 2 1 65535\n" + bytes(4)) is None
 
 
 def test_components(spark):
