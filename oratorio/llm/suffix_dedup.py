@@ -6,15 +6,16 @@ is the start of such a string. Sorting all suffixes of a large corpus is not nee
 1. Winnowing. In each window of ``length`` bytes the least hash of its ``GRAM``-byte strings is taken.
    Equal windows have equal minima in equal places. Starts in a row with one minimum in one place are
    a segment, the text that their windows cover; a minimum that stands in one place only ends there.
-2. A segment whose whole text stands twice (64-bit polynomial hash and minimum) is repeated as it is.
+2. A segment whose whole text stands twice is repeated as it is. Texts are told apart by their BLAKE2
+   digest of 128 bits with the minimum: a cryptographic hash, in place of bringing their bytes together.
 3. What is left are minima with different segments: the ends of matches, where texts part. Of each
    different segment one copy is brought to the task of its minimum, and the suffixes there are sorted:
    by their first eight bytes, and then by mergesort, in which two suffixes are compared by a binary
    search for their common extension over prefix polynomial hashes. Neighbours with a common extension
    of ``length`` are compared byte for byte before they count.
 4. A minimum with more than ``GROUP`` different segments would not fit a task. Its segments are cut into
-   blocks of ``BLOCK`` starts, on which step 2 is done again; what is left is dealt by two independent
-   64-bit hashes of the first ``length`` bytes of each suffix, where equal ones meet.
+   blocks of ``BLOCK`` starts, on which step 2 is done again; what is left is dealt by the digest of the
+   first ``length`` bytes of each suffix, where equal ones meet.
 
 Texts are worked on in steps, so memory does not grow with their length.
 """
@@ -40,7 +41,7 @@ BLOCK = 16
 #: Suffixes sorted at once.
 BATCH = 1 << 17
 MASK = (1 << 64) - 1
-MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+MULTIPLIER = 0x9E3779B97F4A7C15
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -54,10 +55,10 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 @cache
-def _tables(which: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For one of the two hashes: a random value for each byte, powers of the multiplier, and of its inverse."""
-    base, n = MULTIPLIERS[which], STEP + 4 * LENGTH
-    return np.random.default_rng(20 + which).integers(0, 1 << 64, 256, np.uint64), _powers(base, n), _powers(pow(base, -1, 1 << 64), n)
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A random value for each byte, powers of the multiplier, and of its inverse."""
+    base, n = MULTIPLIER, STEP + 4 * LENGTH
+    return np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64), _powers(base, n), _powers(pow(base, -1, 1 << 64), n)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -69,18 +70,14 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Prefixes:
     """Prefix polynomial hashes of a byte array of at most STEP + 4 * LENGTH bytes."""
 
-    def __init__(self, b: np.ndarray, which: int = 0):
-        self.random, self.up, self.down = _tables(which)
+    def __init__(self, b: np.ndarray):
+        self.random, self.up, self.down = _tables()
         self.h = np.zeros(len(b) + 1, np.uint64)
         np.cumsum(self.random[b] * self.up[: len(b)], out=self.h[1:])
 
     def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.h[end] - self.h[start]) * self.down[start]
 
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of the strings from start to end."""
-        return _mixed(self.raw(start, end) + (end - start).astype(np.uint64))
-
     def every(self, n: int) -> np.ndarray:
         """Hashes of all strings of n bytes."""
         return _mixed((self.h[n:] - self.h[:-n]) * self.down[: len(self.h) - n] + np.uint64(n))
@@ -97,8 +94,13 @@ def _least(a: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
 
 
+def _marks(data: memoryview | bytes, low: list[int], high: list[int]) -> list[bytes]:
+    """The digests of the strings from low to high."""
+    return [hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(low, high, strict=True)]
+
+
 def segments(data: bytes, length: int = LENGTH, gram: int = GRAM) -> list[np.ndarray]:
-    """(minimum, hash of the segment's text, first start, number of starts) of each segment of a text."""
+    """(minimum, first start, number of starts) of each segment of a text."""
     parts = []
     b = np.frombuffer(data, np.uint8)
     for at in range(0, len(b) - length + 1, STEP):
@@ -109,8 +111,8 @@ def segments(data: bytes, length: int = LENGTH, gram: int = GRAM) -> list[np.nda
         # a minimum that leaves the window ends its segment, even where an equal one follows
         first = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (grams[: len(least) - 1] == least[:-1])]))
         n = np.diff(np.append(first, len(least)))
-        parts.append((least[first].view(np.int64), hashes.of(first, first + n + length - 1).view(np.int64), first + at, n))
-    return [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.empty(0, np.int64)] * 4
+        parts.append((least[first].view(np.int64), first + at, n))
+    return [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.empty(0, np.int64)] * 3
 
 
 class Suffixes:
@@ -194,69 +196,67 @@ def _find(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[list[np.ndarray]] = []
+            marks: list[bytes] = []
             of: list[int] = []
             for k in range(b.num_rows):
                 if len(data := b.column(2)[k].as_buffer() or b"") >= length:
                     rows.append(segments(data, length))
-                    of += [k] * len(rows[-1][0])
+                    _, first, n = rows[-1]
+                    marks += _marks(memoryview(data), first.tolist(), (first + n + (length - 1)).tolist())
+                    of += [k] * len(first)
                 if len(of) > 200_000 or k == b.num_rows - 1:
                     if rows:
                         columns = [pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)]
                         take = pa.array(of, pa.int32())
-                        yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), columns[0], columns[1], columns[2].cast(pa.int32()), columns[3].cast(pa.int32())], ["doc_id", "th", "least", "seg", "first", "n"])
-                    rows, of = [], []
+                        yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), columns[0], pa.array(marks, pa.binary()), columns[1].cast(pa.int32()), columns[2].cast(pa.int32())], ["doc_id", "th", "least", "seg", "first", "n"])
+                    rows, marks, of = [], [], []
 
     return run
 
 
 def _fetch(length: int):
     """Brings the text of the segments asked for. Those of hot minima come in blocks of BLOCK starts,
-    counted from the minimum, so that equal texts have equal blocks, with two hashes of each block."""
+    counted from the minimum, so that equal texts have equal blocks, with the digest of each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "th", "least", "block", "first", "data", "one", "two"]
+        names = ["doc_id", "th", "least", "block", "first", "data", "mark"]
         for b in batches:
             for k in range(b.num_rows):
                 data, out = b.column(2)[k].as_buffer(), []
                 for w in b.column(3)[k].as_py():
                     text = data[w["first"] : w["first"] + w["n"] + length - 1].to_pybytes()
                     if not w["hot"]:
-                        out.append((w["least"], None, w["first"], text, None, None))
+                        out.append((w["least"], None, w["first"], text, None))
                         continue
-                    piece = np.frombuffer(text, np.uint8)
-                    one, two = Prefixes(piece, 0), Prefixes(piece, 1)
-                    at = int(np.flatnonzero(one.every(GRAM).view(np.int64) == w["least"])[0])
+                    at = int(np.flatnonzero(Prefixes(np.frombuffer(text, np.uint8)).every(GRAM).view(np.int64) == w["least"])[0])
                     block = (at - np.arange(w["n"])) // BLOCK
                     low = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
                     high = np.append(low[1:], w["n"]) + length - 1
-                    hashes = [h.of(low, high).view(np.int64).tolist() for h in (one, two)]
-                    out += [(w["least"], int(block[x]), w["first"] + x, text[x:y], h, g) for x, y, h, g in zip(low.tolist(), high.tolist(), *hashes, strict=True)]
+                    low, high = low.tolist(), high.tolist()
+                    out += [(w["least"], int(block[x]), w["first"] + x, text[x:y], m) for x, y, m in zip(low, high, _marks(text, low, high), strict=True)]
                 if out:
                     same = pa.array([k] * len(out), pa.int32())
                     columns = list(zip(*out, strict=True))
-                    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+                    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
                     yield pa.RecordBatch.from_arrays([b.column(0).take(same), b.column(1).take(same), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names)
 
     return run
 
 
 def _windows(length: int):
-    """Two hashes of each string of `length` bytes of the blocks given."""
+    """The digest of each string of `length` bytes of the blocks given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            of, starts, ones, twos = [], [], [], []
+            of, starts, marks = [], [], []
             for k, (first, data) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                piece = np.frombuffer(data, np.uint8)
-                one, two = (Prefixes(piece, i).every(length).view(np.int64) for i in (0, 1))
-                of += [k] * len(one)
-                starts.append(first + np.arange(len(one)))
-                ones.append(one)
-                twos.append(two)
+                low = range(len(data) - length + 1)
+                of += [k] * len(low)
+                starts += [first + x for x in low]
+                marks += _marks(data, low, range(length, len(data) + 1))
             if of:
                 take = pa.array(of, pa.int32())
-                columns = [pa.array(np.concatenate(c)) for c in (starts, ones, twos)]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), columns[0].cast(pa.int32()), columns[1], columns[2]], ["doc_id", "th", "s", "one", "two"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(starts, pa.int32()), pa.array(marks, pa.binary())], ["doc_id", "th", "s", "mark"])
 
     return run
 
@@ -265,16 +265,16 @@ def _hot_spans(blocks: DataFrame, kind: str, length: int) -> DataFrame:
     """The repeated spans of blocks, however many there are of one minimum: whole blocks that stand
     twice, and of one copy of each different block the strings that do."""
     end = F.col("first") + F.octet_length("data")
-    texts = blocks.groupBy("least", "block", "one", "two").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "first")).alias("at"))
+    texts = blocks.groupBy("least", "block", "mark").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "first")).alias("at"))
     texts = written(texts, "block-texts")
     several = texts.groupBy("least", "block").agg(F.count("*").alias("m")).where("m > 1").select("least", "block")
-    keys = ["least", "block", "one", "two"]
+    keys = ["least", "block", "mark"]
     whole = blocks.join(texts.where("c > 1").select(*keys), keys, "left_semi").select("doc_id", "th", F.col("first").alias("s"), end.alias("e"))
     places = texts.join(several, ["least", "block"], "left_semi").select(F.col("at.doc_id").alias("d"), F.col("at.th").alias("t"), F.col("at.first").alias("f"))
     chosen = blocks.join(places, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")) & (F.col("first") == F.col("f")), "left_semi")
-    windows = written(chosen.select("doc_id", "th", "first", "data").mapInArrow(_windows(length), f"doc_id {kind}, th bigint, s int, one bigint, two bigint"), "windows")
-    same = windows.groupBy("one", "two").agg(F.count("*").alias("c")).where("c > 1").select("one", "two")
-    met = windows.join(same, ["one", "two"], "left_semi").select("doc_id", "th", "s", (F.col("s") + length).alias("e"))
+    windows = written(chosen.select("doc_id", "th", "first", "data").mapInArrow(_windows(length), f"doc_id {kind}, th bigint, s int, mark binary"), "windows")
+    same = windows.groupBy("mark").agg(F.count("*").alias("c")).where("c > 1").select("mark")
+    met = windows.join(same, "mark", "left_semi").select("doc_id", "th", "s", (F.col("s") + length).alias("e"))
     return whole.unionByName(met)
 
 
@@ -341,14 +341,17 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, group: int = GROUP) ->
     """Rows (doc_id, th, s, e), spans of bytes to remove, from rows (doc_id, th, data)."""
     kind = rows.schema["doc_id"].dataType.simpleString()
     spark = rows.sparkSession
-    found = written(rows.where(F.octet_length("data") >= length).mapInArrow(_find(length), f"doc_id {kind}, th bigint, least bigint, seg bigint, first int, n int"), "segments")
+    found = written(rows.where(F.octet_length("data") >= length).mapInArrow(_find(length), f"doc_id {kind}, th bigint, least bigint, seg binary, first int, n int"), "segments")
     twice = found.groupBy("least").agg(F.count("*").alias("c")).where("c > 1").select("least")
     live = written(found.join(twice, "least", "left_semi"), "shared-segments")
     discard(found)
     release(spark)
-    texts = live.groupBy("least", "seg", "n").agg(F.count("*").alias("c"))
+    # written before the join, so that it reads an exchange of its own, which can be split where a
+    # minimum has very many texts
+    texts = written(live.groupBy("least", "seg", "n").agg(F.count("*").alias("c")), "segment-counts")
     kinds = texts.groupBy("least").agg(F.count("*").alias("m"))
-    texts = written(texts.join(kinds, "least"), "segment-texts")
+    counted, texts = texts, written(texts.join(kinds, "least"), "segment-texts")
+    discard(counted)
     release(spark)
     joined = live.join(texts, ["least", "seg", "n"])
     whole = joined.where("c > 1").select("doc_id", "th", F.col("first").alias("s"), (F.col("first") + F.col("n") + (length - 1)).alias("e"))
@@ -357,7 +360,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, group: int = GROUP) ->
     wanted = chosen.select("at.doc_id", "at.th", F.struct("least", "at.first", "n", (F.col("m") > group).alias("hot")).alias("w")).groupBy("doc_id", "th").agg(F.collect_list("w").alias("wanted"))
     wanted = wanted.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "wanted")
     asked = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["d"]) & (rows["th"] == wanted["t"]))
-    fetched = written(asked.select("doc_id", "th", "data", "wanted").mapInArrow(_fetch(length), f"doc_id {kind}, th bigint, least bigint, block int, first int, data binary, one bigint, two bigint"), "pieces")
+    fetched = written(asked.select("doc_id", "th", "data", "wanted").mapInArrow(_fetch(length), f"doc_id {kind}, th bigint, least bigint, block int, first int, data binary, mark binary"), "pieces")
     release(spark)
     pieces = fetched.where("block is null").select("doc_id", "th", "least", "first", "data").repartition("least").sortWithinPartitions("least")
     sorted_ = pieces.mapInArrow(_sort(length), f"doc_id {kind}, th bigint, s int, e int")
@@ -384,4 +387,5 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by remove_repeats; nulls, ties and repeated rows as it says."""
     return remove_repeats(table(spark, sf_dir, "documents"))
