@@ -104,6 +104,9 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     drawn = rows.select("lang", "doc_id").withColumn("draw", draw)
     sizes = drawn.groupBy("lang").agg(F.count("*").alias("n"))
     order = Window.partitionBy("lang").orderBy("draw", "doc_id")
+    sizes = written(sizes, "language-sizes")
+    if sizes.count() <= BROADCAST_ROWS:  # a row a language; beyond it the join shuffles by language
+        sizes = F.broadcast(sizes)
     near = drawn.join(sizes, "lang").where(F.col("draw") * F.col("n") < 3 * sample_per_language)
     chosen = written(near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_per_language).select("lang", "doc_id").distinct(), "sample-ids")
     if chosen.count() <= BROADCAST_ROWS:  # sample_per_language for each language: small unless languages are very many
@@ -162,6 +165,8 @@ def fold(doc_id: str = "doc_id") -> Column:
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document. Nulls, texts without letters and ties as in Profiles.predict; an empty table
+    gives no rows; repeated rows are alike; extra columns are ignored."""
     docs = own_columns(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
     profiles = learn(docs.where(fold() != 2))
     out = with_language(docs, profiles)
@@ -170,7 +175,8 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language can be told: those with letters, and with an n-gram that
-    some profile has. Columns stay as they are."""
+    some profile has. Columns stay as they are, whatever they are called; null and empty texts go; a null
+    lang or doc_id costs nothing but a place in the sample; repeated rows stay or go together."""
     profiles = learn(docs.where(fold() != 2))
     rated = with_language(docs, profiles, pred="__pred", score="__score")
     return rated.where((F.col("__pred") != UNKNOWN) & (F.col("__score") > 0)).drop("__pred", "__score")
