@@ -14,6 +14,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,10 +41,11 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORDS = re.compile(r"[a-z]+(?:-box)?")
 FADE = 0.75
+HEIGHT = 50
 
 
 class Node:
-    __slots__ = ("attrs", "dropped", "items", "key", "own", "parent", "tag")
+    __slots__ = ("attrs", "dropped", "items", "key", "mark", "own", "parent", "tag")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
         self.tag, self.attrs, self.parent, self.items = tag, attrs, parent, []
@@ -57,10 +59,24 @@ class Node:
         self.own = inside or tag in ("article", "main") or attrs.get("role") == "main"
         classes = sorted({re.sub(r"[\d_-]+$|\d+", "", c) for c in attrs.get("class", "").lower().split()} - {""})[:3]
         self.key = ".".join([tag, *classes])
+        # the path, as a number that a child makes of its parent's: a path as text is made where one is voted for
+        self.mark = xxhash.xxh64_intdigest(self.key, seed=parent.mark if parent is not None else 0)
 
     @property
     def path(self) -> str:
-        return (f"{self.parent.path}>" if self.parent is not None else "") + self.key
+        keys, x = [], self
+        while x is not None:
+            keys.append(x.key)
+            x = x.parent
+        return ">".join(reversed(keys))
+
+
+def mark_of(path: str) -> int:
+    """The mark of the nodes with a path."""
+    mark = 0
+    for key in path.split(">"):
+        mark = xxhash.xxh64_intdigest(key, seed=mark)
+    return mark
 
 
 def parse(source: str) -> Node:
@@ -155,13 +171,14 @@ def _block(x: Node) -> Node:
 
 
 def scores(root: Node) -> list[tuple[float, Node]]:
-    """The score of each container that holds text, best first; equal scores in page order."""
+    """The score of each container that holds text, best first; equal scores in page order. Above HEIGHT
+    containers the share of a block is below a millionth, and the walk up ends."""
     found: dict[int, list] = {}
     for k, (text, linked, block) in enumerate(blocks(root)):
         good = len(text) - 2 * linked
         far = 0
         x: Node | None = block
-        while x is not None:
+        while x is not None and far < HEIGHT:
             if x.tag in CONTAINER or x is root:
                 named = 3.0 if x.tag in ("article", "main") or x.attrs.get("role") == "main" or x.attrs.get("itemprop") == "articleBody" else 0.5 if x.tag in ("#", "html", "body") else 1.0
                 if any(w in ("content", "article", "post", "entry", "story", "body", "main", "text") for w in WORDS.findall(f"{x.attrs.get('class', '')} {x.attrs.get('id', '')}".lower())):
@@ -202,10 +219,10 @@ def extract(source: str | None, path: str | None = None) -> str:
     root = parse(source or "")
     chosen: list[Node] = []
     if path is not None:
-        stack = [root]
+        stack, mark = [root], mark_of(path)
         while stack:
             x = stack.pop()
-            if not x.dropped and x.path == path:
+            if not x.dropped and x.mark == mark and x.path == path:
                 chosen.append(x)
             else:
                 stack += [i for i in reversed(x.items) if not isinstance(i, str)]
@@ -257,4 +274,5 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", sour
 
 
 def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages by main_text; nulls, empty and repeated rows as it says."""
     return main_text(table(spark, sf_dir, "pages"))
