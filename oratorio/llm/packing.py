@@ -158,8 +158,11 @@ def default_tokenizer() -> str:
 
 
 def op8_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by pack; nulls, empty and repeated rows as it says."""
     return pack(table(spark, sf_dir, "documents"), default_tokenizer())
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of pack. Null and empty texts are one token; repeated rows are packed as often as they
+    stand; rows with a null doc_id keep it; extra columns are ignored; an empty table gives no rows."""
     return pack(docs, default_tokenizer())
