@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import re
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,19 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: spark.checkpoint.dir, which executors and driver share.
-
-    In local mode, where it may be unset, a temporary folder is set; on a cluster that is an error.
-    """
+    """The folder for intermediate tables: spark.checkpoint.dir, which executors and driver share. Where
+    it is unset, as in a local session, it is set to a folder in the warehouse, which they share too."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
-    if path:
-        return path.rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master or ""):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    path = tempfile.mkdtemp(prefix="oratorio-")
-    atexit.register(shutil.rmtree, path, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if not path:
+        path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -81,6 +72,22 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def numbered(docs: DataFrame, name: str = "__row") -> DataFrame:
+    """docs with a number for each row, written, so that every later reading sees the same numbers. Its
+    other columns are c0, c1, ..., so that no name of docs can clash with one of ours."""
+    return written(docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)], F.monotonically_increasing_id().alias(name)), "numbered")
+
+
+def named_as(rows: DataFrame, docs: DataFrame) -> list[Column]:
+    """The columns of numbered(docs) under the names that they have in docs."""
+    return [rows[f"c{k}"].alias(c) for k, c in enumerate(docs.columns)]
+
+
+def column_of(docs: DataFrame, name: str) -> str:
+    """The name that a column of docs has in numbered(docs)."""
+    return f"c{docs.columns.index(name)}"
+
+
 def shuffles(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
