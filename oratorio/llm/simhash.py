@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_hex, own_columns, release, table, written
+from .common import column_of, lower_hex, named_as, numbered, own_columns, release, table, written
 from .graph import components
 
 SEED = 42
@@ -162,11 +162,108 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by near_duplicates; nulls, ties and repeated rows as it says."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: Of the bands of a text: how many, and the least hashes that each is made of. Texts of similarity 0.8
+#: have a band in common with probability 1 - (1 - 0.8 ** 5) ** 12, over 0.99.
+BANDS, LEAST = 12, 5
+
+
+def shingles(text: str | None, n: int) -> np.ndarray:
+    """The distinct hashes of the text's shingles of n words (fewer words: the whole sequence)."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    n = min(n, len(words))
+    each = map(b" ".join, zip(*(words[i:] for i in range(n)), strict=False))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, seed=SEED) for s in each), np.uint64))
+
+
+_odd = np.random.default_rng(10).integers(0, 1 << 63, BANDS * LEAST, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def bands(h: np.ndarray) -> list[int]:
+    """A hash for each band: of LEAST minima, each in an order of its own, of the shingles' hashes."""
+    if not len(h):
+        return []
+    least = np.full(BANDS * LEAST, MASK, np.uint64)
+    for at in range(0, len(h), 4096):
+        x = h[at : at + 4096, None] * _odd
+        least = np.minimum(least, ((x ^ (x >> np.uint64(29))) * np.uint64(0xFF51AFD7ED558CCD)).min(0))
+    return [xxhash.xxh64_intdigest(least[k * LEAST : (k + 1) * LEAST].tobytes(), seed=k) for k in range(BANDS)]
+
+
+def similarity(a: str | None, b: str | None, n: int) -> float:
+    """Jaccard similarity of the texts' shingles; two without words are alike."""
+    x, y = shingles(a, n), shingles(b, n)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+
+
+def _sketch(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            digests = [hashlib.blake2b((t or "").encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
+            fp = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
+            own = [np.array(bands(shingles(t, shingle)), np.uint64).view(np.int64).tolist() for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(digests, pa.binary()), pa.array(fp), pa.array(own, pa.list_(pa.int64()))], ["row", "doc_id", "digest", "fp", "bands"])
+
+    return run
+
+
+def _alike(shingle: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [similarity(x.as_py(), y.as_py(), shingle) >= least for x, y in zip(b.column(2), b.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
+def representatives(rows: DataFrame, row: str, text: str, doc_id: str, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """Rows (row): of each group of near copies the row that stays, that with the smallest doc_id, nulls
+    last, and then the smallest row number. Groups are the components of pairs of texts whose shingles
+    have a Jaccard similarity of `least` or more.
+
+    Equal texts are one node. Candidate pairs have SimHash fingerprints within three bits, or a band in
+    common: at a similarity of 0.8 some ten of 64 bits differ, which blocks of a fingerprint cannot reach.
+    A text is paired with the first and the last of its band, never all with all, and every candidate's
+    similarity is taken of the whole texts. Null and empty texts are alike.
+    """
+    kind = rows.schema[doc_id].dataType.simpleString()
+    sketches = written(rows.select(row, text, doc_id).mapInArrow(_sketch(shingle), f"row bigint, doc_id {kind}, digest binary, fp bigint, bands array<bigint>"), "sketches")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    texts = written(sketches.groupBy("digest").agg(F.min(F.struct(order.alias("o"), "fp", "bands")).alias("f")).select("f.o", F.col("f.o.row").alias("node"), "f.fp", "f.bands"), "texts")
+    marks = texts.groupBy("fp").agg(F.min("node").alias("head"))
+    marks = written(marks, "marks")
+    close = links(marks)
+    x, y = (marks.select(F.col("fp").alias(n), F.col("head").alias(f"h{n}")) for n in ("a", "b"))
+    pairs = close.join(x, "a").join(y, "b").select(F.col("ha").alias("a"), F.col("hb").alias("b")).unionByName(texts.join(marks, "fp").select(F.col("head").alias("a"), F.col("node").alias("b")))
+    shared = texts.select("node", F.explode("bands").alias("band"))
+    ends = shared.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
+    met = shared.join(ends, "band").select("node", F.explode(F.array("lo", "hi")).alias("a")).select("a", F.col("node").alias("b"))
+    pairs = pairs.unionByName(met).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = written(pairs, "pairs")
+    whole = rows.select(F.col(row).alias("node"), F.col(text).alias("text"))
+    second = pairs.join(whole.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    both = second.join(whole.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+    roots = components(both.mapInArrow(_alike(shingle, least), "a bigint, b bigint"))
+    kept = texts.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("o").alias("o"))
+    release(rows.sparkSession)
+    return kept.select(F.col("o.row").alias("row"))
+
+
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies, that with the smallest doc_id."""
-    groups = near_duplicates(docs)
-    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """Keeps one row of each group of near copies, by representatives: five-word shingles, similarity 0.8
+    or more. Null and empty texts are one group; rows without a doc_id stay only where no other of their
+    group has one; of repeated rows one stays; extra columns, whatever they are called, stay as they are;
+    an empty table gives no rows."""
+    rows = numbered(docs)
+    keep = written(representatives(rows, "__row", column_of(docs, "text"), column_of(docs, "doc_id")), "kept")
+    left = rows.join(keep, rows["__row"] == keep["row"], "left_semi")
+    return left.select(*named_as(left, docs))
