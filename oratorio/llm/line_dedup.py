@@ -1,88 +1,132 @@
 """Removal of repeated runs of lines by winnowing, in DataFrame functions only.
 
-A document is the sequence of its non-blank lines, trimmed; blank lines stay where they are. A run is
-``window`` lines in a row, or one line of at least ``long_words`` words. A line goes if it lies in a run
-that also stands earlier, by doc_id and then by line; the first occurrence of each run stays.
-
-Of each window of line hashes the minimum is selected (the last of equal ones), and every long line:
-whatever two documents share of at least one run, they share a selected line. Selected lines are
-counted by hash, and those that occur once end there. The others are joined with their counts and
-extended to both sides: each run around the selected line is compared with the first occurrence of an
-equal run. Counts and first occurrences are aggregated before they are shuffled, so that a line in a
-third of all documents costs a row a task.
+A document is the sequence of its non-blank lines, trimmed; blank lines stay where they are. Two lines in
+a row are a gram, and of each ``WINDOW`` grams in a row the least hash is selected (the last of equal
+ones): whatever two documents share of ``WINDOW`` + 1 lines, they share a selected gram. A line of at
+least ``long_words`` words is selected by itself. Each selected place is joined with the first place, by
+doc_id and then by line, where the same is selected. Places of one pair of documents at one distance are
+a diagonal: both documents are compared line by line from the first to the last of them, and on to both
+sides while lines are equal. Of what is equal there, two lines in a row or a long line go from the later
+place; the first occurrence stays.
+
+Counts and first places are aggregated before they are shuffled and written before they are joined, so
+that a line in a third of all documents costs a row a task, and its join can be split.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, own_columns, table, written
+from .common import WORD, column_of, named_as, numbered, table, written
 
+#: Grams of a window. Lines compared at once when a match is extended; longer matches are compared whole.
+WINDOW = 2
+STEP = 16
 
-def line_runs(docs: DataFrame, text: str, doc_id: str, window: int, long_words: int) -> DataFrame:
-    """Rows (doc_id, selected, place, h, g, at, size, lines), one for each run: the hash of its selected
-    line and where that stands, the run's two hashes, its start, its length and its lines' indexes."""
+
+def hashed_lines(rows: DataFrame, row: str, text: str, doc_id: str, long_words: int) -> DataFrame:
+    """Rows (row, doc_id, h, i, long), arrays with a value for each line that is not blank: its hash, its
+    index and whether it is long."""
     lines = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda s: F.trim(F.regexp_replace(s, "^[\\s]+|[\\s]+$", "")))
-    numbered = F.filter(F.transform(lines, lambda s, i: F.struct(i.alias("i"), s.alias("s"))), lambda x: x["s"] != "")
-    hashed = F.transform(numbered, lambda x: F.struct(x["i"].alias("i"), F.xxhash64(x["s"]).alias("h"), F.xxhash64(x["s"], F.lit(17)).alias("g"), (F.regexp_count(x["s"], F.lit(WORD)) >= long_words).alias("long")))
-    per = own_columns(docs, doc_id, text).select(F.col(doc_id).alias("doc_id"), hashed.alias("x")).where(F.size("x") > 0)
-    starts = F.sequence(F.lit(0), F.size("x") - window)
-    windows = F.when(F.size("x") >= window, F.transform(starts, lambda k: _run(F.slice("x", k + 1, window), k, window)))
-    singles = F.filter(F.transform("x", lambda x, k: F.struct(F.when(x["long"], x["h"]).alias("selected"), k.cast("int").alias("place"), x["h"].alias("h"), x["g"].alias("g"), k.cast("int").alias("at"), F.lit(1).alias("size"))), lambda r: r["selected"].isNotNull())
-    runs = F.concat(F.coalesce(windows, F.array().cast("array<struct<selected:bigint,place:int,h:bigint,g:bigint,at:int,size:int>>")), singles)
-    return per.select("doc_id", F.col("x.i").alias("index"), F.explode(runs).alias("r")).select("doc_id", "r.*", F.slice("index", F.col("r.at") + 1, F.col("r.size")).alias("lines"))
-
-
-def _run(part, k, window: int):
-    hs = F.transform(part, lambda x: x["h"])
-    least = F.array_min(hs)
-    last = F.lit(window) - F.array_position(F.reverse(hs), least)
-    return F.struct(least.alias("selected"), (k + last).cast("int").alias("place"), F.xxhash64(hs).alias("h"), F.xxhash64(F.transform(part, lambda x: x["g"])).alias("g"), k.cast("int").alias("at"), F.lit(window).alias("size"))
-
-
-def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = 2, long_words: int = 50) -> DataFrame:
-    """Rows (doc_id, lines): the sorted indexes, from 0, of the lines of a document that go."""
-    runs = written(line_runs(docs, text, doc_id, window, long_words), "line-runs")
-    # places count, not the windows that share one
-    spread = runs.groupBy("selected").agg(*[f(c).alias(f"{n}_{c}") for c in ("doc_id", "place") for n, f in (("least", F.min), ("most", F.max))])
-    shared = spread.where("least_doc_id <> most_doc_id or least_place <> most_place or (least_doc_id is null) <> (most_doc_id is null)").select("selected")
-    live = runs.join(shared, "selected", "left_semi")
-    first = live.groupBy("size", "h", "g").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = live.join(first, ["size", "h", "g"]).where(F.struct("doc_id", "at") > F.col("first"))
-    gone = later.select("doc_id", F.explode("lines").alias("line")).distinct()
-    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_list("line")).alias("lines"))
-
-
-def without_repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = 2, long_words: int = 50) -> DataFrame:
+    numbered_ = F.filter(F.transform(lines, lambda s, i: F.struct(i.alias("i"), s.alias("s"))), lambda x: x["s"] != "")
+    hashed = F.transform(numbered_, lambda x: F.struct(x["i"].alias("i"), F.md5(x["s"].cast("binary")).alias("h"), (F.regexp_count(x["s"], F.lit(WORD)) >= long_words).alias("long")))
+    per = rows.select(F.col(row).alias("row"), F.col(doc_id).alias("doc_id"), hashed.alias("x")).where(F.size("x") > 0)
+    return per.select("row", "doc_id", F.col("x.h").alias("h"), F.col("x.i").alias("i"), F.col("x.long").alias("long"))
+
+
+def selected(lines: DataFrame) -> DataFrame:
+    """Rows (g, row, doc_id, at, size): the selected grams and long lines with their places."""
+    n = F.size("h")
+    grams = F.when(n > 1, F.zip_with(F.slice("h", F.lit(1), n - 1), F.slice("h", F.lit(2), n - 1), lambda a, b: F.md5(F.concat(a, b).cast("binary")))).otherwise(F.array().cast("array<string>"))
+    rows = lines.select("row", "doc_id", "h", "long", grams.alias("g"))
+
+    def least(g: Column, k: Column) -> Column:
+        # of a window of two: not above the one before, or below the one behind
+        return (F.size("g") == 1) | F.coalesce(g <= F.get("g", k - 1), F.lit(False)) | F.coalesce(g < F.get("g", k + 1), F.lit(False))
+
+    chosen = F.filter(F.transform("g", lambda g, k: F.struct(F.when(least(g, k), g).alias("g"), k.cast("int").alias("at"), F.lit(2).alias("size"))), lambda x: x["g"].isNotNull())
+    alone = F.filter(F.zip_with("h", F.transform("long", lambda x, k: F.struct(x.alias("long"), k.alias("k"))), lambda h, x: F.struct(F.when(x["long"], F.concat(F.lit("line "), h)).alias("g"), x["k"].cast("int").alias("at"), F.lit(1).alias("size"))), lambda x: x["g"].isNotNull())
+    return rows.select("row", "doc_id", F.inline(F.concat(chosen, alone)))
+
+
+def _equal(a: Column, b: Column, back: bool = False) -> Column:
+    """How many lines are equal from the start of both, or from the end; first by a short step."""
+
+    def run(n: Column) -> Column:
+        x, y = (F.reverse(F.slice(c, F.greatest(F.size(c) - n, F.lit(0)) + 1, n)) if back else F.slice(c, F.lit(1), n) for c in (a, b))
+        return F.array_position(F.zip_with(x, y, lambda p, q: p == q), F.lit(False)).cast("int")
+
+    n = F.least(F.size(a), F.size(b))
+    short = run(F.least(n, F.lit(STEP)))
+    whole = F.when(n > STEP, run(n)).otherwise(0)
+    return F.when(short > 0, short - 1).when(whole > 0, whole - 1).otherwise(n)
+
+
+def repeated_lines(rows: DataFrame, row: str, text: str, doc_id: str, long_words: int = 50) -> DataFrame:
+    """Rows (row, lines): the sorted indexes, from 0, of the lines of a document that go. Documents are in
+    the order of doc_id, nulls last, and row."""
+    lines = written(hashed_lines(rows, row, text, doc_id, long_words), "lines")
+    places = written(selected(lines), "selected")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "at")
+    first = written(places.groupBy("g").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("g", F.col("first.row").alias("a"), F.col("first.at").alias("a_at")), "first")
+    later = places.join(first, "g").where("row <> a or at <> a_at")
+    diagonals = later.groupBy("row", "a", (F.col("at") - F.col("a_at")).alias("d")).agg(F.min("at").alias("lo"), F.max(F.col("at") + F.col("size") - 1).alias("hi"))
+    diagonals = written(diagonals, "diagonals")
+    own, other = lines.select("row", "h", "i", "long"), lines.select(F.col("row").alias("a"), F.col("h").alias("o"))
+    both = diagonals.join(other, "a").join(own, "row")
+    lo, hi, d = F.col("lo"), F.col("hi"), F.col("d")
+    left = _equal(F.slice("h", F.lit(1), lo), F.slice("o", F.lit(1), lo - d), back=True)
+    right = _equal(F.slice("h", hi + 2, F.size("h")), F.slice("o", hi - d + 2, F.size("o")))
+    both = both.withColumn("start", lo - left).withColumn("n", hi + right - F.col("start") + 1)
+    same = F.zip_with(F.slice("h", F.col("start") + 1, F.col("n")), F.slice("o", F.col("start") - d + 1, F.col("n")), lambda x, y: x == y)
+    both = both.select("row", "i", "long", "start", same.alias("same"))
+    near = lambda k: F.coalesce(F.get("same", k - 1), F.lit(False)) | F.coalesce(F.get("same", k + 1), F.lit(False)) | F.get("long", F.col("start") + k)
+    gone = F.filter(F.transform("same", lambda x, k: F.when(x & near(k), F.get("i", F.col("start") + k))), lambda x: x.isNotNull())
+    return both.select("row", F.explode(gone).alias("line")).distinct().groupBy("row").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+
+
+def without_lines(text: Column, lines: Column) -> Column:
+    """The text less the lines with these indexes; as it is where lines is null."""
+    return F.when(lines.isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda s, i: ~F.array_contains(lines, i)), "\n"))
+
+
+def without_repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", long_words: int = 50) -> DataFrame:
     """docs with the repeated runs of lines taken out of the text; all rows and columns stay.
 
-    Null texts stay null, and empty ones empty. A text without a repeated run is unchanged to the
-    byte. Rows with an equal doc_id count as one place, so that neither is later than the other.
+    Null texts stay null, and empty ones empty. A text without a repeated run is unchanged to the byte.
+    Of rows with one doc_id, or without one, the first to be numbered is the earlier; rows without a
+    doc_id are later than all others. Other columns, n_chars too, are left as they are.
     """
-    gone = repeated_lines(docs, text, doc_id, window, long_words).select(F.col("doc_id").alias("__id"), F.col("lines").alias("__gone"))
-    joined = docs.join(gone, F.col(doc_id) == F.col("__id"), "left")
-    kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda s, i: ~F.array_contains("__gone", i)), "\n")
-    return joined.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = numbered(docs)
+    at = column_of(docs, text)
+    gone = repeated_lines(rows, "__row", at, column_of(docs, doc_id), long_words).withColumnRenamed("row", "of")
+    joined = rows.join(gone, rows["__row"] == gone["of"], "left")
+    return joined.withColumn(at, without_lines(F.col(at), F.col("lines"))).select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: its lines, the lines removed, and the text that stays with its SHA-256."""
-    docs = own_columns(table(spark, sf_dir, "documents"), "doc_id", "text")
-    gone = repeated_lines(docs)
-    joined = docs.join(gone, "doc_id", "left")
-    parts = F.split(F.coalesce("text", F.lit("")), "\n")
-    kept = F.array_join(F.filter(parts, lambda s, i: ~F.array_contains("lines", i)), "\n")
-    new = F.when(F.col("lines").isNull(), F.coalesce("text", F.lit(""))).otherwise(kept)
-    return joined.select("doc_id", F.size(parts).cast("long").alias("n_lines"), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_removed"), F.sha2(new, 256).alias("kept_sha256"))
+    """Per document: its lines, the lines removed, and the SHA-256 of the text that stays. Null texts count
+    as empty: one line, none removed. Order and ties as in without_repeated_lines; repeated rows come out
+    as often as they stand, extra columns are ignored, an empty table gives no rows."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = numbered(docs)
+    gone = repeated_lines(rows, "__row", "c1", "c0").withColumnRenamed("row", "of")
+    joined = rows.join(gone, rows["__row"] == gone["of"], "left")
+    whole = F.coalesce(F.col("c1"), F.lit(""))
+    return joined.select(F.col("c0").alias("doc_id"), F.size(F.split(whole, "\n")).cast("long").alias("n_lines"), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_removed"), F.sha2(without_lines(whole, F.col("lines")), 256).alias("kept_sha256"))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """without_repeated_lines, with n_chars made anew where docs have it (null for null texts). Rows stay,
+    also those of which no line is left; nulls, ties, repeated rows and other columns as it says."""
     out = without_repeated_lines(docs)
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    if "n_chars" not in docs.columns:
+        return out
+    return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
-#: DuckDB over the whole table, by the definition above: all runs, not only those with a selected line.
+#: DuckDB over the whole table, by the definition above.
 OP6_SQL = r"""
 WITH parts AS (
   SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS p FROM documents
@@ -90,16 +134,31 @@ WITH parts AS (
   SELECT doc_id, i - 1 AS line, trim(regexp_replace(p[i], '^[\s]+|[\s]+$', '', 'g')) AS s
   FROM parts, unnest(range(1, len(p) + 1)) AS u(i)
 ), body AS (
-  SELECT doc_id, line, s, lead(s) OVER w AS s2, lead(line) OVER w AS line2
-  FROM lines WHERE s <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY line)
-), runs AS (
-  SELECT doc_id, line, line2, s || chr(10) || s2 AS run FROM body WHERE s2 IS NOT NULL
+  SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS pos, md5(s) AS h,
+    len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) >= 50 AS long
+  FROM lines WHERE s <> ''
+), pairs AS (
+  SELECT doc_id, pos, md5(h || lead(h) OVER (PARTITION BY doc_id ORDER BY pos)) AS g FROM body
+), beside AS (
+  SELECT *, lag(g) OVER w AS before, lead(g) OVER w AS behind FROM pairs WHERE g IS NOT NULL WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+), places AS (
+  SELECT doc_id, pos, 2 AS size, g FROM beside WHERE (before IS NULL AND behind IS NULL) OR coalesce(g <= before, false) OR coalesce(g < behind, false)
   UNION ALL
-  SELECT doc_id, line, line, s FROM body WHERE len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) >= 50
+  SELECT doc_id, pos, 1, 'line ' || h FROM body WHERE long
 ), dated AS (
-  SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, line) AS k FROM runs
+  SELECT *, first_value(doc_id) OVER w AS a, first_value(pos) OVER w AS a_pos FROM places WINDOW w AS (PARTITION BY g ORDER BY doc_id, pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+), diagonals AS (
+  SELECT doc_id, a, pos - a_pos AS d, min(pos) AS lo, max(pos + size - 1) AS hi FROM dated WHERE doc_id <> a OR pos <> a_pos GROUP BY ALL
+), cells AS (
+  SELECT x.*, b.pos, b.line, b.long, b.h = o.h AS same
+  FROM diagonals x JOIN body b ON b.doc_id = x.doc_id JOIN body o ON o.doc_id = x.a AND o.pos = b.pos - x.d
+), reach AS (
+  SELECT doc_id, a, d, coalesce(max(pos) FILTER (NOT same AND pos < lo), -1) AS low, coalesce(min(pos) FILTER (NOT same AND pos > hi), 1000000000) AS high FROM cells GROUP BY ALL
+), inside AS (
+  SELECT c.*, lag(same, 1, false) OVER w AS before, lead(same, 1, false) OVER w AS behind
+  FROM cells c JOIN reach r ON c.doc_id = r.doc_id AND c.a = r.a AND c.d = r.d AND c.pos > low AND c.pos < high WINDOW w AS (PARTITION BY c.doc_id, c.a, c.d ORDER BY c.pos)
 ), gone AS (
-  SELECT DISTINCT doc_id, l AS line FROM dated, unnest([line, line2]) AS u(l) WHERE k > 1
+  SELECT DISTINCT doc_id, line FROM inside WHERE same AND (before OR behind OR long)
 ), per AS (
   SELECT doc_id, list(line) AS g FROM gone GROUP BY doc_id
 )

@@ -1,7 +1,9 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing extra columns."""
 
+import hashlib
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,11 +74,58 @@ def test_pii_adds_likely_spans(spark):
 
 
 def test_repeated_runs_of_lines(spark):
-    a, b, c = "alpha beta gamma", "delta epsilon", "zeta eta theta"
+    a, b, c, d = "alpha beta gamma", "delta epsilon", "zeta eta theta", "iota kappa"
     long = " ".join(f"w{i}" for i in range(60))
-    rows = [(1, f"{a}\n{b}\n{c}"), (2, f"intro here\n{a}\n\n{b}\nend"), (3, f"{b}\nother\n{a}"), (4, long), (5, f"x\n{long}\ny")]
+    rows = [(1, f"{a}\n{b}\n{c}\n{d}"), (2, f"intro here\n{a}\n\n{b}\n{c}\nend"), (3, f"{b}\nother\n{a}\nmore\n{d}"), (4, long), (5, f"x\n{long}\ny"), (6, f"{b}\n{c}\n{d}\nlast")]
     got = {r.doc_id: r.text for r in line_dedup.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: rows[0][1], 2: "intro here\n\nend", 3: rows[2][1], 4: long, 5: "x\ny"}
+    assert got == {1: rows[0][1], 2: "intro here\n\nend", 3: rows[2][1], 4: long, 5: "x\ny", 6: "last"}
+
+
+def _brute_lines(texts):
+    """The lines that go, found plainly: selected grams, first places, and a walk both ways along each diagonal."""
+    docs = [[(i, s.strip()) for i, s in enumerate(t.split("\n")) if s.strip()] for t in texts]
+    h = [[hashlib.md5(s.encode()).hexdigest() for _, s in d] for d in docs]
+    long = [[len(s.split()) >= 50 for _, s in d] for d in docs]
+    first, seeds = {}, []
+    for r, x in enumerate(h):
+        g = [hashlib.md5((p + q).encode()).hexdigest() for p, q in zip(x, x[1:], strict=False)]
+        picked = {w + max(k for k in range(len(g[w : w + 2])) if g[w + k] == min(g[w : w + 2])) for w in range(max(1, len(g) - 1)) if g}
+        for key, at, size in [(g[k], k, 2) for k in sorted(picked)] + [(("long", x[k]), k, 1) for k in range(len(x)) if long[r][k]]:
+            if key in first:
+                seeds.append((r, at, size, *first[key]))
+            else:
+                first[key] = (r, at)
+    spans = {}
+    for r, at, size, a, q in seeds:
+        low, high = spans.get((r, a, at - q), (at, at + size - 1))
+        spans[r, a, at - q] = min(low, at), max(high, at + size - 1)
+    gone = [set() for _ in texts]
+    for (r, a, d), (low, high) in spans.items():
+        while low > 0 and low - d > 0 and h[r][low - 1] == h[a][low - 1 - d]:
+            low -= 1
+        while high + 1 < len(h[r]) and high + 1 - d < len(h[a]) and h[r][high + 1] == h[a][high + 1 - d]:
+            high += 1
+        same = {k for k in range(low, high + 1) if h[r][k] == h[a][k - d]}
+        gone[r] |= {docs[r][k][0] for k in same if k - 1 in same or k + 1 in same or long[r][k]}
+    return ["\n".join(s for i, s in enumerate(t.split("\n")) if i not in g) for t, g in zip(texts, gone, strict=True)]
+
+
+def test_lines_against_brute_force(spark):
+    random = np.random.default_rng(6)
+    pool = [f"line {k} of the pool" for k in range(12)] + [" ".join(f"long{k}" for k in range(55)), ""]
+    passage = [f"passage {k}" for k in range(30)]
+    texts = ["\n".join(pool[k] for k in random.integers(0, len(pool), n)) for n in (0, 1, 2, 3, 5, 9, 40, 60)]
+    texts += ["\n".join([f"own {n}", *passage[n : 30 - n], f"end {n}"]) for n in range(4)] + ["same\n" * 6]
+    got = {r.doc_id: r.text for r in line_dedup.without_repeated_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    assert [got[k] for k in range(len(texts))] == _brute_lines(texts)
+
+
+def test_line_ties(spark):
+    """Rows without a doc_id come last; of repeated rows the first keeps its lines."""
+    run = "one two\nthree four\nfive six"
+    docs = spark.createDataFrame([(None, run, 1, "z"), (7, run, 2, "z"), (7, run, 3, "z"), (None, None, 4, "z")], "doc_id long, text string, row long, h string").coalesce(1)
+    got = {r.row: r.text for r in line_dedup.without_repeated_lines(docs).collect()}
+    assert got == {1: "", 2: run, 3: "", 4: None}
 
 
 PAGE = """<html><head><title>T</title><script>if (a < b) document.write("<p>no</p>")</script></head><body><header class="site">Site name</header>
@@ -99,8 +148,6 @@ def test_images(spark):
     import struct
     import zlib
 
-    import numpy as np
-
     a = (np.arange(40 * 30) % 251).reshape(40, 30).astype(np.uint8)
     chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
     png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 30, 40, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"".join(b"\0" + r.tobytes() for r in a))) + chunk(b"IEND", b"")
