@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, column_of, named_as, numbered, table, written
+from .common import WORD, column_of, discard, named_as, numbered, table, written
 
 #: Grams of a window. Lines compared at once when a match is extended; longer matches are compared whole.
 WINDOW = 2
@@ -31,7 +31,7 @@ def hashed_lines(rows: DataFrame, row: str, text: str, doc_id: str, long_words:
     lines = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda s: F.trim(F.regexp_replace(s, "^[\\s]+|[\\s]+$", "")))
     numbered_ = F.filter(F.transform(lines, lambda s, i: F.struct(i.alias("i"), s.alias("s"))), lambda x: x["s"] != "")
     hashed = F.transform(numbered_, lambda x: F.struct(x["i"].alias("i"), F.md5(x["s"].cast("binary")).alias("h"), (F.regexp_count(x["s"], F.lit(WORD)) >= long_words).alias("long")))
-    per = rows.select(F.col(row).alias("row"), F.col(doc_id).alias("doc_id"), hashed.alias("x")).where(F.size("x") > 0)
+    per = rows.select(F.col(row).alias("row"), F.col(doc_id).alias("doc_id"), hashed.alias("x"))
     return per.select("row", "doc_id", F.col("x.h").alias("h"), F.col("x.i").alias("i"), F.col("x.long").alias("long"))
 
 
@@ -73,6 +73,7 @@ def repeated_lines(rows: DataFrame, row: str, text: str, doc_id: str, long_words
     later = places.join(first, "g").where("row <> a or at <> a_at")
     diagonals = later.groupBy("row", "a", (F.col("at") - F.col("a_at")).alias("d")).agg(F.min("at").alias("lo"), F.max(F.col("at") + F.col("size") - 1).alias("hi"))
     diagonals = written(diagonals, "diagonals")
+    discard(places, first)
     own, other = lines.select("row", "h", "i", "long"), lines.select(F.col("row").alias("a"), F.col("h").alias("o"))
     both = diagonals.join(other, "a").join(own, "row")
     lo, hi, d = F.col("lo"), F.col("hi"), F.col("d")
@@ -102,7 +103,8 @@ def without_repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "d
     at = column_of(docs, text)
     gone = repeated_lines(rows, "__row", at, column_of(docs, doc_id), long_words).withColumnRenamed("row", "of")
     joined = rows.join(gone, rows["__row"] == gone["of"], "left")
-    return joined.withColumn(at, without_lines(F.col(at), F.col("lines"))).select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
+    joined = joined.withColumn(at, without_lines(F.col(at), F.col("lines")))
+    return joined.select(*named_as(joined, docs))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
