@@ -5,12 +5,15 @@ Labelers then vote for, against or not at all on each candidate: the shape (rege
 domains, calling codes and card issuers (gazetteer), words nearby (context), and checks of structure.
 How often each combination of votes occurs is counted over all documents; expectation-maximisation
 over these counts, which are at most KINDS * 3^4, estimates how reliable each labeler is and how
-likely each combination is personal data. A logistic classifier of spans is fitted to that, over votes
-and the span's length, and decides on the candidates. Base spans always stay.
+likely each combination is personal data. That is the target of the final classifier, which does not
+see the votes: naive Bayes over the span's own shape, length and ends and the words beside it, hashed,
+fitted to all candidates by sums of targets a feature, so that it can set right what labelers say of
+spans that look like others. Base spans always stay.
 """
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,9 +47,17 @@ CONTEXT = {
 }
 #: Against: what precedes names another kind of number.
 AGAINST = r"(?i)(isbn|issn|order|invoice|version|serial|sku|page|zip|doi|article)\W*$"
-DOMAINS = "com|org|net|edu|gov|io|info|biz|de|fr|es|uk|eu|ch|at|it|nl|be|us|ca|mx|ar|example|test"
+# Generic top-level domains, and those of some countries; calling codes of one to three digits.
+DOMAINS = "com|org|net|edu|gov|mil|int|io|info|biz|app|dev|ai|co|me|tv|ar|at|au|be|br|ca|ch|cl|cn|cz|de|dk|es|eu|fi|fr|gr|hu|ie|il|in|it|jp|kr|lu|mx|nl|no|np|nz|pe|pl|pt|ro|ru|se|sk|tr|ua|uk|us|za|example|test"
+CODES = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2}"
 NEAR = 24
 ROUNDS = 50
+BELIEF = (8, 2)
+#: Features: so many hash buckets of each sort, and the sorts.
+BUCKETS = 256
+SORTS = ("shape", "before", "after", "length", "ends")
+#: Steps of a running sum that are made at once; more are made from sums of so many.
+CHUNK = 128
 
 
 def _digits(s: Column) -> Column:
@@ -78,30 +89,50 @@ def _matches(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def _placed(text: Column, pattern: str, found: Column, kind: int, base: bool) -> Column:
-    """Spans (start, kind, end, base, text) of the matches: they start where the pieces between end."""
-    gaps = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,base:boolean,text:string>>").alias("out"))
+SPAN = "array<struct<start:int,kind:int,end:int,base:boolean,text:string,before:string,after:string>>"
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["g"]
-        e = s + F.length(x["m"])
-        span = F.struct(s.alias("start"), F.lit(kind).alias("kind"), e.alias("end"), F.lit(base).alias("base"), x["m"].alias("text"))
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,base:boolean,text:string>>")
-    return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(none)
+def scanned(rows: DataFrame, name: str, values: Column, op, zero: Column) -> DataFrame:
+    """rows with the running op (a sum, least or greatest) over an array of ints: chunks by themselves,
+    from what the chunks before make, so that long arrays are not copied once an element."""
+    rows = rows.withColumn("_v", values)
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size("_v") - 1) / CHUNK).cast("int")), lambda c: F.slice("_v", c * CHUNK + 1, F.lit(CHUNK)))
+    rows = rows.withColumn("_chunks", F.when(F.size("_v") > 0, chunks).otherwise(F.array().cast("array<array<int>>")))
+    rows = rows.withColumn("_sums", F.transform("_chunks", lambda x: F.aggregate(x, zero, op)))
+    rows = rows.withColumn("_bases", F.transform("_sums", lambda _, k: F.aggregate(F.slice("_sums", F.lit(1), k), zero, op)))
+
+    def step(acc: Column, v: Column) -> Column:
+        now = op(acc["at"], v)
+        return F.struct(now.alias("at"), F.concat(acc["out"], F.array(now)).alias("out"))
+
+    out = F.flatten(F.zip_with("_chunks", "_bases", lambda x, b: F.aggregate(x, F.struct(b.alias("at"), F.array().cast("array<int>").alias("out")), step, lambda acc: acc["out"])))
+    return rows.withColumn(name, out).drop("_v", "_chunks", "_sums", "_bases")
+
+
+def _placed(rows: DataFrame, name: str, pattern: str, kind: int, base: bool) -> DataFrame:
+    """rows with the column of matches made spans (start, kind, end, base, text, before, after): they
+    start where the pieces between them end, and what is beside them is the ends of those pieces."""
+    some = F.size(name) > 0
+    rows = rows.withColumn("_pieces", F.when(some, F.split("t", pattern, -1)).otherwise(F.array().cast("array<string>")))
+    lengths = F.zip_with(F.slice("_pieces", F.lit(1), F.size(name)), F.col(name), lambda g, m: F.length(g) + F.length(m))
+    rows = scanned(rows, "_ends", F.when(some, lengths).otherwise(F.array().cast("array<int>")), lambda a, x: a + x, F.lit(0))
+
+    def span(m: Column, k: Column) -> Column:
+        e = F.get("_ends", k)
+        before, after = F.right(F.get("_pieces", k), F.lit(NEAR)), F.left(F.get("_pieces", k + 1), F.lit(NEAR // 2))
+        return F.struct((e - F.length(m)).alias("start"), F.lit(kind).alias("kind"), e.alias("end"), F.lit(base).alias("base"), m.alias("text"), before.alias("before"), after.alias("after"))
+
+    return rows.withColumn(name, F.when(some, F.transform(name, span)).otherwise(F.array().cast(SPAN))).drop("_pieces", "_ends")
 
 
 def _votes(kind: int, s: Column, before: Column, after: Column) -> Column:
-    """(regex, gazetteer, context, structure), each -1, 0 or 1."""
+    """(regex, gazetteer, context, structure), each -1, 0 or 1. What merely does not fail a check is 0."""
     name, d = KINDS[kind], _digits(s)
     shape = F.when(s.rlike(f"\\A(?:{BASE[name]})\\z"), 1).otherwise(0 if name in ("email", "phone") else -1)
     context = F.when(before.rlike(AGAINST), -1).when(before.rlike(CONTEXT[name]) | after.rlike(CONTEXT[name]), 1).otherwise(0)
     if name == "email":
         known = F.when(F.lower(s).rlike(f"[.\\x20)\\]}}](?:{DOMAINS})\\z"), 1).otherwise(-1)
-        checked = F.when(s.rlike("(?i)[(\\[{]|@|\\bdot\\b"), 1).otherwise(-1)
+        checked = F.when(s.rlike("@|[(\\[{]"), 1).otherwise(0)
     elif name == "ip":
         known = F.when(s.rlike("^(0\\.|255\\.|127\\.|22[4-9]\\.|23[0-9]\\.)"), -1).otherwise(0)
         checked = F.when(s.contains(":"), 1).when(F.forall(F.split(s, "\\."), lambda p: F.coalesce(p.try_cast("double") <= 255, F.lit(False))), 1).otherwise(-1)
@@ -109,13 +140,23 @@ def _votes(kind: int, s: Column, before: Column, after: Column) -> Column:
         known = F.when(d.rlike("^(4|5[1-5]|2[2-7]|3[47]|6)"), 1).otherwise(-1)
         checked = F.when(_luhn(s) & (F.length(d) >= 12), 1).otherwise(-1)
     else:
-        known = F.when(s.rlike("^(\\+|00)[1-9]"), 1).when(s.rlike("^\\(?0?[1-9]"), 0).otherwise(-1)
-        checked = F.when(F.length(d).between(9, 15) & ~d.rlike("^(\\d)\\1+$"), 1).otherwise(-1)
+        known = F.when(s.rlike(f"^(\\+|00)({CODES})"), 1).when(s.rlike("^\\(?0?[1-9]"), 0).otherwise(-1)
+        checked = F.when(~F.length(d).between(9, 15) | d.rlike("^(\\d)\\1+$"), -1).when(s.startswith("+"), 1).otherwise(0)
     return F.array(*[v.cast("int") for v in (shape, known, context, checked)])
 
 
+def features(s: Column, before: Column, after: Column) -> Column:
+    """The numbers of a span's features, one of each sort: its characters' classes with runs drawn
+    together, the words beside it, its length, and its first two and last four characters."""
+    classes = F.regexp_replace(F.regexp_replace(s, "[\\p{L}]+", "a"), "[0-9]+", "d")
+    last, first = F.regexp_extract(F.lower(before), "([\\p{L}]+)[^\\p{L}]*$", 1), F.regexp_extract(F.lower(after), "^[^\\p{L}]*([\\p{L}]+)", 1)
+    ends = F.lower(F.concat(F.left(s, F.lit(2)), F.right(s, F.lit(4))))
+    parts = (classes, last, first, F.least(F.length(s), F.lit(BUCKETS - 1)), F.when(s.rlike("\\p{L}"), F.right(ends, F.lit(4))).otherwise(F.left(ends, F.lit(2))))
+    return F.array(*[(F.pmod(F.xxhash64(x), F.lit(BUCKETS)) + k * BUCKETS).cast("int") for k, x in enumerate(parts)])
+
+
 def candidates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Rows (doc_id, spans), one a row of docs: spans (start, kind, end, base, votes, size) in order."""
+    """Rows (doc_id, spans), one a row of docs: spans (start, kind, end, base, votes, features) in order."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     named = [(k, name, base) for base in (True, False) for k, name in enumerate(KINDS)]
     hint = {"email": F.col("t").contains("@"), "phone": F.col("t").contains("+")}
@@ -124,96 +165,89 @@ def candidates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
         found = _matches(F.col("t"), (BASE if base else WIDE)[name])
         maybe = (hint if base else wide_hint).get(name)
         rows = rows.withColumn(f"{name}_{base}", found if maybe is None else F.when(maybe, found).otherwise(F.array().cast("array<string>")))
+    # most documents have no match at all: they take no part in what follows
+    none = F.forall(F.array(*[F.size(f"{name}_{base}") for _, name, base in named]), lambda n: n == 0)
+    rows = rows.withColumn("t", F.when(~none, F.col("t")))
     for k, name, base in named:
-        rows = rows.withColumn(f"{name}_{base}", _placed(F.col("t"), (BASE if base else WIDE)[name], F.col(f"{name}_{base}"), k, base))
+        rows = _placed(rows, f"{name}_{base}", (BASE if base else WIDE)[name], k, base)
     # wider shapes do not loosen the checks: a number that fails Luhn's is no card in any dress
     for _, name, base in named:
         if base or name in ("card", "phone"):
             rows = rows.withColumn(f"{name}_{base}", F.filter(f"{name}_{base}", _check(name)))
-    rows = rows.withColumn("base", F.concat(*[F.col(f"{name}_True") for name in KINDS]))
-    wide = F.filter(F.concat(*[F.col(f"{name}_False") for name in KINDS]), lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"])))
-    rows = rows.select("doc_id", "t", F.array_sort(F.concat("base", wide)).alias("spans"))
+    rows = rows.select("doc_id", F.array_sort(F.concat(*[F.col(f"{name}_{base}") for _, name, base in named])).alias("all"))
+    # a wider span that a base span overlaps goes: one that starts before its end, and ends behind its start
+    rows = scanned(rows, "upto", F.transform("all", lambda x: F.when(x["base"], x["end"]).otherwise(-1)), lambda a, x: F.greatest(a, x), F.lit(-1))
+    rows = scanned(rows, "behind", F.reverse(F.transform("all", lambda x: F.when(x["base"], x["start"]).otherwise(_FAR))), lambda a, x: F.least(a, x), F.lit(_FAR))
+    rows = rows.withColumn("all", F.filter("all", lambda x, k: x["base"] | ((F.get("upto", k) <= x["start"]) & (F.get("behind", F.size("all") - 1 - k) >= x["end"]))))
 
     def voted(x: Column) -> Column:
-        before = F.substring(F.col("t"), F.greatest(x["start"] - NEAR, F.lit(0)) + 1, F.least(x["start"], F.lit(NEAR)))
-        after = F.substring(F.col("t"), x["end"] + 1, F.lit(NEAR // 2))
-        votes = F.when(x["kind"] == 0, _votes(0, x["text"], before, after))
+        votes = F.when(x["kind"] == 0, _votes(0, x["text"], x["before"], x["after"]))
         for k in (1, 2, 3):
-            votes = votes.when(x["kind"] == k, _votes(k, x["text"], before, after))
-        return F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["base"].alias("base"), votes.alias("votes"), F.least(F.floor((x["end"] - x["start"]) / 8), F.lit(3)).cast("int").alias("size"))
+            votes = votes.when(x["kind"] == k, _votes(k, x["text"], x["before"], x["after"]))
+        return F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["base"].alias("base"), votes.alias("votes"), features(x["text"], x["before"], x["after"]).alias("features"))
+
+    return rows.select("doc_id", F.transform("all", voted).alias("spans"))
+
 
-    return rows.select("doc_id", F.transform("spans", voted).alias("spans"))
+_FAR = (1 << 31) - 1
 
 
 def estimate(counts: list[tuple[int, tuple[int, ...], int]]) -> dict[tuple[int, tuple[int, ...]], float]:
-    """Posteriors of (kind, votes) by expectation-maximisation: for each kind, each labeler has a table
-    of how it votes on personal data and on other text. Starts from the majority; smoothed by one."""
+    """Posteriors of (kind, votes) by expectation-maximisation: for each kind, each labeler is right with a
+    probability that is estimated from how it agrees with the others, where it votes; not to vote says
+    nothing, and a candidate without votes is as likely as not. BELIEF, right and wrong votes of old, keeps
+    a labeler that no other can be held against better than chance."""
     out = {}
     for kind in range(len(KINDS)):
         rows = [(v, n) for k, v, n in counts if k == kind]
-        p = {v: min(0.95, max(0.05, 0.5 + sum(v) / (2 * len(LABELERS)))) for v, _ in rows}
+        right = [BELIEF[0] / sum(BELIEF)] * len(LABELERS)
+        p: dict[tuple[int, ...], float] = {}
         for _ in range(ROUNDS if rows else 0):
-            total = sum(n for _, n in rows)
-            mass = sum(n * p[v] for v, n in rows)
-            prior = (mass + 1) / (total + 2)
-            tables = []
+            odds = [math.log(r / (1 - r)) for r in right]
+            p = {v: 1 / (1 + math.exp(-sum(o * x for o, x in zip(odds, v, strict=True)))) for v, _ in rows}
             for i in range(len(LABELERS)):
-                one, two = ({x: 1.0 for x in (-1, 0, 1)} for _ in range(2))
-                for v, n in rows:
-                    one[v[i]] += n * p[v]
-                    two[v[i]] += n * (1 - p[v])
-                # labelers are taken to be better than chance: a vote for never counts against
-                tables.append({x: math.log(one[x] / sum(one.values())) - math.log(two[x] / sum(two.values())) for x in one})
-                tables[-1][1], tables[-1][-1] = max(0.0, tables[-1][1]), min(0.0, tables[-1][-1])
-            for v, _ in rows:
-                z = math.log(prior / (1 - prior)) + sum(t[x] for t, x in zip(tables, v, strict=True))
-                p[v] = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+                agreed = sum(n * (p[v] if v[i] > 0 else 1 - p[v]) for v, n in rows if v[i])
+                right[i] = min(0.98, max(0.55, (agreed + BELIEF[0]) / (sum(n for v, n in rows if v[i]) + sum(BELIEF))))
         out |= {(kind, v): q for v, q in p.items()}
     return out
 
 
-def features(kind: int, votes: tuple[int, ...], size: int) -> list[tuple[int, ...]]:
-    """Names of the features that are 1: the kind, each vote by kind, and the length class by kind."""
-    return [(kind,), *[(kind, i, v) for i, v in enumerate(votes) if v], (kind, 9, size)]
-
-
-def fit(rows: list[tuple[int, tuple[int, ...], int, int, float]], steps: int = 300, rate: float = 0.5, decay: float = 1e-3) -> dict[tuple[int, ...], float]:
-    """Weights of a logistic classifier from (kind, votes, size, count, target), by gradient descent
-    with a weight for each row of the logarithm of its count, so that rare combinations count too."""
-    w: dict[tuple[int, ...], float] = {f: 0.0 for k, v, s, _, _ in rows for f in features(k, v, s)}
-    for _ in range(steps):
-        grad = {f: -decay * x for f, x in w.items()}
-        norm = sum(math.log1p(n) for *_, n, _ in rows) or 1.0
-        for k, v, s, n, y in rows:
-            own = features(k, v, s)
-            q = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(w[f] for f in own)))))
-            for f in own:
-                grad[f] += math.log1p(n) * (y - q) / norm * 10
-        for f in w:
-            w[f] += rate * grad[f]
-    return w
+def fit(sums: list[tuple[int, int, float, float]], totals: dict[int, tuple[float, float]]) -> list[float]:
+    """For each kind a weight for each feature, then its bias: of naive Bayes, from (kind, feature, targets,
+    the rest) and the totals of a kind. At most KINDS * SORTS * BUCKETS rows, however large the corpus."""
+    n = len(SORTS) * BUCKETS
+    out = [0.0] * (len(KINDS) * (n + 1))
+    for kind, (for_, against) in totals.items():
+        out[kind * (n + 1) + n] = math.log((for_ + 1) / (against + 1))
+    for kind, feature, for_, against in sums:
+        one, two = totals[kind]
+        out[kind * (n + 1) + feature] = math.log((for_ + 1) / (one + BUCKETS)) - math.log((against + 1) / (two + BUCKETS))
+    return out
 
 
 def personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Rows (doc_id, spans), one a row of docs: spans (start, kind, end, base, score) in order of start
     and kind, ends exclusive, in code points. Null and empty texts have none; an empty table gives no
-    rows; repeated rows count and come out as often as they stand."""
+    rows; repeated rows count and come out as often as they stand; other columns are ignored."""
     found = written(candidates(docs, text, doc_id), "pii-candidates")
-    combos = found.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.votes", "s.size").agg(F.count("*").alias("n")).collect()
-    by_votes: dict[tuple[int, tuple[int, ...]], int] = {}
-    for r in combos:
-        by_votes[r.kind, tuple(r.votes)] = by_votes.get((r.kind, tuple(r.votes)), 0) + r.n
-    posterior = estimate(sorted((k, v, n) for (k, v), n in by_votes.items()))
-    weights = fit(sorted((r.kind, tuple(r.votes), r.size, r.n, posterior[r.kind, tuple(r.votes)]) for r in combos))
-    known = F.create_map(*[x for f, w in sorted(weights.items()) for x in (F.lit("/".join(map(str, f))), F.lit(float(w)))]) if weights else None
+    each = found.select(F.explode("spans").alias("s"))
+    combos = each.groupBy("s.kind", "s.votes").agg(F.count("*").alias("n")).collect()
+    posterior = estimate(sorted((r.kind, tuple(r.votes), r.n) for r in combos))
+    by_votes = {f"{k}:{','.join(map(str, v))}": q for (k, v), q in posterior.items()}
+    lookup = F.from_json(F.lit(json.dumps(by_votes)), "map<string,double>")
+    target = F.element_at(lookup, F.concat_ws(":", F.col("s.kind").cast("string"), F.array_join(F.col("s.votes").cast("array<string>"), ",")))
+    rated = each.select("s.kind", F.explode("s.features").alias("feature"), target.alias("p"))
+    sums = [tuple(r) for r in rated.groupBy("kind", "feature").agg(F.sum("p").alias("p"), F.sum(1 - F.col("p")).alias("q")).collect()]
+    totals: dict[int, tuple[float, float]] = {}
+    for kind, _, p, q in sums:
+        one, two = totals.get(kind, (0.0, 0.0))
+        totals[kind] = one + p / len(SORTS), two + q / len(SORTS)
+    weights = F.split(F.lit(",".join(f"{w:.6f}" for w in fit(sorted(sums), totals))), ",").cast("array<double>")
+    n = len(SORTS) * BUCKETS
 
     def scored(x: Column) -> Column:
-        if known is None:
-            return F.lit(0.0)
-        of = lambda *name: F.coalesce(F.element_at(known, F.concat_ws("/", *[n if isinstance(n, Column) else F.lit(str(n)) for n in name])), F.lit(0.0))
-        kind = x["kind"].cast("string")
-        z = of(kind) + of(kind, 9, x["size"].cast("string")) + sum((of(kind, i, x["votes"][i].cast("string")) for i in range(1, len(LABELERS))), of(kind, 0, x["votes"][0].cast("string")))
-        return 1 / (1 + F.exp(-z))
+        of = lambda f: F.get(weights, x["kind"] * (n + 1) + f)
+        return 1 / (1 + F.exp(-F.aggregate(x["features"], of(F.lit(n)), lambda a, f: a + of(f))))
 
     spans = F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["base"].alias("base"), scored(x).alias("score")))
     return found.select("doc_id", F.filter(spans, lambda x: x["base"] | (x["score"] > 0.5)).alias("spans"))
@@ -238,7 +272,8 @@ def masked(text: Column, spans: Column) -> Column:
 
 
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The counts and the digest are of the base spans; spans holds all."""
+    """All documents by personal_data: the counts and the digest are of the base spans; spans holds all.
+    Nulls, empty texts and repeated rows as it says."""
     out = personal_data(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda x: x["base"])
     of = lambda k: lambda x: x["kind"] == k
