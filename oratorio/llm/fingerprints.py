@@ -140,26 +140,27 @@ def next_ids(ids: DataFrame) -> DataFrame:
     return ahead.join(firsts, "part").select(*ids.columns, F.coalesce("lead", "after").alias("next_id"))
 
 
-def with_edits(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, next_id, n_chars, text, kept, ins), where the edited text is kept || ins: those with
-    a doc_id, which stay partitioned by it, and those without, which have no next document."""
-    # both joins below read one exchange of the texts: its plan must be the same, so nothing is renamed
-    same = F.col(doc_id) if doc_id == "doc_id" else F.col(doc_id).alias("doc_id")
+def with_edits(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Rows (at, doc_id, next_id, n_chars, text, kept, ins), where the edited text is kept || ins. They are
+    partitioned by `at`, a hash of the doc_id, or of the text of a row without one, which has no next
+    document."""
+    # both joins below read one exchange of the texts: it is by `at`, which is never null, and the ids
+    # themselves are compared in a condition beside
+    of = lambda c: F.xxhash64(c.cast("string"))
+    same = F.col(doc_id).alias("doc_id")
     own = docs.select(same, F.coalesce(F.col(text), F.lit("")).alias("text"))
+    own = own.select(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(of(F.col("doc_id"))).alias("at"), "doc_id", "text")
     ids = next_ids(own.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.length("text")).alias("n")))
     ids = written(ids, "next-ids")
-    wanted = ids.select(F.col("doc_id").alias("into"), "next_id", F.floor(F.col("n") / 4).cast("int").alias("m"))
-    parts = own.where("doc_id is not null").join(wanted, F.col("doc_id") == F.col("next_id")).select("into", F.expr("substring(text, 1, m)").alias("ins")).groupBy("into").agg(F.min("ins").alias("ins"))
-    n = F.length("text")
-    known = own.where("doc_id is not null")
-    joined = known.join(ids.select("doc_id", "next_id"), "doc_id").join(parts, F.col("doc_id") == F.col("into"), "left").select("doc_id", "next_id", "text", "ins")
-    alone = own.where("doc_id is null").select("doc_id", F.col("doc_id").alias("next_id"), "text", F.lit("").alias("ins"))
-    parts = (
-        "doc_id", "next_id", F.length("text").cast("long").alias("n_chars"), "text",
-        F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 4) as int))").alias("kept"),
-        F.expr("substring(coalesce(ins, ''), 1, cast(floor(length(text) / 4) as int))").alias("ins"),
-    )
-    return joined.select(*parts), alone.select(*parts)
+    equal = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.lit(False))
+    wanted = ids.select(F.col("doc_id").alias("into"), "next_id", F.floor(F.col("n") / 4).cast("int").alias("m"), of(F.col("next_id")).alias("next_at"))
+    parts = own.join(wanted, (F.col("at") == F.col("next_at")) & equal("doc_id", "next_id")).select("into", F.expr("substring(text, 1, m)").alias("ins"))
+    parts = parts.groupBy("into").agg(F.min("ins").alias("ins")).select("into", of(F.col("into")).alias("into_at"), "ins")
+    after = ids.select(F.col("doc_id").alias("d"), of(F.col("doc_id")).alias("d_at"), "next_id")
+    joined = own.join(after, (F.col("at") == F.col("d_at")) & equal("doc_id", "d"), "left").join(parts, (F.col("at") == F.col("into_at")) & equal("doc_id", "into"), "left")
+    q = "cast(floor(length(text) / 4) as int)"
+    ins = F.when(F.col("doc_id").isNull(), "").otherwise(F.expr(f"substring(coalesce(ins, ''), 1, {q})"))
+    return joined.select("at", "doc_id", "next_id", F.length("text").cast("long").alias("n_chars"), "text", F.expr(f"substring(text, 1, length(text) - {q})").alias("kept"), ins.alias("ins"))
 
 
 def op3_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,8 +176,7 @@ def edited_fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     and fingerprint are the smallest of them. A row without doc_id has no next document: nothing is put
     in, and near_next is null. A single document is its own next one.
     """
-    known, alone = with_edits(docs, text, doc_id)
-    own = written(_signed(known).unionByName(_signed(alone)), "fingerprints")
+    own = written(_signed(with_edits(docs, text, doc_id)), "fingerprints")
     after = own.groupBy(F.col("doc_id").alias("id")).agg(F.min("fingerprint").alias("next_fingerprint"))
     return own.join(after, own["next_id"] == after["id"], "left").select(
         "doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
@@ -185,11 +185,11 @@ def edited_fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_
 
 
 def _signed(edits: DataFrame) -> DataFrame:
-    """Both fingerprints of each edit. The aggregations keep the partitioning by doc_id."""
+    """Both fingerprints of each edit. The aggregations keep the partitioning by `at`."""
     spaced = F.col("kept").rlike("[\\x20\\x09-\\x0D]\\z")
-    keys = ["doc_id", "row", "next_id", "n_chars", "sha"]
+    keys = ["at", "doc_id", "row", "next_id", "n_chars", "sha"]
     step = edits.select(
-        "doc_id", F.monotonically_increasing_id().alias("row"), "next_id", "n_chars", F.unhex(F.sha2(F.concat("kept", "ins"), 256)).alias("sha"),
+        "at", "doc_id", F.monotonically_increasing_id().alias("row"), "next_id", "n_chars", F.unhex(F.sha2(F.concat("kept", "ins"), 256)).alias("sha"),
         word_codes(F.col("text")).alias("own"), F.regexp_count("kept", F.lit(WORD)).alias("n_kept"),
         F.when(spaced | (F.col("kept") == ""), F.col("ins")).otherwise(F.concat(F.substring_index(F.translate("kept", "\t\n\x0b\f\r", "     "), " ", -1), "ins")).alias("rest"),
         (~spaced & (F.col("kept") != "")).cast("int").alias("open"),
@@ -208,4 +208,4 @@ def _signed(edits: DataFrame) -> DataFrame:
     names = [f"s{k}" for k in range(SAMPLES)]
     parts = samples(rows, keys)
     merged = parts.groupBy(*keys).agg(*[F.min(F.when(F.col("part") != 2, F.col(s))).alias(f"a{s}") for s in names], *[F.min(F.when(F.col("part") != 1, F.col(s))).alias(f"b{s}") for s in names])
-    return merged.select(*[k for k in keys if k != "row"], fingerprint_text([F.col(f"a{s}") for s in names]).alias("fingerprint"), fingerprint_text([F.col(f"b{s}") for s in names]).alias("edited_fingerprint"))
+    return merged.select(*[k for k in keys if k not in ("at", "row")], fingerprint_text([F.col(f"a{s}") for s in names]).alias("fingerprint"), fingerprint_text([F.col(f"b{s}") for s in names]).alias("edited_fingerprint"))
