@@ -66,6 +66,24 @@ def discard(*tables: DataFrame) -> None:
         _kept[:] = [k for k in _kept if k is not df]
 
 
+class Tables:
+    """Collects what written() makes while it is entered, so that it can be discarded together later."""
+
+    def __init__(self) -> None:
+        self.made: list[DataFrame] = []
+
+    def __enter__(self) -> Tables:
+        self._before = list(_kept)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.made += [k for k in _kept if not any(k is b for b in self._before)]
+
+    def drop(self) -> None:
+        discard(*[k for k in self.made if any(k is x for x in _kept)])
+        self.made = []
+
+
 def release(spark: SparkSession) -> None:
     """Lets the context cleaner drop the shuffle files of finished jobs, which else stay until the
     driver happens to collect its garbage."""

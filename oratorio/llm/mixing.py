@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import WORD, column_of, named_as, numbered, table, written
 
 #: Rows of one range of keys, about.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 5_000
 
 
 def word_count(text: Column) -> Column:
