@@ -57,24 +57,26 @@ def draw_split(rows: DataFrame, key: str, val_fraction: float, seed: int) -> Dat
 def draw_val(episodes: DataFrame, share: float, seed: int, long_hours: float) -> DataFrame:
     """Episodes (external_id, hours, show_id) that make up val: per stratum of length, in hash order,
     while val is under its share; episodes over half of it or beyond 125 % of it are passed over, and
-    of long ones one a show. The fill is sequential, over a stratum's list of episodes."""
+    of long ones one a show. The fill is sequential, over a stratum's list of episodes that are small
+    enough, of which the rest is left in Spark."""
+    pool = episodes.where("hours > 0").withColumn("long_form", F.col("hours") >= long_hours)
+    goals = pool.groupBy("long_form").agg((F.sum("hours") * share).alias("goal"))
+    fitting = pool.join(F.broadcast(goals), "long_form").where(F.col("hours") <= F.col("goal") / 2)
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        long_form = bool(pdf["long_form"].iloc[0])
-        pdf = pdf.assign(u=[hash_unit(x, seed) for x in pdf["external_id"]]).sort_values(["u", "external_id"])
-        target, taken, shows, chosen = share * pdf["hours"].sum(), 0.0, set(), []
-        for e in pdf.itertuples():
-            if taken >= target:
-                break
-            if e.hours > target / 2 or taken + e.hours > 1.25 * target or (long_form and e.show_id is not None and e.show_id in shows):
-                continue
-            shows.add(e.show_id)
-            chosen.append((e.external_id, e.hours))
-            taken += e.hours
-        return pd.DataFrame(chosen, columns=["external_id", "hours"])
-
-    pool = episodes.where("hours > 0").withColumn("long_form", F.col("hours") >= long_hours)
-    return pool.groupBy("long_form").applyInPandas(fill, "external_id string, hours double")
+        goal = float(pdf["goal"].iloc[0])
+        order = sorted(range(len(pdf)), key=lambda k: (hash_unit(pdf["external_id"].iloc[k], seed), pdf["external_id"].iloc[k]))
+        hours, shows = pdf["hours"].to_numpy(float), pdf["show_id"].where(pdf["long_form"] & pdf["show_id"].notna(), None).tolist()
+        held, seen, rows = 0.0, {None}, []
+        for k in order:
+            fresh = shows[k] is None or shows[k] not in seen
+            if held < goal and fresh and held + hours[k] <= 1.25 * goal:
+                held += hours[k]
+                seen.add(shows[k])
+                rows.append(k)
+        return pdf.iloc[rows][["external_id", "hours"]]
+
+    return fitting.groupBy("long_form").applyInPandas(fill, "external_id string, hours double")
 
 
 def import_plan(incoming: DataFrame, known: DataFrame, key: str, checksum: str) -> DataFrame:
