@@ -19,8 +19,12 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, "\\s+"), lambda w: w != "")
 
 
+#: White space of Unicode, as a class of patterns.
+SPACE = "\\x09-\\x0D\\x1C-\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
+
+
 def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit("\\S+")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
 
 
 def plain_tokens(text: Column) -> Column:
@@ -29,16 +33,18 @@ def plain_tokens(text: Column) -> Column:
 
 
 def ngram_counts(tokens: Column, n: int) -> Column:
-    """How often the most frequent n-gram stands in the tokens; 0 with fewer than n."""
-    grams = F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    ordered = F.array_sort(grams)
+    """How often the most frequent n-gram stands in the tokens; 0 with fewer than n. The n-grams are the
+    tokens beside themselves, moved by one each time: the tokens are made n times, not once an n-gram."""
+    some = F.greatest(F.coalesce(F.size(tokens), F.lit(0)) - (n - 1), F.lit(0))
+    beside = F.arrays_zip(*[F.slice(tokens, F.lit(k + 1), some).alias(f"t{k}") for k in range(n)])
+    ordered = F.sort_array(F.transform(beside, lambda x: F.concat_ws(" ", *[x[f"t{k}"] for k in range(n)])))
     start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
 
     def step(a: Column, g: Column) -> Column:
         run = F.when(g == a["last"], a["run"] + 1).otherwise(1)
         return F.struct(g.alias("last"), run.alias("run"), F.greatest(a["best"], run).alias("best"))
 
-    return F.when(F.size(tokens) >= n, F.aggregate(ordered, start, step, lambda a: a["best"])).otherwise(0)
+    return F.coalesce(F.aggregate(ordered, start, step, lambda a: a["best"]), F.lit(0))
 
 
 def is_loop(text: Column, n: int = 3, times: int = 5) -> Column:

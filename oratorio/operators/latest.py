@@ -82,3 +82,17 @@ def filled_spans(rows: DataFrame, key: str, order: str, start: str, end: str, fi
 def neighbours(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(*order)
     return rows.withColumn("before", F.lag(value).over(w)).withColumn("after", F.lead(value).over(w))
+
+
+def running_sum(rows: DataFrame, key: str, order: str, value: str, name: str, width: int = 10_000) -> DataFrame:
+    """rows with the sum of a value up to each row in the order of a whole number, distinct within the key.
+    Ranges of the order are summed first, and rows within their range, so that a key with very many rows
+    is many groups."""
+    ranged = rows.withColumn("__range", F.floor(F.col(order) / width))
+    ahead = Window.partitionBy(key).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(key, "__range").agg(F.sum(value).alias("__total"))
+    starts = totals.select(F.col(key).alias("__key"), F.col("__range").alias("__at"), F.coalesce(F.sum("__total").over(ahead), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy(key, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = ranged.withColumn("__inside", F.sum(value).over(inside))
+    joined = summed.join(starts, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__range") == F.col("__at")))
+    return joined.withColumn(name, F.col("__start") + F.col("__inside")).select(*[F.col(f"`{c}`") for c in rows.columns], name)

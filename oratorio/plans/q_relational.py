@@ -80,12 +80,12 @@ def _(s, d):
     )
 
 
-@query("p14_declared_value", "WITH g AS (SELECT c_nationkey, list(CASE WHEN c_custkey % 40 <> 0 THEN c_mktsegment END) AS v, count(*) + (c_nationkey % 6 = 0)::INT AS n FROM customer WHERE c_custkey % 25 < 2 GROUP BY c_nationkey) SELECT c_nationkey, CASE WHEN n > len(v) THEN 'undeclared' WHEN len(list_filter(v, lambda x: x IS NULL)) > 0 THEN 'undeclared' WHEN len(list_distinct(v)) > 1 THEN 'mixed' ELSE v[1] END AS declared FROM g")
+@query("p14_declared_value", "WITH g AS (SELECT o_custkey, list(CASE WHEN o_orderkey % 40 <> 0 THEN o_orderstatus END) AS v, count(*) + (o_custkey % 6 = 0)::INT AS n FROM orders GROUP BY o_custkey) SELECT o_custkey, CASE WHEN n > len(v) THEN 'undeclared' WHEN len(list_filter(v, lambda x: x IS NULL)) > 0 THEN 'undeclared' WHEN len(list_distinct(v)) > 1 THEN 'mixed' ELSE v[1] END AS declared FROM g")
 def _(s, d):
-    c = table(s, d, "customer").where("c_custkey % 25 < 2")
-    entry = F.struct(F.col("c_custkey").cast("string").alias("k"), F.struct(F.when(F.col("c_custkey") % 40 != 0, F.col("c_mktsegment")).alias("segment")).alias("v"))
-    g = c.groupBy("c_nationkey").agg(F.map_from_entries(F.collect_list(entry)).alias("m"), F.count("*").alias("n"))
-    return g.select("c_nationkey", B.declared_value(F.col("m"), "segment", F.col("n") + (F.col("c_nationkey") % 6 == 0).cast("int")).alias("declared"))
+    o = table(s, d, "orders")
+    entry = F.struct(F.col("o_orderkey").cast("string").alias("k"), F.struct(F.when(F.col("o_orderkey") % 40 != 0, F.col("o_orderstatus")).alias("status")).alias("v"))
+    g = o.groupBy("o_custkey").agg(F.map_from_entries(F.collect_list(entry)).alias("m"), F.count("*").alias("n"))
+    return g.select("o_custkey", B.declared_value(F.col("m"), "status", F.col("n") + (F.col("o_custkey") % 6 == 0).cast("int")).alias("declared"))
 
 
 @query("p15_rate_bucket", "SELECT conv_id, turn, CASE WHEN r < 2.0 THEN '<2.0 w/s' WHEN r < 2.6 THEN '2.0-2.6 w/s' WHEN r < 3.2 THEN '2.6-3.2 w/s' WHEN r < 3.8 THEN '3.2-3.8 w/s' ELSE '3.8+ w/s' END AS bucket FROM (SELECT conv_id, turn, length(text) / 40.0 AS r FROM conversations)")
@@ -321,10 +321,10 @@ def _(s, d):
     return L.neighbours(table(s, d, "conversations"), "conv_id", ["turn"], "role").select("conv_id", "turn", "before", "after")
 
 
-@query("j23_lookup_default", "SELECT l_orderkey, l_linenumber, coalesce(p_size, 0) AS size FROM lineitem LEFT JOIN (SELECT p_partkey, p_size FROM part WHERE p_size > 25) ON l_partkey = p_partkey WHERE l_orderkey % 10 = 3")
+@query("j23_lookup_default", "SELECT l_orderkey, l_linenumber, coalesce(p_size, 0) AS size FROM lineitem LEFT JOIN (SELECT p_partkey, p_size FROM part WHERE p_size > 25) ON l_partkey = p_partkey")
 def _(s, d):
     p = table(s, d, "part").where("p_size > 25").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").alias("size"))
-    return J.lookup(table(s, d, "lineitem").where("l_orderkey % 10 = 3"), p, "l_partkey", "size", 0).select("l_orderkey", "l_linenumber", "size")
+    return J.lookup(table(s, d, "lineitem"), p, "l_partkey", "size", 0).select("l_orderkey", "l_linenumber", "size")
 
 
 @query("j25_point_in_interval", f"WITH {TURNS}, {_CLIPS} SELECT clip_id, turn_id FROM clips c JOIN turns t ON c.episode = t.episode AND t.kind = 'click' AND (t.start + t.\"end\") / 2 >= c_start AND (t.start + t.\"end\") / 2 < c_end")
@@ -347,10 +347,10 @@ def _(s, d):
     return J.pairs(e, "user_id", "kind", "v")
 
 
-@query("j28_dense_grid", f"WITH {SEGMENTS}, f AS (SELECT episode, pipeline_status, count(*) AS n FROM segments WHERE segment_id % 3 = 0 GROUP BY 1, 2) SELECT e.episode, p.pipeline_status, coalesce(n, 0) AS n FROM (SELECT DISTINCT episode FROM segments) e CROSS JOIN (SELECT DISTINCT pipeline_status FROM segments) p LEFT JOIN f ON e.episode = f.episode AND p.pipeline_status = f.pipeline_status")
+@query("j28_dense_grid", f"WITH {SEGMENTS}, f AS (SELECT episode, pipeline_status, count(*) AS n FROM segments WHERE duration >= 500 GROUP BY 1, 2) SELECT e.episode, p.pipeline_status, coalesce(n, 0) AS n FROM (SELECT DISTINCT episode FROM segments) e CROSS JOIN (SELECT DISTINCT pipeline_status FROM segments) p LEFT JOIN f ON e.episode = f.episode AND p.pipeline_status = f.pipeline_status")
 def _(s, d):
     g = segments(s, d)
-    return J.grid(g.where("segment_id % 3 = 0"), "episode", "pipeline_status", g, g, F.count("*").alias("n")).select("episode", "pipeline_status", F.coalesce("n", F.lit(0)).alias("n"))
+    return J.grid(g.where("duration >= 500"), "episode", "pipeline_status", g, g, F.count("*").alias("n")).select("episode", "pipeline_status", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 # --- aggregations ------------------------------------------------------------------------------------
@@ -508,9 +508,9 @@ def _(s, d):
     return table(s, d, "events").where("value < 20").groupBy("event_type").agg(F.count("*").alias("lost")).orderBy(F.desc("lost"), "event_type")
 
 
-@query("g50_public_mean", "SELECT user_id, CASE WHEN count(DISTINCT event_type) = 5 THEN avg(v) END AS mean FROM (SELECT user_id, event_type, avg(value) AS v FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2) GROUP BY 1")
+@query("g50_public_mean", "SELECT user_id, CASE WHEN count(DISTINCT event_type) = 5 THEN avg(v) END AS mean FROM (SELECT user_id, event_type, avg(value) AS v FROM events GROUP BY 1, 2) GROUP BY 1")
 def _(s, d):
-    per = table(s, d, "events").where("event_id % 3 = 0").groupBy("user_id", "event_type").agg(F.avg("value").alias("v"))
+    per = table(s, d, "events").groupBy("user_id", "event_type").agg(F.avg("value").alias("v"))
     return per.groupBy("user_id").agg(F.when(F.count("*") == 5, F.avg("v")).alias("mean"))
 
 
@@ -617,10 +617,9 @@ def _(s, d):
     return R.page(table(s, d, "part"), [F.asc_nulls_last(F.nullif("p_size", F.lit(7))), F.asc("p_partkey")], 30, 20).select("p_partkey", "p_size")
 
 
-@query("o7_audit_sample")
+@query("o7_audit_sample", f"WITH {SEGMENTS}, r AS (SELECT segment_id, logprob FROM segments WHERE logprob IS NOT NULL), c AS (SELECT quantile_disc(logprob, 0.5) AS cut FROM r) SELECT segment_id FROM r, c WHERE logprob <= cut AND substr(md5(segment_id || ':1'), 1, 8) < '{C.draw_bound(0.6)}'")
 def _(s, d):
-    rows = segments(s, d).where("logprob is not null").groupBy("episode").agg(F.min("segment_id").alias("i"), F.avg("logprob").alias("p")).collect()
-    return s.createDataFrame([(int(i),) for i in sorted(C.audit_sample([(r.i, r.p) for r in rows], 0.3, 1))], "segment_id long")
+    return C.audit_rows(segments(s, d).where("logprob is not null"), "segment_id", "logprob", 0.3, 1).select("segment_id")
 
 
 @query("o8_argmax", f"WITH h AS (SELECT event_id AS id, user_id AS segment_id, CASE WHEN event_type = 'signup' AND event_id % 7 = 0 THEN 'fusion' ELSE 'asr' END AS kind, event_id % 11 AS system_id, CASE WHEN event_id % 3 <> 0 THEN -value END AS logprob FROM events) SELECT segment_id, arg_max(id, CASE WHEN kind = 'fusion' THEN 1e9 + system_id ELSE coalesce(logprob, -1e9) END + id * 1e-9) AS hypothesis_id FROM h GROUP BY 1")
@@ -700,5 +699,4 @@ def _(s, d):
 
 @query("p25_kept_rows_window", "SELECT source, doc_id FROM (SELECT source, doc_id, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS c FROM documents) WHERE c <= 20000")
 def _(s, d):
-    c = F.sum("n_chars").over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    return table(s, d, "documents").withColumn("c", c).where("c <= 20000").select("source", "doc_id")
+    return L.running_sum(table(s, d, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", "c").where("c <= 20000").select("source", "doc_id")

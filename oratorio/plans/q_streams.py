@@ -44,9 +44,9 @@ def _(s, d):
     return C.only_missing(e.where("event_id % 7 = 0"), e.where("event_type = 'view'"), ["event_id"]).select("event_id")
 
 
-@query("t5_complete_groups", "SELECT event_id FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_id % 20 = 0 GROUP BY 1 HAVING count(DISTINCT event_type) = 3) AND event_id % 20 = 0")
+@query("t5_complete_groups", "SELECT event_id FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY 1 HAVING count(DISTINCT event_type) = 5)")
 def _(s, d):
-    return C.complete_groups(table(s, d, "events").where("event_id % 20 = 0"), "user_id", "event_type", 3).select("event_id")
+    return C.complete_groups(table(s, d, "events"), "user_id", "event_type", 5).select("event_id")
 
 
 @query("t10_daily", "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, CAST(date_trunc('day', ts) AS TIMESTAMP) + INTERVAL 1 DAY AS \"end\", event_type, count(*) AS n FROM events GROUP BY 1, 2, 3")

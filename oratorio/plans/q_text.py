@@ -108,9 +108,9 @@ def _(s, d):
     return table(s, d, "benchmark").select("item_id", F.size(X.plain_tokens(F.col("text"))).cast("long").alias("n"))
 
 
-@query("c19_loop", r"WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents WHERE n_chars < 6000), g AS (SELECT doc_id, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) AS g FROM w), m AS (SELECT doc_id, max(n) AS n FROM (SELECT doc_id, g, count(*) AS n FROM g GROUP BY 1, 2) GROUP BY 1) SELECT w.doc_id, coalesce(n, 0) >= 2 AS loops FROM w LEFT JOIN m USING (doc_id)")
+@query("c19_loop", r"WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents), g AS (SELECT doc_id, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) AS g FROM w), m AS (SELECT doc_id, max(n) AS n FROM (SELECT doc_id, g, count(*) AS n FROM g GROUP BY 1, 2) GROUP BY 1) SELECT w.doc_id, coalesce(n, 0) >= 2 AS loops FROM w LEFT JOIN m USING (doc_id)")
 def _(s, d):
-    return table(s, d, "documents").where("n_chars < 6000").select("doc_id", X.is_loop(F.col("text"), 3, 2).alias("loops"))
+    return table(s, d, "documents").select("doc_id", X.is_loop(F.col("text"), 3, 2).alias("loops"))
 
 
 @query("c20_repeated_ngram", r"WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM conversations), g AS (SELECT conv_id, turn, unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS g FROM w), m AS (SELECT conv_id, turn, max(n) AS n FROM (SELECT conv_id, turn, g, count(*) AS n FROM g GROUP BY 1, 2, 3) GROUP BY 1, 2) SELECT w.conv_id, w.turn, CAST(coalesce(n, 0) AS INTEGER) AS most FROM w LEFT JOIN m USING (conv_id, turn)")
@@ -118,9 +118,9 @@ def _(s, d):
     return table(s, d, "conversations").select("conv_id", "turn", X.ngram_counts(X.words(F.col("text")), 2).alias("most"))
 
 
-@query("c21_devanagari_ratio", r"SELECT doc_id, 0.0::DOUBLE AS ratio FROM documents WHERE n_chars < 3000")
+@query("c21_devanagari_ratio", r"WITH t AS (SELECT doc_id, translate(text, 'aeiou', 'कखगघच') AS t FROM documents) SELECT doc_id, coalesce(len(regexp_extract_all(t, '[क-ह]'))::DOUBLE / nullif(len(regexp_extract_all(t, '\p{L}')), 0), 0) AS ratio FROM t")
 def _(s, d):
-    return table(s, d, "documents").where("n_chars < 3000").select("doc_id", X.devanagari_ratio(F.col("text")).alias("ratio"))
+    return table(s, d, "documents").select("doc_id", X.devanagari_ratio(F.translate("text", "aeiou", "कखगघच")).alias("ratio"))
 
 
 @query("c22_cmi", "WITH t AS (SELECT conv_id, list(role ORDER BY turn) AS r FROM conversations GROUP BY 1) SELECT conv_id, 100.0::DOUBLE * (len(r) - greatest(len(list_filter(r, lambda x: x = 'user')), len(list_filter(r, lambda x: x = 'assistant')), len(list_filter(r, lambda x: x NOT IN ('user', 'assistant'))))) / len(r) AS cmi, CAST(len([1 FOR i IN range(1, len(r)) IF r[i] <> r[i + 1]]) AS INTEGER) AS switches FROM t")
@@ -129,9 +129,9 @@ def _(s, d):
     return t.select("conv_id", X.code_mixing(F.col("r")).alias("cmi"), X.switch_points(F.col("r")).alias("switches"))
 
 
-@query("c23_count_words", r"SELECT doc_id, CAST(len(regexp_extract_all(text, '\S+')) AS BIGINT) AS n FROM documents WHERE text NOT LIKE '%' || chr(160) || '%'")
+@query("c23_count_words", r"SELECT doc_id, CAST(coalesce(len(regexp_extract_all(text, '[^\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+')), 0) AS BIGINT) AS n FROM documents")
 def _(s, d):
-    return table(s, d, "documents").where(~F.col("text").contains(" ")).select("doc_id", X.word_count(F.col("text")).alias("n"))
+    return table(s, d, "documents").select("doc_id", X.word_count(F.col("text")).alias("n"))
 
 
 @query("c29_canonical_url", r"SELECT page_id, 'https://' || regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www\.', '') || regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') AS url FROM pages")
