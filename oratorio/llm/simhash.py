@@ -239,13 +239,14 @@ def representatives(rows: DataFrame, row: str, text: str, doc_id: str, shingle:
     sketches = written(rows.select(row, text, doc_id).mapInArrow(_sketch(shingle), f"row bigint, doc_id {kind}, digest binary, fp bigint, bands array<bigint>"), "sketches")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     texts = written(sketches.groupBy("digest").agg(F.min(F.struct(order.alias("o"), "fp", "bands")).alias("f")).select("f.o", F.col("f.o.row").alias("node"), "f.fp", "f.bands"), "texts")
-    marks = texts.groupBy("fp").agg(F.min("node").alias("head"))
+    marks = texts.groupBy("fp").agg(F.min("o")["row"].alias("head"))
     marks = written(marks, "marks")
     close = links(marks)
     x, y = (marks.select(F.col("fp").alias(n), F.col("head").alias(f"h{n}")) for n in ("a", "b"))
     pairs = close.join(x, "a").join(y, "b").select(F.col("ha").alias("a"), F.col("hb").alias("b")).unionByName(texts.join(marks, "fp").select(F.col("head").alias("a"), F.col("node").alias("b")))
-    shared = texts.select("node", F.explode("bands").alias("band"))
-    ends = shared.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
+    # first and last by doc_id: row numbers may differ from run to run
+    shared = texts.select("node", "o", F.explode("bands").alias("band"))
+    ends = shared.groupBy("band").agg(F.min("o")["row"].alias("lo"), F.max("o")["row"].alias("hi")).where("lo <> hi")
     met = shared.join(ends, "band").select("node", F.explode(F.array("lo", "hi")).alias("a")).select("a", F.col("node").alias("b"))
     pairs = pairs.unionByName(met).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = written(pairs, "pairs")
