@@ -346,12 +346,12 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, group: int = GROUP) ->
     live = written(found.join(twice, "least", "left_semi"), "shared-segments")
     discard(found)
     release(spark)
-    # written before the join, so that it reads an exchange of its own, which can be split where a
-    # minimum has very many texts
+    # both sides are written before the join, so that it reads exchanges of its own, which can be split
+    # where a minimum has very many texts
     texts = written(live.groupBy("least", "seg", "n").agg(F.count("*").alias("c")), "segment-counts")
-    kinds = texts.groupBy("least").agg(F.count("*").alias("m"))
+    kinds = written(texts.groupBy("least").agg(F.count("*").alias("m")), "segment-kinds")
     counted, texts = texts, written(texts.join(kinds, "least"), "segment-texts")
-    discard(counted)
+    discard(counted, kinds)
     release(spark)
     joined = live.join(texts, ["least", "seg", "n"])
     whole = joined.where("c > 1").select("doc_id", "th", F.col("first").alias("s"), (F.col("first") + F.col("n") + (length - 1)).alias("e"))
