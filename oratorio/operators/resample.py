@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.buckets import rate
+from ..functions.buckets import cases, rate
 from .attribution import ROUNDS, SEED
 
 #: Rounds that one digest of 128 bits serves.
@@ -37,9 +37,11 @@ def resampled(terms: DataFrame, by: str, values: list[str], rounds: int = ROUNDS
     listed = terms.repartition(part, "group").groupBy("group").agg(F.collect_list(F.struct(by, *values)).alias("terms"))
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("block").cast("string"), F.col("group").cast("string")))
     blocks = listed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((rounds - 1) // A_DIGEST)))).withColumn("digest", digest)
-    count = lambda i: sum((F.substring("digest", 8 * i + 1, 8) >= b).cast("int") for b in poisson_bounds())
-    draws = F.array(*[F.struct((F.col("block") * A_DIGEST + i).alias("round"), count(i).alias("n")) for i in range(A_DIGEST)])
-    counted = blocks.select("terms", F.inline(draws)).where((F.col("n") > 0) & (F.col("round") < rounds)).select("round", "n", F.inline("terms"))
+    drawn = F.array(*[F.struct((F.col("block") * A_DIGEST + i).alias("round"), F.substring("digest", 8 * i + 1, 8).alias("u")) for i in range(A_DIGEST)])
+    bounds = poisson_bounds()
+    n = cases([(F.col("u") < b, F.lit(k)) for k, b in enumerate(bounds)], F.lit(len(bounds)))
+    rows = blocks.select("terms", F.inline(drawn)).where((F.col("u") >= bounds[0]) & (F.col("round") < rounds))
+    counted = rows.select("round", n.alias("n"), F.inline("terms"))
     return counted.groupBy(by, "round").agg(*[F.sum(F.col("n") * F.col(v)).alias(v) for v in values])
 
 
