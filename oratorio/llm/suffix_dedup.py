@@ -38,6 +38,9 @@ GRAM = 64
 STEP = 1 << 18
 GROUP = 256
 BLOCK = 16
+#: A minimum with more segments than this is hot; at most MOST_HOT hot ones are broadcast, eight bytes each.
+HOT = 100_000
+MOST_HOT = 1_000_000
 #: Suffixes sorted at once.
 BATCH = 1 << 17
 MASK = (1 << 64) - 1
@@ -337,14 +340,26 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+def _shared(found: DataFrame, twice: DataFrame) -> DataFrame:
+    """The segments whose minimum is in twice. Those of a hot minimum, of which there is at most one in HOT
+    rows, are found by a broadcast of the hot ones if these are few, so that they are not shuffled; with
+    more of them all go by one join, whose left side Spark can split, as twice is a table."""
+    hot = twice.where(F.col("c") > HOT).select("least")
+    few = F.broadcast(hot)
+    rest = twice.where(F.col("c") <= HOT).select("least")
+    if not 0 < hot.count() <= MOST_HOT:
+        return found.join(twice.select("least"), "least", "left_semi")
+    return found.join(few, "least", "left_semi").unionByName(found.join(few, "least", "left_anti").join(rest, "least", "left_semi"))
+
+
 def repeated_spans(rows: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """Rows (doc_id, th, s, e), spans of bytes to remove, from rows (doc_id, th, data)."""
     kind = rows.schema["doc_id"].dataType.simpleString()
     spark = rows.sparkSession
     found = written(rows.where(F.octet_length("data") >= length).mapInArrow(_find(length), f"doc_id {kind}, th bigint, least bigint, seg binary, first int, n int"), "segments")
-    twice = found.groupBy("least").agg(F.count("*").alias("c")).where("c > 1").select("least")
-    live = written(found.join(twice, "least", "left_semi"), "shared-segments")
-    discard(found)
+    twice = written(found.groupBy("least").agg(F.count("*").alias("c")).where("c > 1"), "shared-minima")
+    live = written(_shared(found, twice), "shared-segments")
+    discard(found, twice)
     release(spark)
     # both sides are written before the join, so that it reads exchanges of its own, which can be split
     # where a minimum has very many texts

@@ -174,8 +174,10 @@ def brute_repeats(texts, length=200):
     return out
 
 
-@pytest.mark.parametrize("group", [256, 1])
-def test_op9(spark, docs, group):
+@pytest.mark.parametrize("group,hot,most", [(256, 100_000, 1_000_000), (1, 3, 1_000_000), (256, 3, 0)])
+def test_op9(spark, docs, monkeypatch, group, hot, most):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "MOST_HOT", most)
     rng = np.random.default_rng(3)
     passage = bytes(rng.integers(97, 123, 400, np.uint8)).decode()
     texts = [(docs[i].text or "")[:6000] for i in sorted(docs)[:60]]
