@@ -167,3 +167,27 @@ def model_table(metrics: DataFrame, sets: Sequence[str], teacher: str, order: Se
     place = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(m) for m in order]), F.col("model")), F.lit(0)), F.lit(len(order) + 1))
     joined = cells.join(F.broadcast(own), how="left")  # one row
     return joined.select("model", place.cast("int").alias("place"), *sets, *[(F.col(s) - F.col(f"__{s}")).alias(f"{s}_to_teacher") for s in sets]).orderBy("place", "model")
+
+
+def episode_segments(segments: DataFrame, hypotheses: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Segments with the text of their first hypothesis and their task, an active one before others and the
+    newest before older ones; those without either stay. hypotheses: (segment_id, id, text); tasks: (segment_id,
+    id, status)."""
+    first = hypotheses.groupBy("segment_id").agg(F.min_by("text", "id").alias("text"))
+    task = latest(tasks, ["segment_id"], F.when(F.col("status").isin(*ACTIVE), 0).otherwise(1), F.desc("id"))
+    return segments.join(first, "segment_id", "left").join(task.select("segment_id", F.col("id").alias("task_id"), "status"), "segment_id", "left")
+
+
+def newest_clips(runs: DataFrame, clips: DataFrame) -> DataFrame:
+    """The clips of each model's newest run on a set, what a new scoring starts from. runs: (model, set, run_id);
+    clips: (run_id, and whatever they have)."""
+    newest = runs.groupBy("model", "set").agg(F.max("run_id").alias("run_id"))
+    return clips.join(newest, "run_id")
+
+
+def error_files(files: DataFrame, summaries: DataFrame, imported: DataFrame) -> DataFrame:
+    """One row a file of error rows: its own pooled rate, the imported one, and the difference; null where either
+    is missing. files: (file); summaries: (file, errors, words), added up here; imported: (file, wer)."""
+    own = summaries.groupBy("file").agg(F.try_divide(100.0 * F.sum("errors"), F.nullif(F.sum("words"), F.lit(0))).alias("wer"))
+    joined = files.join(own, "file", "left").join(imported.select("file", F.col("wer").alias("imported_wer")), "file", "left")
+    return joined.withColumn("difference", F.col("wer") - F.col("imported_wer"))

@@ -164,3 +164,32 @@ def _(s, d):
     wrong = F.col("kind").isin("sub", "del", "ins").cast("int")
     metrics = error_rows(s, d).select(F.concat(F.lit("m"), (F.col("clip_id") % 4).cast("string")).alias("model"), F.col("run").alias("set"), wrong.alias("errors"), "words")
     return C.model_table(metrics, ["base", "run"], "m2", ["m2", "m0"])
+
+
+@query(
+    "r6_episode_segments",
+    f"""WITH {SEGMENTS}, h AS (SELECT user_id, arg_min(event_type, event_id) AS text FROM events GROUP BY 1), e AS (SELECT user_id, event_id, ['pending', 'done', 'skipped', 'in_progress'][event_id % 4 + 1] AS status FROM events),
+t AS (SELECT user_id, event_id AS task_id, status FROM e QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN status IN ('pending', 'in_progress') THEN 0 ELSE 1 END, event_id DESC) = 1)
+SELECT segment_id, episode, duration, text, task_id, status FROM segments LEFT JOIN h ON h.user_id = segment_id LEFT JOIN t ON t.user_id = segment_id""",
+)
+def _(s, d):
+    e = table(s, d, "events").select(F.col("user_id").alias("segment_id"), F.col("event_id").alias("id"), F.col("event_type").alias("text"))
+    status = F.element_at(F.array(*[F.lit(x) for x in ("pending", "done", "skipped", "in_progress")]), (F.col("id") % 4 + 1).cast("int"))
+    return C.episode_segments(segments(s, d).select("segment_id", "episode", "duration"), e, e.withColumn("status", status).drop("text"))
+
+
+@query("r15_newest_clips", "SELECT event_type AS model, user_id % 2 AS set, user_id AS run_id, event_id AS clip_id FROM events QUALIFY user_id = max(user_id) OVER (PARTITION BY event_type, user_id % 2)")
+def _(s, d):
+    e = table(s, d, "events").select(F.col("event_type").alias("model"), (F.col("user_id") % 2).alias("set"), F.col("user_id").alias("run_id"), F.col("event_id").alias("clip_id"))
+    return C.newest_clips(e, e.select(F.struct("model", "set").alias("of"), "run_id", "clip_id")).where(F.col("of") == F.struct("model", "set")).drop("of")
+
+
+@query(
+    "r24_error_files",
+    """WITH o AS (SELECT l_suppkey, 100.0::DOUBLE * count(*) FILTER (l_returnflag = 'R') / nullif(sum(l_quantity), 0) AS wer FROM lineitem GROUP BY 1), i AS (SELECT s_suppkey, CASE WHEN s_suppkey % 3 <> 0 THEN s_acctbal::DOUBLE / 1000 END AS w FROM supplier)
+SELECT s_suppkey AS file, wer, w AS imported_wer, wer - w AS difference FROM i LEFT JOIN o ON l_suppkey = s_suppkey""",
+)
+def _(s, d):
+    files = table(s, d, "supplier").select(F.col("s_suppkey").alias("file"), F.when(F.col("s_suppkey") % 3 != 0, F.col("s_acctbal") / 1000).alias("wer"))
+    rows = table(s, d, "lineitem").select(F.col("l_suppkey").alias("file"), (F.col("l_returnflag") == "R").cast("int").alias("errors"), F.col("l_quantity").alias("words"))
+    return C.error_files(files.select("file"), rows, files.where("wer is not null"))
