@@ -28,6 +28,14 @@ def _(s, d):
     return T.word_counts(table(s, d, "conversations").select("text"))
 
 
+@query("c5_dialect")
+def _(s, d):
+    """Keys of all words of conversations, with the rules that made them; Latin letters are first written in
+    Devanagari, as no table has any."""
+    deva = F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", "ािचदेफगहिजकलमनोपकरसतुबवखयज")
+    return T.key_changes(table(s, d, "conversations").select(deva.alias("text")))
+
+
 @query("c14_error_rows")
 def _(s, d):
     return T.error_rows(_pairs(s, d))
