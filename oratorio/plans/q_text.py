@@ -84,12 +84,6 @@ def _(s, d):
     return T.slices(t, "episode", "total")
 
 
-@query("w16_windows")
-def _(s, d):
-    c = table(s, d, "conversations").select("conv_id", "turn", X.word_count(F.col("text")).alias("words"))
-    return T.windows(c, "conv_id", "turn", "words", 100)
-
-
 @query("o14_batches")
 def _(s, d):
     c = table(s, d, "documents").select("source", "doc_id", (F.col("n_chars") / 100).alias("seconds"))
