@@ -1,30 +1,30 @@
 """Removal of repeated runs of lines by winnowing, in DataFrame functions only.
 
 A document is the sequence of its non-blank lines, trimmed; blank lines stay where they are. Two lines in
-a row are a gram, and of each ``WINDOW`` grams in a row the least hash is selected (the last of equal
-ones): whatever two documents share of ``WINDOW`` + 1 lines, they share a selected gram. A line of at
-least ``long_words`` words is selected by itself. Each selected place is joined with the first place, by
+a row are a gram, and of each two grams in a row the least hash is selected (the last of equal ones):
+whatever two documents share of three lines, they share a selected gram. A line of at least ``long_words`` words is selected by itself. Each selected place is joined with the first place, by
 doc_id and then by line, where the same is selected. Places of one pair of documents at one distance are
 a diagonal: both documents are compared line by line from the first to the last of them, and on to both
 sides while lines are equal. Of what is equal there, two lines in a row or a long line go from the later
 place; the first occurrence stays.
 
+All diagonals of a pair of documents are one row, which has both documents' lines once, the earlier one's
+as far as the later one can reach. How far lines are equal is found by blocks of 1, 2, 4, ... lines, each
+known by a hash made of two of half its length, so that a line repeated n times costs n steps of log n and
+not n diagonals of n lines. Equal lines and blocks are told by 64 bits of a hash. What goes is kept as
+spans, which are merged before they become lines.
+
 Counts and first places are aggregated before they are shuffled and written before they are joined, so
 that a line in a third of all documents costs a row a task, and its join can be split.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, column_of, discard, named_as, numbered, table, written
 
-#: Grams of a window. Lines compared at once when a match is extended; longer matches are compared whole.
-WINDOW = 2
-STEP = 16
-
-
 def hashed_lines(rows: DataFrame, row: str, text: str, doc_id: str, long_words: int) -> DataFrame:
     """Rows (row, doc_id, h, i, long), arrays with a value for each line that is not blank: its hash, its
     index and whether it is long."""
@@ -50,17 +50,49 @@ def selected(lines: DataFrame) -> DataFrame:
     return rows.select("row", "doc_id", F.inline(F.concat(chosen, alone)))
 
 
-def _equal(a: Column, b: Column, back: bool = False) -> Column:
-    """How many lines are equal from the start of both, or from the end; first by a short step."""
+def _blocks(h: Column) -> Column:
+    """Level k of the result has a hash for each 2**k lines in a row, by where they start; levels as long as
+    there are such blocks, at least one level."""
+    n = F.size(h)
+    levels = F.when(n >= 2, F.sequence(F.lit(1), F.floor(F.log2(n)).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+    def longer(made: Column, k: Column) -> Column:
+        last = F.element_at(made, -1)
+        half = F.pow(F.lit(2), k - 1).cast("int")
+        left = F.greatest(F.size(last) - half, F.lit(0))
+        return F.array_append(made, F.zip_with(F.slice(last, F.lit(1), left), F.slice(last, half + 1, left), lambda x, y: F.xxhash64(x, y)))
+
+    return F.aggregate(levels, F.array(h), longer)
+
 
-    def run(n: Column) -> Column:
-        x, y = (F.reverse(F.slice(c, F.greatest(F.size(c) - n, F.lit(0)) + 1, n)) if back else F.slice(c, F.lit(1), n) for c in (a, b))
-        return F.array_position(F.zip_with(x, y, lambda p, q: p == q), F.lit(False)).cast("int")
+def _common(a: Column, b: Column, at: Column, to: Column, back: bool = False) -> Column:
+    """How many lines are equal from places at of a and to of b on, or before them; a and b are blocks."""
+    top = F.least(F.size(a), F.size(b)) - 1
 
-    n = F.least(F.size(a), F.size(b))
-    short = run(F.least(n, F.lit(STEP)))
-    whole = F.when(n > STEP, run(n)).otherwise(0)
-    return F.when(short > 0, short - 1).when(whole > 0, whole - 1).otherwise(n)
+    def step(n: Column, k: Column) -> Column:
+        size = F.pow(F.lit(2), k).cast("int")
+        x, y = (at - n - size, to - n - size) if back else (at + n, to + n)
+        same = F.get(F.get(a, k), x) == F.get(F.get(b, k), y)
+        return F.when(F.coalesce(same, F.lit(False)), n + size).otherwise(n)
+
+    return F.aggregate(F.sequence(top, F.lit(0), F.lit(-1)), F.lit(0), step)
+
+
+def _spans(x: Column) -> Column:
+    """The spans of places that go by a diagonal x (d, lo, hi), from the columns mine, its, long and off: where
+    its begins in the earlier document."""
+    lo, hi, d = x["lo"], x["hi"], x["d"]
+    other = lambda at: at - d - F.col("off")
+    start = lo - _common(F.col("mine"), F.col("its"), lo, other(lo), back=True)
+    end = hi + _common(F.col("mine"), F.col("its"), hi + 1, other(hi + 1))
+    inner = _common(F.col("mine"), F.col("its"), lo, other(lo))
+    span = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
+    one, two = F.get("mine", F.lit(0)), F.get("its", F.lit(0))
+    same = lambda k: (k >= start) & (k <= end) & F.coalesce(F.get(one, k) == F.get(two, other(k)), F.lit(False))
+    goes = lambda k: same(k) & (same(k - 1) | same(k + 1) | F.coalesce(F.get("long", k), F.lit(False)))
+    apart = F.concat(F.array(span(start, lo)), F.transform(F.filter(F.sequence(lo, hi), goes), lambda k: span(k, k)), F.array(span(hi, end)))
+    apart = F.filter(apart, lambda s: (s["a"] < s["b"]) | ((s["a"] >= lo) & (s["a"] <= hi) & goes(s["a"])))
+    return F.when((inner > hi - lo) & (end > start), F.array(span(start, end))).otherwise(apart)
 
 
 def repeated_lines(rows: DataFrame, row: str, text: str, doc_id: str, long_words: int = 50) -> DataFrame:
@@ -74,22 +106,32 @@ def repeated_lines(rows: DataFrame, row: str, text: str, doc_id: str, long_words
     diagonals = later.groupBy("row", "a", (F.col("at") - F.col("a_at")).alias("d")).agg(F.min("at").alias("lo"), F.max(F.col("at") + F.col("size") - 1).alias("hi"))
     diagonals = written(diagonals, "diagonals")
     discard(places, first)
-    own, other = lines.select("row", "h", "i", "long"), lines.select(F.col("row").alias("a"), F.col("h").alias("o"))
-    both = diagonals.join(other, "a").join(own, "row")
-    lo, hi, d = F.col("lo"), F.col("hi"), F.col("d")
-    left = _equal(F.slice("h", F.lit(1), lo), F.slice("o", F.lit(1), lo - d), back=True)
-    right = _equal(F.slice("h", hi + 2, F.size("h")), F.slice("o", hi - d + 2, F.size("o")))
-    both = both.withColumn("start", lo - left).withColumn("n", hi + right - F.col("start") + 1)
-    same = F.zip_with(F.slice("h", F.col("start") + 1, F.col("n")), F.slice("o", F.col("start") - d + 1, F.col("n")), lambda x, y: x == y)
-    both = both.select("row", "i", "long", "start", same.alias("same"))
-    near = lambda k: F.coalesce(F.get("same", k - 1), F.lit(False)) | F.coalesce(F.get("same", k + 1), F.lit(False)) | F.get("long", F.col("start") + k)
-    gone = F.filter(F.transform("same", lambda x, k: F.when(x & near(k), F.get("i", F.col("start") + k))), lambda x: x.isNotNull())
-    return both.select("row", F.explode(gone).alias("line")).distinct().groupBy("row").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    pairs = diagonals.groupBy("row", "a").agg(F.collect_list(F.struct("d", "lo", "hi")).alias("x"))
+    short = F.transform("h", lambda h: F.xxhash64(h))
+    own, other = lines.select("row", short.alias("own"), "long"), lines.select(F.col("row").alias("a"), short.alias("other"))
+    both = pairs.join(own, "row").join(other, "a")
+    # of the earlier document what the later one can reach along its diagonals
+    ds = F.transform("x", lambda x: x["d"])
+    both = both.withColumn("off", F.greatest(F.lit(0), -F.array_max(ds))).withColumn("until", F.least(F.size("other"), F.size("own") - F.array_min(ds)))
+    both = both.select("row", "x", "long", "off", _blocks(F.col("own")).alias("mine"), _blocks(F.slice("other", F.col("off") + 1, F.greatest(F.col("until") - F.col("off"), F.lit(0)))).alias("its"))
+    spans = both.select("row", F.explode(F.flatten(F.transform("x", _spans))).alias("s")).select("row", "s.a", "s.b").distinct()
+    earlier = Window.partitionBy("row").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
+    merged = spans.withColumn("a", F.greatest("a", F.coalesce(F.max("b").over(earlier) + 1, F.lit(0)))).where("a <= b")
+    gone = merged.groupBy("row").agg(F.array_sort(F.flatten(F.collect_list(F.sequence("a", "b")))).alias("at"))
+    return gone.join(lines.select("row", "i"), "row").select("row", F.transform("at", lambda k: F.get("i", k)).alias("lines"))
 
 
 def without_lines(text: Column, lines: Column) -> Column:
     """The text less the lines with these indexes; as it is where lines is null."""
-    return F.when(lines.isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda s, i: ~F.array_contains(lines, i)), "\n"))
+
+    def kept(parts: Column) -> Column:
+        # what stands between each two of the lines that go, which are in order
+        last = lambda k: F.coalesce(F.get(lines, k - 1), F.lit(-1))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(lines)), lambda k: F.slice(parts, last(k) + 2, F.coalesce(F.get(lines, k), F.size(parts)) - last(k) - 1)))
+
+    # split once, not for each line
+    left = F.transform(F.array(F.split(text, "\n")), kept)[0]
+    return F.when(lines.isNull(), text).otherwise(F.array_join(left, "\n"))
 
 
 def without_repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", long_words: int = 50) -> DataFrame:
