@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, shuffles, table, written
 
-SAMPLES = 64
+SAMPLES = 56
 SHINGLE = 5
 LOW32 = 0xFFFFFFFF
 #: Hex digits of a fingerprint for each sample.
