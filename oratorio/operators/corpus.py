@@ -88,10 +88,11 @@ def resolved(declared: DataFrame, heard: DataFrame) -> DataFrame:
 
 
 def identities(found: DataFrame, heard: DataFrame, manual: DataFrame) -> DataFrame:
-    """Rows (voice, gender, age_bracket, status, only_pair, recurring_host, rows_agree), one a voice heard:
-    what the episodes agree on, how many each rule gave, and whether two disagree (conflict: none of their
-    values is taken). Values set by hand win, and their fields never conflict. manual: (voice, gender,
-    age_bracket), one a voice."""
+    """Rows (voice, gender, age_bracket, status, only_pair, recurring_host, rows_agree, manual, disagrees), one
+    a voice heard: what the episodes agree on, how many each rule gave, and whether two disagree (conflict:
+    none of their values is taken). Values set by hand win, and their fields never conflict: manual lists
+    them, disagrees those of them for which the episodes give another value, or several. manual: (voice,
+    gender, age_bracket), one a voice."""
     rules = ("only_pair", "recurring_host", "rows_agree")
     per = found.groupBy("voice").agg(*[x for f in PERSON for x in (F.min(f).alias(f"low_{f}"), F.max(f).alias(f"high_{f}"))], *[F.count_if(F.col("by") == r).alias(r) for r in rules])
     hand = manual.select("voice", *[_given(f).alias(f"hand_{f}") for f in PERSON])
@@ -101,7 +102,10 @@ def identities(found: DataFrame, heard: DataFrame, manual: DataFrame) -> DataFra
     ruled = lambda f: F.when(~F.col("conflict") & (F.col(f"low_{f}") == F.col(f"high_{f}")), F.col(f"low_{f}"))
     chosen = {f: F.coalesce(F.col(f"hand_{f}"), ruled(f)) for f in PERSON}
     status = F.when(F.col("conflict"), "conflict").when(F.coalesce(*chosen.values()).isNotNull(), "resolved").otherwise("unresolved")
-    return at.select("voice", *[c.alias(f) for f, c in chosen.items()], status.alias("status"), *[F.coalesce(r, F.lit(0)).alias(r) for r in rules])
+    named = lambda of: F.array_compact(F.array(*[F.when(of(f), F.lit(f)) for f in PERSON]))
+    by_hand = lambda f: F.col(f"hand_{f}").isNotNull()
+    other = lambda f: by_hand(f) & ((F.col(f"low_{f}") != F.col(f"hand_{f}")) | (F.col(f"high_{f}") != F.col(f"hand_{f}")))
+    return at.select("voice", *[c.alias(f) for f, c in chosen.items()], status.alias("status"), *[F.coalesce(r, F.lit(0)).alias(r) for r in rules], named(by_hand).alias("manual"), named(other).alias("disagrees"))
 
 
 def voice_page(clips: DataFrame, verdicts: DataFrame, limit: int) -> DataFrame:

@@ -92,7 +92,22 @@ SELECT voice, gender, age_bracket, CASE WHEN conflict THEN 'conflict' WHEN coale
 )
 def _(s, d):
     declared, heard, manual = _people(s, d)
-    return C.identities(C.resolved(declared, heard), heard, manual)
+    return C.identities(C.resolved(declared, heard), heard, manual).drop("manual", "disagrees")
+
+
+@query(
+    "d16_by_hand",
+    f"""WITH {_RESOLVED}, p AS (SELECT voice, min(gender) AS g1, max(gender) AS g2, min(age) AS a1, max(age) AS a2 FROM res GROUP BY 1), hand AS (SELECT 'r' || n_nationkey AS voice, 'f' AS gender, CASE WHEN n_nationkey % 2 = 0 THEN 'young' ELSE '' END AS age FROM nation)
+SELECT v.voice, array_to_string(list_filter([CASE WHEN h.voice IS NOT NULL THEN 'gender' END, CASE WHEN h.age <> '' THEN 'age_bracket' END], lambda x: x IS NOT NULL), ' ') AS manual,
+  array_to_string(list_filter([CASE WHEN h.voice IS NOT NULL AND (g1 <> h.gender OR g2 <> h.gender) THEN 'gender' END, CASE WHEN h.age <> '' AND (a1 <> h.age OR a2 <> h.age) THEN 'age_bracket' END], lambda x: x IS NOT NULL), ' ') AS disagrees
+FROM (SELECT DISTINCT voice FROM heard) v LEFT JOIN p ON p.voice = v.voice LEFT JOIN hand h ON h.voice = v.voice""",
+)
+def _(s, d):
+    declared, heard, _manual = _people(s, d)
+    n = F.col("n_nationkey")
+    manual = table(s, d, "nation").select(F.concat(F.lit("r"), n.cast("string")).alias("voice"), F.lit("f").alias("gender"), F.when(n % 2 == 0, "young").otherwise("").alias("age_bracket"))
+    out = C.identities(C.resolved(declared, heard), heard, manual)
+    return out.select("voice", F.array_join("manual", " ").alias("manual"), F.array_join("disagrees", " ").alias("disagrees"))
 
 
 @query("o10_voice_page", "SELECT event_id AS segment_id, 0.0::DOUBLE AS start, value AS \"end\", ['confirmed', 'rejected', NULL][event_id % 3 + 1] AS verdict, (SELECT count(*) FROM events) AS total FROM events ORDER BY [0, 2, 1][event_id % 3 + 1], value DESC, event_id LIMIT 60")
