@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import column_of, lower_hex, named_as, numbered, own_columns, release, table, written
@@ -169,6 +169,9 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Of the bands of a text: how many, and the least hashes that each is made of. Texts of similarity 0.8
 #: have a band in common with probability 1 - (1 - 0.8 ** 5) ** 12, over 0.99.
 BANDS, LEAST = 12, 5
+#: Texts of a band that are put in order together; texts of a band of which all are paired; how often groups
+#: are paired again at most.
+PART, SMALL, ROUNDS = 1024, 32, 20
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -225,6 +228,41 @@ def _alike(shingle: int, least: float):
     return run
 
 
+def _neighbours(texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts (node, o, bands) with a band in common: each text with the first and the last of
+    its band, and with the one before it, in order of doc_id, as row numbers may differ from run to run. The
+    order of a large band is that of parts of about PART texts, so that no task sorts a whole one."""
+    shared = texts.select("node", "o", F.explode("bands").alias("band"))
+    ends = shared.groupBy("band").agg(F.min("o")["row"].alias("lo"), F.max("o")["row"].alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+    met = shared.join(ends, "band")
+    part = F.pmod(F.xxhash64("o.doc_id"), F.ceil(F.col("n") / PART))
+    before = F.lag("node").over(Window.partitionBy("band", "part").orderBy("o"))
+    chained = met.withColumn("part", part).withColumn("before", before)
+    return chained.select("node", F.explode(F.array_compact(F.array("lo", "hi", "before"))).alias("a")).select("a", F.col("node").alias("b"))
+
+
+def _across(texts: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of texts of different groups with a band in common: all of them in bands of at most SMALL
+    texts; in larger ones each text with the one before it in an order of hashes, another one each turn."""
+    own = texts.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.explode("bands").alias("band"))
+    several = own.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("band", "n")
+    met = own.join(several, "band")
+    few = met.where(F.col("n") <= SMALL).groupBy("band").agg(F.collect_list(F.struct("node", "root")).alias("x"))
+    pairs = F.flatten(F.transform("x", lambda p: F.transform(F.filter("x", lambda q: (p["node"] < q["node"]) & (p["root"] != q["root"])), lambda q: F.struct(p["node"].alias("a"), q["node"].alias("b")))))
+    mixed = F.xxhash64("node", F.lit(turn))
+    in_order = Window.partitionBy("band", "part").orderBy(mixed, "node")
+    many = met.where(F.col("n") > SMALL).withColumn("part", F.pmod(F.xxhash64("node", F.lit(-turn)), F.ceil(F.col("n") / PART)))
+    many = many.select("root", F.col("node").alias("b"), F.lag("node").over(in_order).alias("a"), F.lag("root").over(in_order).alias("of")).where("of <> root")
+    return few.select(F.inline(pairs)).unionByName(many.select("a", "b"))
+
+
+def _verified(pairs: DataFrame, whole: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The pairs whose texts (node, text) are alike."""
+    second = pairs.join(whole.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    both = second.join(whole.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+    return both.mapInArrow(_alike(shingle, least), "a bigint, b bigint")
+
+
 def representatives(rows: DataFrame, row: str, text: str, doc_id: str, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """Rows (row): of each group of near copies the row that stays, that with the smallest doc_id, nulls
     last, and then the smallest row number. Groups are the components of pairs of texts whose shingles
@@ -232,8 +270,10 @@ def representatives(rows: DataFrame, row: str, text: str, doc_id: str, shingle:
 
     Equal texts are one node. Candidate pairs have SimHash fingerprints within three bits, or a band in
     common: at a similarity of 0.8 some ten of 64 bits differ, which blocks of a fingerprint cannot reach.
-    A text is paired with the first and the last of its band, never all with all, and every candidate's
-    similarity is taken of the whole texts. Null and empty texts are alike.
+    A text is paired with the first and the last of its band and with the one before it, never all with all,
+    and every candidate's similarity is taken of the whole texts. Where a band still has texts of several
+    groups, these are paired again, all of a small band, by changing orders in a large one, until a round
+    joins no groups. Null and empty texts are alike.
     """
     kind = rows.schema[doc_id].dataType.simpleString()
     sketches = written(rows.select(row, text, doc_id).mapInArrow(_sketch(shingle), f"row bigint, doc_id {kind}, digest binary, fp bigint, bands array<bigint>"), "sketches")
@@ -244,16 +284,21 @@ def representatives(rows: DataFrame, row: str, text: str, doc_id: str, shingle:
     close = links(marks)
     x, y = (marks.select(F.col("fp").alias(n), F.col("head").alias(f"h{n}")) for n in ("a", "b"))
     pairs = close.join(x, "a").join(y, "b").select(F.col("ha").alias("a"), F.col("hb").alias("b")).unionByName(texts.join(marks, "fp").select(F.col("head").alias("a"), F.col("node").alias("b")))
-    # first and last by doc_id: row numbers may differ from run to run
-    shared = texts.select("node", "o", F.explode("bands").alias("band"))
-    ends = shared.groupBy("band").agg(F.min("o")["row"].alias("lo"), F.max("o")["row"].alias("hi")).where("lo <> hi")
-    met = shared.join(ends, "band").select("node", F.explode(F.array("lo", "hi")).alias("a")).select("a", F.col("node").alias("b"))
-    pairs = pairs.unionByName(met).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = written(pairs, "pairs")
+    pairs = pairs.unionByName(_neighbours(texts)).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     whole = rows.select(F.col(row).alias("node"), F.col(text).alias("text"))
-    second = pairs.join(whole.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    both = second.join(whole.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
-    roots = components(both.mapInArrow(_alike(shingle, least), "a bigint, b bigint"))
+    tested = written(pairs, "pairs")
+    edges = written(_verified(tested, whole, shingle, least), "alike")
+    roots = components(edges)
+    for k in range(ROUNDS):
+        alive = texts.join(roots.where("node <> root"), "node", "left_anti")
+        more = _neighbours(alive).unionByName(_across(texts, roots, k))
+        more = more.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+        more = written(more, "pairs")
+        found = written(_verified(more, whole, shingle, least), "alike")
+        if found.isEmpty():
+            break
+        tested, edges = tested.unionByName(more), edges.unionByName(found)
+        roots = components(edges)
     kept = texts.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("o").alias("o"))
     release(rows.sparkSession)
     return kept.select(F.col("o.row").alias("row"))
