@@ -151,16 +151,37 @@ def mixture_weights(rows: DataFrame, human_share: float) -> DataFrame:
 def filtered_pseudo(rows: DataFrame, low: float, high: float, drop_fraction: float, max_overlap: float | None, order: list[str]) -> DataFrame:
     """rows with `reason`: the first rule that drops a row, or null. The least confident part of what is
     left goes last: its threshold is found by rank within ranges of confidence, whose sizes are added
-    up first, so that no task holds all rows."""
+    up first, so that no task holds all rows. Rows that an earlier rule drops are not ranked, and rows
+    without a log-probability are not dropped for it."""
     over = F.col("overlap_share") > F.lit(max_overlap) if max_overlap is not None else F.lit(False)
     speed = F.try_divide(F.col("n_tokens") * 1.0, F.col("duration"))
     first = F.when(over, "overlap").when(F.col("looped"), "loop").when(F.trim("text") == "", "empty").when(~speed.between(low, high) | speed.isNull(), "rate")
     marked = rows.withColumn("reason", first)
     left = marked.where("reason is null")
     by = F.floor(F.col("mean_logprob") * 1000)
-    sizes = left.groupBy(by.alias("range")).agg(F.count("*").alias("size"))
-    starts = sizes.withColumn("start", F.coalesce(F.sum("size").over(Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ranked = left.where("mean_logprob is not null").withColumn("range", by)
+    sizes = ranked.groupBy("range").agg(F.count("*").alias("size"))
+    starts = sizes.select("range", F.coalesce(F.sum("size").over(Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
     n_drop = left.agg(F.floor(F.count("*") * drop_fraction).alias("n_drop"))
-    ranked = marked.withColumn("range", F.when(F.col("reason").isNull(), by)).join(starts.drop("size"), "range", "left").crossJoin(F.broadcast(n_drop))
     rank = F.row_number().over(Window.partitionBy("range").orderBy("mean_logprob", *order))
-    return ranked.withColumn("reason", F.when(F.col("reason").isNull() & (F.col("start") + rank <= F.col("n_drop")), "confidence").otherwise(F.col("reason"))).drop("range", "start", "n_drop")
+    placed = ranked.withColumn("rank", rank).join(starts, "range").crossJoin(F.broadcast(n_drop))
+    placed = placed.withColumn("reason", F.when(F.col("start") + F.col("rank") <= F.col("n_drop"), "confidence"))
+    rest = marked.where("reason is not null or mean_logprob is null")
+    return rest.unionByName(placed.select(*rest.columns))
+
+
+def index_percentiles(rows: DataFrame, key: str, value: str, low: float, high: float) -> DataFrame:
+    """(key, low, high): the values at places floor(low * n) and floor(high * n) - 1, from 0, of a key's n
+    sorted values. Equal values are counted first and a key's counts summed in ranges of the values, so that
+    a key with very many rows is many tasks; nulls are no values."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"))
+    whole = counts.groupBy(key).agg(F.sum("n").alias("all"), F.min(value).alias("least"), F.max(value).alias("most"))
+    part = F.when(F.col("most") > F.col("least"), F.floor((F.col(value) - F.col("least")) / (F.col("most") - F.col("least")) * 1024)).otherwise(F.lit(0))
+    of = counts.join(whole, key).withColumn("part", part)
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = of.groupBy(key, "part").agg(F.sum("n").alias("n")).select(key, "part", before(Window.partitionBy(key).orderBy("part")).alias("start"))
+    placed = of.withColumn("within", before(Window.partitionBy(key, "part").orderBy(value))).join(parts, [key, "part"])
+    first = F.col("start") + F.col("within")
+    holds = lambda at: (first <= at) & (at < first + F.col("n"))
+    at_low, at_high = F.floor(F.lit(low) * F.col("all")), F.floor(F.lit(high) * F.col("all")) - 1
+    return placed.groupBy(key).agg(F.max(F.when(holds(at_low), F.col(value))).alias("low"), F.max(F.when(holds(at_high), F.col(value))).alias("high"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import intervals as I
 from ..functions import text as X
+from ..operators import reports as R
 from ..operators import texts as T
 from .registry import query
 from .views import table, turns
@@ -201,9 +202,7 @@ def _(s, d):
 
 @query("d7_index_percentiles", "SELECT event_type, v[CAST(floor(0.025 * len(v)) AS INT) + 1] AS low, v[CAST(floor(0.975 * len(v)) AS INT)] AS high FROM (SELECT event_type, list(value ORDER BY value) AS v FROM events GROUP BY 1)")
 def _(s, d):
-    v = table(s, d, "events").groupBy("event_type").agg(F.array_sort(F.collect_list("value")).alias("v"))
-    at = lambda q, k: F.element_at("v", (F.floor(F.lit(q) * F.size("v")) + k).cast("int"))
-    return v.select("event_type", at(0.025, 1).alias("low"), at(0.975, 0).alias("high"))
+    return R.index_percentiles(table(s, d, "events"), "event_type", "value", 0.025, 0.975)
 
 
 @query("d13_time_order", "SELECT conv_id, string_agg(role, ' ' ORDER BY turn) AS flat FROM conversations GROUP BY 1")
