@@ -18,10 +18,14 @@ CHUNK = 4096
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the folder of spark.checkpoint.dir, set to one in the warehouse if it is unset."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints")
+    """df as a checkpoint in the folder of spark.checkpoint.dir. Where that is unset, a local session uses a
+    folder in its warehouse; on a cluster executors might not share that, and it is an error."""
+    spark, context = df.sparkSession, df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        path = spark.conf.get("spark.checkpoint.dir", "")
+        if not path and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(path or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints")
     return df.checkpoint()
 
 

@@ -55,7 +55,7 @@ def _(s, d):
 
 @query("g34_disagreement")
 def _(s, d):
-    return _pairs(s, d).select("clip_id", T.disagreement(F.array("ref", "hyp", F.concat_ws(" ", "ref", "hyp"))).alias("disagreement"))
+    return T.disagreements(_pairs(s, d).select("clip_id", F.array("ref", "hyp", F.concat_ws(" ", "ref", "hyp")).alias("texts")), "clip_id", "texts")
 
 
 @query("g35_word_counts", r"WITH w AS (SELECT unnest(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}]+', ' ', 'g')), ' ')) AS word FROM benchmark) SELECT word, count(*) AS n FROM w WHERE word <> '' GROUP BY 1")

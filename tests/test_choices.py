@@ -1,11 +1,14 @@
-"""Exact samples and ranks against plain loops, with ties."""
+"""Exact samples, ranks and similarities against plain loops, with ties."""
 
+import difflib
 import hashlib
+import random
 
 import pytest
 
 from oratorio.operators import choices as C
 from oratorio.operators import reports as R
+from oratorio.operators import texts as T
 
 
 @pytest.mark.parametrize("scores", [[float(i * 7 % 13) for i in range(101)], [0.5] * 40, [1.0], [None, 2.0, 1.0], [None], [1.0, 1e9, *[2.0] * 30]])
@@ -33,3 +36,17 @@ def test_pseudo_rows_without_a_log_probability_stay(spark):
     df = spark.createDataFrame(rows, "id int, n_tokens int, duration double, mean_logprob double, looped boolean, overlap_share double, text string")
     got = {r.id: r.reason for r in R.filtered_pseudo(df, 0.5, 40, 0.1, 0.18, ["id"]).collect()}
     assert {i for i, r in got.items() if r == "confidence"} == {39, 38, 37, 35} and (got[100], got[101], got[102]) == ("loop", "overlap", "empty") and len(got) == 43
+
+
+def test_disagreement_by_matching_blocks(spark):
+    r = random.Random(4)
+    texts = [" ".join(r.choice("abcd") for _ in range(r.randrange(12))) for _ in range(300)]
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a.split(), b.split(), autojunk=False).ratio()
+    for a, b in zip(texts, texts[1:], strict=False):
+        x, y = a.split(), b.split()
+        assert 2 * T.matched_words(x, y) == pytest.approx(ratio(a, b) * (len(x) + len(y)) if x or y else 0)
+    rows = [(i, texts[3 * i : 3 * i + 3]) for i in range(20)] + [(90, ["one"]), (91, []), (92, None), (93, ["", ""])]
+    got = {x.i: x.disagreement for x in T.disagreements(spark.createDataFrame(rows, "i int, t array<string>"), "i", "t").collect()}
+    for i, t in rows[:20]:
+        assert got[i] == pytest.approx(1 - (ratio(t[0], t[1]) + ratio(t[0], t[2]) + ratio(t[1], t[2])) / 3)
+    assert got[90] == got[91] == got[92] == got[93] == 0.0

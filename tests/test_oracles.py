@@ -1,4 +1,4 @@
-"""Every query with SQL gives the same rows as DuckDB; every other one runs and has a stable schema."""
+"""Every query with SQL gives the same rows as DuckDB; every other one has rows, and the same ones again."""
 
 import pytest
 
@@ -19,6 +19,7 @@ def test_same_as_sql(spark, sf, con, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_runs(spark, sf, name):
-    df = QUERIES[name](spark, sf)
-    assert df.columns and df.count() >= 0
+def test_runs_agree(spark, sf, name):
+    rows = rows_of(QUERIES[name](spark, sf))
+    assert rows[0] and rows[1]
+    assert rows == rows_of(QUERIES[name](spark, sf))
