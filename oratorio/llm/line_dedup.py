@@ -9,9 +9,9 @@ sides while lines are equal. Of what is equal there, two lines in a row or a lon
 place; the first occurrence stays.
 
 All diagonals of a pair of documents are one row, which has both documents' lines once, the earlier one's
-as far as the later one can reach. How far lines are equal is found by blocks of 1, 2, 4, ... lines, each
-known by a hash made of two of half its length, so that a line repeated n times costs n steps of log n and
-not n diagonals of n lines. Equal lines and blocks are told by 64 bits of a hash. What goes is kept as
+as far as the later one can reach. Where there are more than a few, how far lines are equal is found by
+blocks of 1, 2, 4, ... lines, each known by a hash made of two of half its length, so that a line repeated n
+times costs n steps of log n and not n diagonals of n lines. Equal lines and blocks are told by 64 bits of a hash. What goes is kept as
 spans, which are merged before they become lines.
 
 Counts and first places are aggregated before they are shuffled and written before they are joined, so
@@ -25,6 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import WORD, column_of, discard, named_as, numbered, table, written
 
+#: Lines compared at once first; diagonals of a pair of documents up to which its lines are compared one by one.
+STEP, FEW = 16, 4
+
+
 def hashed_lines(rows: DataFrame, row: str, text: str, doc_id: str, long_words: int) -> DataFrame:
     """Rows (row, doc_id, h, i, long), arrays with a value for each line that is not blank: its hash, its
     index and whether it is long."""
@@ -78,16 +82,31 @@ def _common(a: Column, b: Column, at: Column, to: Column, back: bool = False) ->
     return F.aggregate(F.sequence(top, F.lit(0), F.lit(-1)), F.lit(0), step)
 
 
+def _equal(a: Column, b: Column, at: Column, to: Column, back: bool = False) -> Column:
+    """_common of plain arrays, line by line; first by a short step."""
+    n = F.least(at, to) if back else F.least(F.size(a) - at, F.size(b) - to)
+
+    def run(m: Column) -> Column:
+        m = F.greatest(m, F.lit(0))
+        x, y = (F.reverse(F.slice(c, F.greatest(k - m, F.lit(0)) + 1, m)) if back else F.slice(c, F.greatest(k, F.lit(0)) + 1, m) for c, k in ((a, at), (b, to)))
+        return F.array_position(F.zip_with(x, y, lambda p, q: p == q), F.lit(False)).cast("int")
+
+    short = run(F.least(n, F.lit(STEP)))
+    whole = F.when(n > STEP, run(n)).otherwise(0)
+    return F.when(short > 0, short - 1).when(whole > 0, whole - 1).otherwise(F.greatest(n, F.lit(0)))
+
+
 def _spans(x: Column) -> Column:
     """The spans of places that go by a diagonal x (d, lo, hi), from the columns mine, its, long and off: where
     its begins in the earlier document."""
     lo, hi, d = x["lo"], x["hi"], x["d"]
     other = lambda at: at - d - F.col("off")
-    start = lo - _common(F.col("mine"), F.col("its"), lo, other(lo), back=True)
-    end = hi + _common(F.col("mine"), F.col("its"), hi + 1, other(hi + 1))
-    inner = _common(F.col("mine"), F.col("its"), lo, other(lo))
-    span = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
     one, two = F.get("mine", F.lit(0)), F.get("its", F.lit(0))
+    run = lambda at, to, back=False: F.when(F.col("many"), _common(F.col("mine"), F.col("its"), at, to, back)).otherwise(_equal(one, two, at, to, back))
+    start = lo - run(lo, other(lo), True)
+    end = hi + run(hi + 1, other(hi + 1))
+    inner = run(lo, other(lo))
+    span = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
     same = lambda k: (k >= start) & (k <= end) & F.coalesce(F.get(one, k) == F.get(two, other(k)), F.lit(False))
     goes = lambda k: same(k) & (same(k - 1) | same(k + 1) | F.coalesce(F.get("long", k), F.lit(False)))
     apart = F.concat(F.array(span(start, lo)), F.transform(F.filter(F.sequence(lo, hi), goes), lambda k: span(k, k)), F.array(span(hi, end)))
@@ -113,7 +132,9 @@ def repeated_lines(rows: DataFrame, row: str, text: str, doc_id: str, long_words
     # of the earlier document what the later one can reach along its diagonals
     ds = F.transform("x", lambda x: x["d"])
     both = both.withColumn("off", F.greatest(F.lit(0), -F.array_max(ds))).withColumn("until", F.least(F.size("other"), F.size("own") - F.array_min(ds)))
-    both = both.select("row", "x", "long", "off", _blocks(F.col("own")).alias("mine"), _blocks(F.slice("other", F.col("off") + 1, F.greatest(F.col("until") - F.col("off"), F.lit(0)))).alias("its"))
+    many = F.size("x") > FEW
+    blocks = lambda h: F.when(many, _blocks(h)).otherwise(F.array(h))
+    both = both.select("row", "x", "long", "off", many.alias("many"), blocks(F.col("own")).alias("mine"), blocks(F.slice("other", F.col("off") + 1, F.greatest(F.col("until") - F.col("off"), F.lit(0)))).alias("its"))
     spans = both.select("row", F.explode(F.flatten(F.transform("x", _spans))).alias("s")).select("row", "s.a", "s.b").distinct()
     earlier = Window.partitionBy("row").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
     merged = spans.withColumn("a", F.greatest("a", F.coalesce(F.max("b").over(earlier) + 1, F.lit(0)))).where("a <= b")
