@@ -249,3 +249,58 @@ def seed_spans(clips: DataFrame, words: str, text: str) -> DataFrame:
     tokens = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(SPAN_WORD), F.lit(0))
     whole = (F.size(tokens) > 0) & (F.transform(F.col(words), lambda w: w["word"]) == tokens) & F.forall(F.col(words), lambda w: w["start"].isNotNull() & w["end"].isNotNull())
     return clips.withColumn("spans", F.when(whole, F.col(words)))
+
+
+#: Where a word on a lane may come from.
+SOURCES = ("label", "recogniser", "typed", "copy")
+#: The shortest span of a word, and how far past its clip's end it may reach, in seconds.
+LEAST_WORD, PAST_END = 0.02, 0.05
+
+
+def lane_problems(words: DataFrame, clips: DataFrame) -> DataFrame:
+    """(clip, pos, problem): all that makes submitted lanes unfit to be stored. words: clip, pos, word, start,
+    end, speaker, suggested, source; clips: clip, seconds, speakers (an array). A clip without words is one
+    problem, at pos null: an empty clip is flagged, not attributed."""
+    of = words.join(clips.select("clip", "seconds", F.col("speakers").alias("__known")), "clip")
+    text = F.trim(F.coalesce("word", F.lit("")))
+    start, end = F.col("start"), F.col("end")
+    finite = lambda c: ~F.isnan(c) & (F.abs(c) < float("inf"))
+    span = (
+        F.when(start.isNull() | end.isNull(), "no span").when(~(finite(start) & finite(end)), "span is not a number")
+        .when((start < 0) | (end > F.col("seconds") + PAST_END), "outside the clip").when(end - start < LEAST_WORD - 1e-9, "too short")
+    )
+    known = lambda c: F.array_contains("__known", F.col(c))
+    each = F.array_compact(F.array(
+        F.when((text == "") | text.rlike(r"\s"), "not one word"), F.when(~F.coalesce(F.col("source").isin(*SOURCES), F.lit(False)), "unknown source"), span,
+        F.when(F.col("speaker").isNull(), "on no lane").when(~known("speaker"), "unknown speaker"), F.when(F.col("suggested").isNotNull() & ~known("suggested"), "unknown suggestion"),
+    ))
+    empty = clips.join(words.select("clip"), "clip", "left_anti").select("clip", F.lit(None).cast("int").alias("pos"), F.lit("no words").alias("problem"))
+    return of.select("clip", F.col("pos").cast("int").alias("pos"), F.explode(each).alias("problem")).unionByName(empty)
+
+
+def attributions(words: DataFrame, submitted: DataFrame, current: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(labels, label words, refusals) of submitted lanes (clip, task, run, annotator, seconds, speakers), whose words are as
+    for lane_problems, with proposed. A clip is refused if its run is no longer its current one (clip, run),
+    or for its first problem; the others give a label each, with the text that their words spell in order
+    of start and whether any word stands on another lane than proposed, and their words in that order."""
+    problems = lane_problems(words, submitted).groupBy("clip").agg(F.min_by("problem", F.coalesce("pos", F.lit(-1))).alias("problem"))
+    at = submitted.join(current.select("clip", F.col("run").alias("__run")), "clip", "left").join(problems, "clip", "left")
+    judged = at.withColumn("refused", F.when(~F.col("run").eqNullSafe(F.col("__run")), "diarized again").otherwise(F.col("problem")))
+    good = judged.where("refused is null").select("clip", "task", "run", "annotator")
+    order = F.row_number().over(Window.partitionBy("clip").orderBy("start", "end", "pos")) - 1
+    kept = words.join(good.select("clip"), "clip", "left_semi").withColumn("position", order)
+    kept = kept.select("clip", "position", F.trim("word").alias("word"), "start", "end", "speaker", "proposed", "suggested", "source")
+    spelled = kept.groupBy("clip").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "word"))), lambda x: x["word"]), " ").alias("text"),
+        F.count_if(~F.col("speaker").eqNullSafe(F.col("proposed"))).alias("moved"), F.count_if(F.col("source") != "label").alias("added"),
+    )
+    return good.join(spelled, "clip"), kept, judged.where("refused is not null").select("clip", "task", "refused")
+
+
+def clip_detail(clips: DataFrame, runs: DataFrame, version: str | None = None) -> DataFrame:
+    """clips (run, clip, ref, hyp, ...) with `steps`, their alignment as it is made today, and `stale`: whether
+    their run (run, version) was scored by other rules, so that its stored counts may differ from it."""
+    from .texts import aligned
+
+    now = version or default_folder().version
+    return clips.join(runs.select("run", (~F.col("version").eqNullSafe(F.lit(now))).alias("stale")), "run").withColumn("steps", aligned(F.col("ref"), F.col("hyp")))

@@ -122,3 +122,57 @@ def _(s, d):
     found = t.where("turn_id % 2 = 0").select("episode", F.col("turn_id").alias("slot"), F.col("kind").alias("word"), ((F.col("start") + F.col("end")) / 2).alias("middle"))
     own = t.where("turn_id % 2 = 1").select("episode", F.col("kind").alias("word"), "start", "end")
     return L.not_near(found, own, "episode", 600.0, lambda a, b: a == b).select(F.col("slot").alias("turn_id"), "episode", F.col("word").alias("kind"))
+
+
+_SUBMITTED = r"""t AS (SELECT conv_id || '-' || turn AS clip, turn, coalesce(text, '') AS text FROM conversations
+), w AS (SELECT clip, turn, unnest(range(len(x))) AS pos, unnest(x) AS word FROM (SELECT *, list_filter(regexp_split_to_array(text, '\s+'), lambda y: y <> '') AS x FROM t)
+), words AS (SELECT clip, CAST(pos AS INTEGER) AS pos, CASE WHEN (pos + turn) % 97 = 0 THEN 'two words' ELSE word END AS word, CASE WHEN (pos + turn) % 11 <> 0 OR turn % 2 = 0 THEN round(pos * 0.4::DOUBLE, 3) END AS start, CASE WHEN (pos + turn) % 11 <> 0 OR turn % 2 = 0 THEN round(pos * 0.4::DOUBLE + CASE WHEN pos = 60 THEN 0.01 ELSE 0.3 END, 3) END AS "end",
+  CASE WHEN pos % 53 <> 52 THEN pos % 3 + 1 END AS speaker, CASE WHEN pos % 41 = 40 THEN 9 END AS suggested, CASE WHEN pos % 5 = 4 THEN 'typed' ELSE 'label' END AS source FROM w
+)"""
+_PROBLEMS = """problems AS (
+  SELECT clip, pos, 'not one word' AS problem FROM words WHERE word = 'two words'
+  UNION ALL SELECT clip, pos, 'no span' FROM words WHERE start IS NULL
+  UNION ALL SELECT clip, pos, 'outside the clip' FROM words WHERE "end" > 40.05
+  UNION ALL SELECT clip, pos, 'too short' FROM words WHERE "end" <= 40.05 AND pos = 60
+  UNION ALL SELECT clip, pos, 'on no lane' FROM words WHERE speaker IS NULL
+  UNION ALL SELECT clip, pos, 'unknown suggestion' FROM words WHERE suggested IS NOT NULL
+  UNION ALL SELECT clip, NULL, 'no words' FROM t WHERE clip NOT IN (SELECT clip FROM words)
+)"""
+
+
+def _lanes_in(s, d):
+    t = _texts(s, d)
+    w = t.select("clip", "turn", F.posexplode(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("pos", "word"))
+    p = F.col("pos")
+    timed = ((p + F.col("turn")) % 11 != 0) | (F.col("turn") % 2 == 0)
+    words = w.select(
+        "clip", "pos", F.when((p + F.col("turn")) % 97 == 0, "two words").otherwise(F.col("word")).alias("word"), F.when(timed, F.round(p * 0.4, 3)).alias("start"), F.when(timed, F.round(p * 0.4 + F.when(p == 60, 0.01).otherwise(0.3), 3)).alias("end"),
+        F.when(p % 53 != 52, p % 3 + 1).alias("speaker"), (p % 2 + 1).alias("proposed"), F.when(p % 41 == 40, 9).alias("suggested"), F.when(p % 5 == 4, "typed").otherwise("label").alias("source"),
+    )
+    clips = t.select("clip", F.col("turn").alias("task"), F.lit(1).alias("run"), F.lit("x").alias("annotator"), F.lit(40.0).alias("seconds"), F.array(F.lit(1), F.lit(2), F.lit(3)).alias("speakers"), "turn")
+    return words, clips
+
+
+@query("x9_lane_problems", f"WITH {_SUBMITTED}, {_PROBLEMS} SELECT clip, pos, problem FROM problems")
+def _(s, d):
+    words, clips = _lanes_in(s, d)
+    return L.lane_problems(words, clips)
+
+
+@query(
+    "x9_attributions",
+    f"""WITH {_SUBMITTED}, {_PROBLEMS} SELECT clip, turn AS task, string_agg(word, ' ' ORDER BY start, pos) AS text, count(*) FILTER (speaker <> pos % 2 + 1) AS moved, count(*) FILTER (source <> 'label') AS added
+FROM words JOIN t USING (clip) WHERE turn % 7 <> 3 AND clip NOT IN (SELECT clip FROM problems) GROUP BY ALL""",
+)
+def _(s, d):
+    words, clips = _lanes_in(s, d)
+    current = clips.select("clip", F.when(F.col("turn") % 7 == 3, 2).otherwise(1).alias("run"))
+    return L.attributions(words, clips, current)[0].select("clip", "task", "text", "moved", "added")
+
+
+@query("r5_clip_detail")
+def _(s, d):
+    other = _later(s, d, 1).select("clip", F.col("text").alias("hyp"))
+    clips = _texts(s, d).join(other, "clip").select((F.col("conv_id") % 3).alias("run"), "clip", F.col("text").alias("ref"), "hyp")
+    runs = clips.select("run").distinct().withColumn("version", F.when(F.col("run") == 0, "older"))
+    return L.clip_detail(clips, runs).select("run", "clip", "stale", F.size("steps").alias("steps"))

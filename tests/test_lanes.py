@@ -146,3 +146,24 @@ def test_respelled_only_where_the_words_spell_the_text(spark):
 def test_seed_spans(spark, words, text, kept):
     df = spark.createDataFrame([(words, text)], "words array<struct<word:string,start:double,end:double>>, text string")
     assert (L.seed_spans(df, "words", "text").first().spans is not None) == kept
+
+
+def test_lanes_are_stored_or_refused(spark):
+    words = [
+        ("good", 1, "there", 1.0, 1.5, 2, 1, None, "label"), ("good", 0, " hello ", 0.0, 0.5, 1, 1, 2, "typed"), ("again", 0, "x", 0.0, 1.0, 1, 1, None, "label"),
+        ("bad", 0, "a b", 0.0, 1.0, 1, 1, None, "label"), ("bad", 1, "c", None, 1.0, None, 1, 7, "copied"), ("bad", 2, "d", float("nan"), 1.0, 7, 1, None, "copy"), ("bad", 3, "e", 0.5, 0.51, 1, 1, None, "copy"), ("bad", 4, "f", 9.0, 10.06, 1, 1, None, "copy"), ("bad", 5, "g", 9.0, 10.05, 1, 1, None, "copy"),
+    ]
+    words = spark.createDataFrame(words, f"{WORDS}, speaker int, proposed int, suggested int, source string")
+    clips = spark.createDataFrame([(c, i, 1, "me", 10.0, [1, 2]) for i, c in enumerate(("good", "again", "bad", "none"))], "clip string, task int, run int, annotator string, seconds double, speakers array<int>")
+    problems = {(r.clip, r.pos, r.problem) for r in L.lane_problems(words, clips).collect()}
+    assert problems == {("bad", 0, "not one word"), ("bad", 1, "unknown source"), ("bad", 1, "no span"), ("bad", 1, "on no lane"), ("bad", 1, "unknown suggestion"), ("bad", 2, "span is not a number"), ("bad", 2, "unknown speaker"), ("bad", 3, "too short"), ("bad", 4, "outside the clip"), ("none", None, "no words")}
+    labels, kept, refused = L.attributions(words, clips, spark.createDataFrame([("good", 1), ("again", 2), ("bad", 1), ("none", 1)], "clip string, run int"))
+    assert [tuple(r) for r in labels.collect()] == [("good", 0, 1, "me", "hello there", 1, 1)]
+    assert [(r.position, r.word, r.speaker) for r in kept.orderBy("position").collect()] == [(0, "hello", 1), (1, "there", 2)]
+    assert {r.clip: r.refused for r in refused.collect()} == {"again": "diarized again", "bad": "not one word", "none": "no words"}
+
+
+def test_clip_detail_says_what_is_stale(spark):
+    clips = spark.createDataFrame([(1, "a", "the team won", "the team one"), (2, "b", "x", "x")], "run int, clip string, ref string, hyp string")
+    out = {r.clip: (r.stale, [s.kind for s in r.steps]) for r in L.clip_detail(clips, spark.createDataFrame([(1, "old"), (2, "v")], "run int, version string"), "v").collect()}
+    assert out == {"a": (True, ["match", "match", "sub"]), "b": (False, ["match"])}
