@@ -9,6 +9,7 @@ import pytest
 from oratorio.operators import choices as C
 from oratorio.operators import reports as R
 from oratorio.operators import texts as T
+from oratorio.operators import vectors as V
 
 
 @pytest.mark.parametrize("scores", [[float(i * 7 % 13) for i in range(101)], [0.5] * 40, [1.0], [None, 2.0, 1.0], [None], [1.0, 1e9, *[2.0] * 30]])
@@ -50,3 +51,22 @@ def test_disagreement_by_matching_blocks(spark):
     for i, t in rows[:20]:
         assert got[i] == pytest.approx(1 - (ratio(t[0], t[1]) + ratio(t[0], t[2]) + ratio(t[1], t[2])) / 3)
     assert got[90] == got[91] == got[92] == got[93] == 0.0
+
+
+@pytest.mark.parametrize("most", [10_000, 0])
+def test_suggestions_against_all_pairs(spark, monkeypatch, most):
+    monkeypatch.setattr(V, "MOST_PRINTS", most)
+    monkeypatch.setattr(V, "BLOCK", 4)
+    monkeypatch.setattr(V, "SALTS", 3)
+    r = random.Random(9)
+    vector = lambda: [r.gauss(0, 1) for _ in range(3)]
+    prints = [(g, f"v{i:02d}", vector()) for g in (0, 1) for i in range(20)] + [(2, "only", [1.0, 0.0, 0.0]), (1, "v99", None), (1, "zero", [0.0] * 3)]
+    rows = [(i, i % 4, vector()) for i in range(60)] + [(90, 0, None), (91, 0, [0.0] * 3)]
+    got = {x.id: (x.voice, x.cosine, x.second) for x in V.suggestions(spark.createDataFrame(rows, "id int, group int, vector array<double>"), spark.createDataFrame(prints, "group int, voice string, print array<double>"), 0.05).collect()}
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    want = {}
+    for i, g, v in rows[:60]:
+        best = sorted((-cosine(v, p), name) for h, name, p in prints if h == g and p and any(p))
+        if best and (len(best) == 1 or best[1][0] - best[0][0] >= 0.05):
+            want[i] = (best[0][1], pytest.approx(-best[0][0]), pytest.approx(-best[1][0]) if len(best) > 1 else None)
+    assert got == want and len(want) > 20
