@@ -54,7 +54,7 @@ def audit_rows(rows: DataFrame, key: str, score: str, rate: float, seed: int) ->
     return rows.where(drawn).crossJoin(F.broadcast(cut)).where(F.col(score) <= F.col("__cut")).drop("__cut")
 
 
-def audit_sample(rows: DataFrame, key: str, score: str, rate: float, seed: int, buckets: int = 4096) -> DataFrame:
+def audit_exact(rows: DataFrame, key: str, score: str, rate: float, seed: int, buckets: int = 4096) -> DataFrame:
     """rows of an exact number: max(1, round(rate * n)) of the half with the least scores (ties by key), or
     all of that half if it has fewer; those with the least hashes of key and seed, so that reruns agree.
 

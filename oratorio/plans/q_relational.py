@@ -628,7 +628,7 @@ def _(s, d):
 ), h AS (SELECT *, row_number() OVER (ORDER BY md5(segment_id || ':1'), segment_id) AS d FROM r WHERE k <= greatest(1, n // 2)) SELECT segment_id FROM h WHERE d <= greatest(1, round_even(n * 0.3::DOUBLE, 0))""",
 )
 def _(s, d):
-    return C.audit_sample(segments(s, d), "segment_id", "logprob", 0.3, 1).select("segment_id")
+    return C.audit_exact(segments(s, d), "segment_id", "logprob", 0.3, 1).select("segment_id")
 
 
 @query("o8_argmax", f"WITH h AS (SELECT event_id AS id, user_id AS segment_id, CASE WHEN event_type = 'signup' AND event_id % 7 = 0 THEN 'fusion' ELSE 'asr' END AS kind, event_id % 11 AS system_id, CASE WHEN event_id % 3 <> 0 THEN -value END AS logprob FROM events) SELECT segment_id, arg_max(id, CASE WHEN kind = 'fusion' THEN 1e9 + system_id ELSE coalesce(logprob, -1e9) END + id * 1e-9) AS hypothesis_id FROM h GROUP BY 1")

@@ -19,7 +19,7 @@ def test_audit_samples_are_exact(spark, scores, rate):
     kept = sorted((s, i) for i, s in enumerate(scores) if s is not None)
     half = [i for _, i in kept[: max(1, len(kept) // 2)]]
     want = sorted(half, key=lambda i: (hashlib.md5(f"{i}:3".encode()).hexdigest(), i))[: max(1, round(len(kept) * rate))]
-    assert {r.id for r in C.audit_sample(rows, "id", "s", rate, 3, buckets=8).collect()} == set(want)
+    assert {r.id for r in C.audit_exact(rows, "id", "s", rate, 3, buckets=8).collect()} == set(want)
 
 
 def test_index_percentiles(spark):
