@@ -172,6 +172,8 @@ BANDS, LEAST = 12, 5
 #: Texts of a band that are put in order together; texts of a band of which all are paired; how often groups
 #: are paired again at most.
 PART, SMALL, ROUNDS = 1024, 32, 20
+#: Pairs of which the numbers of the texts are broadcast: two million numbers at most, 32 MB.
+MOST_PAIRS = 1_000_000
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -257,9 +259,14 @@ def _across(texts: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, whole: DataFrame, shingle: int, least: float) -> DataFrame:
-    """The pairs whose texts (node, text) are alike."""
-    second = pairs.join(whole.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    both = second.join(whole.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+    """The pairs (a written table) whose texts (node, text) are alike. Only texts that are in a pair are
+    shuffled: where these are few, their numbers are broadcast to the texts."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    if pairs.count() <= MOST_PAIRS:
+        nodes = F.broadcast(nodes)
+    met = whole.join(nodes, "node", "left_semi")
+    second = pairs.join(met.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    both = second.join(met.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
     return both.mapInArrow(_alike(shingle, least), "a bigint, b bigint")
 
 
