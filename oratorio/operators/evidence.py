@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.buckets import low_confidence, priority_score
 from .corpus import queue_plan
-from .texts import hazards
+from .texts import hazards, spread
 
 #: What each component weighs in the priority.
 WEIGHTS = {"unsupported_rate": 0.30, "dropped_rate": 0.20, "asr_disagreement": 0.20, "acoustic_gap": 0.15, "low_confidence": 0.10, "rule_flag_score": 0.05}
@@ -58,7 +58,7 @@ def prioritised(evidence: DataFrame, flags: DataFrame, known: Sequence[str], wei
     an array), of which the share of the known ones raised counts, and others do not. Unsupported and
     dropped rates are measured of a fused text only."""
     h = hazards(F.col("fused_text"), F.col("texts"), F.col("neighbours"), F.col("code"), F.col("placed"), F.col("gap"))
-    of = evidence.withColumn("h", h).select("segment", "seed_id", "avg_logprob", F.col("fused_text").isNotNull().alias("fused"), "h.*").join(flags.select("segment", "flags"), "segment", "left")
+    of = spread(evidence, "segment").withColumn("h", h).select("segment", "seed_id", "avg_logprob", F.col("fused_text").isNotNull().alias("fused"), "h.*").join(flags.select("segment", "flags"), "segment", "left")
     measured = lambda c: F.when(F.col("fused"), F.col(c))
     rule: Column = F.coalesce(F.size(F.array_intersect("flags", F.array(*[F.lit(f) for f in known]))) / F.lit(float(len(known))), F.lit(0.0))
     parts = {"unsupported_rate": measured("unsupported_rate"), "dropped_rate": measured("dropped_rate"), "asr_disagreement": F.col("asr_disagreement"), "acoustic_gap": F.col("acoustic_gap"), "low_confidence": F.when(F.col("avg_logprob").isNotNull(), low_confidence(F.col("avg_logprob"), floor)), "rule_flag_score": rule}

@@ -11,13 +11,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fold import DEV, default_folder
 from .joins import interval_join, point_in_interval
 from .latest import latest
-from .texts import plain_token, slots_of
+from .texts import SLICE, aligned, plain_token, slots_of, spread
 
 #: The system name that a clip's own text takes part under.
 OWN = "__text__"
@@ -62,20 +63,33 @@ def on_clock(words: Sequence[str], seed: Sequence[str]) -> list[int | None]:
     return out
 
 
-def _placed(clips: DataFrame, clip: str, find) -> DataFrame:
-    """Rows (clip, pos, word, start, end) of clips (clip, words, seed: array of (word, start, end))."""
+def _placing(clip: str, find):
+    """Makes batches (clip, pos, word, start, end) of batches (clip, words, seed): SLICE clips at a time are
+    Python objects, and what comes of them is a batch of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, SLICE):
+                b = whole.slice(first, SLICE)
+                of, pos, said, spans = [], [], [], []
+                for k, (words, seed) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                    words, seed = words or [], seed or []
+                    at = find(words, [s["word"] for s in seed])
+                    of += [k] * len(words)
+                    pos += range(len(words))
+                    said += words
+                    spans += [(None, None) if i is None else (seed[i]["start"], seed[i]["end"]) for i in at]
+                start, end = ([None if x[k] != x[k] else x[k] for x in spans] for k in (0, 1))
+                columns = [b.column(0).take(pa.array(of, pa.int64())), pa.array(pos, pa.int32()), pa.array(said, pa.string()), pa.array(start, pa.float64()), pa.array(end, pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, [clip, "pos", "word", "start", "end"])
+
+    return run
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for c, words, seed in zip(pdf[clip], pdf["words"], pdf["seed"], strict=True):
-                words, seed = [] if words is None else list(words), [] if seed is None else list(seed)
-                at = find(words, [s["word"] for s in seed])
-                rows += [(c, p, w, *((None, None) if k is None else (seed[k]["start"], seed[k]["end"]))) for p, (w, k) in enumerate(zip(words, at, strict=True))]
-            yield pd.DataFrame(rows, columns=[clip, "pos", "word", "start", "end"]).astype({"start": "float64", "end": "float64"})
 
+def _placed(clips: DataFrame, clip: str, find) -> DataFrame:
+    """Rows (clip, pos, word, start, end) of clips (clip, words, seed: array of (word, start, end))."""
     kind = clips.schema[clip].dataType.simpleString()
-    return clips.select(clip, "words", "seed").mapInPandas(run, f"{clip} {kind}, pos int, word string, start double, end double").replace(float("nan"), None, ["start", "end"])
+    return spread(clips.select(clip, "words", "seed"), clip).mapInArrow(_placing(clip, find), f"{clip} {kind}, pos int, word string, start double, end double")
 
 
 def timed(words: DataFrame, clip: str) -> DataFrame:
@@ -300,7 +314,6 @@ def attributions(words: DataFrame, submitted: DataFrame, current: DataFrame) ->
 def clip_detail(clips: DataFrame, runs: DataFrame, version: str | None = None) -> DataFrame:
     """clips (run, clip, ref, hyp, ...) with `steps`, their alignment as it is made today, and `stale`: whether
     their run (run, version) was scored by other rules, so that its stored counts may differ from it."""
-    from .texts import aligned
-
     now = version or default_folder().version
-    return clips.join(runs.select("run", (~F.col("version").eqNullSafe(F.lit(now))).alias("stale")), "run").withColumn("steps", aligned(F.col("ref"), F.col("hyp")))
+    of = clips.join(runs.select("run", (~F.col("version").eqNullSafe(F.lit(now))).alias("stale")), "run")
+    return spread(of, "clip").withColumn("steps", aligned(F.col("ref"), F.col("hyp")))

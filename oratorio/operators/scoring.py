@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fold import default_folder
 from .latest import latest
-from .texts import SCORE, score
+from .texts import SCORE, score, spread
 
 #: The columns of a clip's score, in order.
 FIELDS = [p.split()[0] for p in SCORE.split(", ")]
@@ -37,7 +37,7 @@ def plan(clips: DataFrame, stored: DataFrame, version: str) -> DataFrame:
 
 def scored(clips: DataFrame, version: str) -> DataFrame:
     """(clip, digest, version, the fields of a score) of clips, every one aligned."""
-    own = clips.select("clip", digest(F.col("ref"), F.col("hyp")).alias("digest"), F.lit(version).alias("version"), score(F.col("ref"), F.col("hyp")).alias("s"))
+    own = spread(clips.select("clip", "ref", "hyp"), "clip").select("clip", digest(F.col("ref"), F.col("hyp")).alias("digest"), F.lit(version).alias("version"), score(F.col("ref"), F.col("hyp")).alias("s"))
     return own.select("clip", "digest", "version", *[F.col(f"s.{f}").alias(f) for f in FIELDS])
 
 
@@ -98,7 +98,7 @@ def rescored_runs(runs: DataFrame, clips: DataFrame, version: str | None = None)
     version = version or default_folder().version
     old = runs.where(~F.col("version").eqNullSafe(F.lit(version))).select("run", F.col("version").alias("old_version"))
     stale, kept = clips.join(old, "run", "left_semi"), clips.join(old, "run", "left_anti")
-    again = stale.select(*[c for c in stale.columns if c not in FIELDS], score(F.col("ref"), F.col("hyp")).alias("s"))
+    again = spread(stale, "clip").select(*[c for c in stale.columns if c not in FIELDS], score(F.col("ref"), F.col("hyp")).alias("s"))
     again = again.select(*[c for c in again.columns if c != "s"], *[F.col(f"s.{f}").alias(f) for f in FIELDS])
     before = summary(stale, "run").select("run", F.col("wer").alias("old_wer"))
     audit = old.join(before, "run", "left").join(summary(again, "run").select("run", "wer", "clips"), "run", "left").withColumn("version", F.lit(version))

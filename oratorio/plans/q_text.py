@@ -21,7 +21,7 @@ def _pairs(s, d):
 
 @query("c1_align")
 def _(s, d):
-    return _pairs(s, d).select("clip_id", F.explode(T.aligned(F.col("ref"), F.col("hyp"))).alias("x")).select("clip_id", "x.*")
+    return T.spread(_pairs(s, d), "clip_id").select("clip_id", F.explode(T.aligned(F.col("ref"), F.col("hyp"))).alias("x")).select("clip_id", "x.*")
 
 
 @query("c4_key")
@@ -44,12 +44,12 @@ def _(s, d):
 
 @query("c24_score_clip")
 def _(s, d):
-    return _pairs(s, d).select("clip_id", T.score(F.col("ref"), F.col("hyp")).alias("x")).select("clip_id", "x.*")
+    return T.spread(_pairs(s, d), "clip_id").select("clip_id", T.score(F.col("ref"), F.col("hyp")).alias("x")).select("clip_id", "x.*")
 
 
 @query("c25_hazards")
 def _(s, d):
-    p = _pairs(s, d)
+    p = T.spread(_pairs(s, d), "clip_id")
     return p.select("clip_id", T.hazards(F.col("ref"), F.array("hyp", "ref"), F.array("hyp")).alias("x")).select("clip_id", "x.*")
 
 
