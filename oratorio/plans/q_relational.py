@@ -486,7 +486,7 @@ def _(s, d):
     return C.spread(c, 3)
 
 
-@query("g41_oracle_choice", "SELECT user_id AS clip_id, arg_min(event_id, v * 1000000 + event_id) AS oracle_rank, min(v) AS oracle_errors, arg_min(v, event_id) AS first_errors FROM (SELECT user_id, event_id, event_id % 13 AS v FROM events) GROUP BY 1")
+@query("g41_oracle_choice", "SELECT user_id AS clip_id, arg_min(event_id, ROW(v, event_id)) AS oracle_rank, min(v) AS oracle_errors, arg_min(v, event_id) AS first_errors FROM (SELECT user_id, event_id, event_id % 13 AS v FROM events) GROUP BY 1")
 def _(s, d):
     c = table(s, d, "events").select(F.col("user_id").alias("clip_id"), (F.col("event_id") % 13).alias("errors"), F.col("event_id").alias("rank"))
     return C.best_candidate(c)
@@ -631,7 +631,7 @@ def _(s, d):
     return C.audit_exact(segments(s, d), "segment_id", "logprob", 0.3, 1).select("segment_id")
 
 
-@query("o8_argmax", f"WITH h AS (SELECT event_id AS id, user_id AS segment_id, CASE WHEN event_type = 'signup' AND event_id % 7 = 0 THEN 'fusion' ELSE 'asr' END AS kind, event_id % 11 AS system_id, CASE WHEN event_id % 3 <> 0 THEN -value END AS logprob FROM events) SELECT segment_id, arg_max(id, CASE WHEN kind = 'fusion' THEN 1e9 + system_id ELSE coalesce(logprob, -1e9) END + id * 1e-9) AS hypothesis_id FROM h GROUP BY 1")
+@query("o8_argmax", f"WITH h AS (SELECT event_id AS id, user_id AS segment_id, CASE WHEN event_type = 'signup' AND event_id % 7 = 0 THEN 'fusion' ELSE 'asr' END AS kind, event_id % 11 AS system_id, CASE WHEN event_id % 3 <> 0 THEN -value END AS logprob FROM events) SELECT segment_id, arg_max(id, ROW(kind = 'fusion', CASE WHEN kind = 'fusion' THEN system_id::DOUBLE ELSE coalesce(logprob, '-infinity'::DOUBLE) END, id)) AS hypothesis_id FROM h GROUP BY 1")
 def _(s, d):
     i = F.col("event_id")
     h = table(s, d, "events").select(i.alias("id"), F.col("user_id").alias("segment_id"), F.when((F.col("event_type") == "signup") & (i % 7 == 0), "fusion").otherwise("asr").alias("kind"), (i % 11).alias("system_id"), F.when(i % 3 != 0, -F.col("value")).alias("logprob"))
@@ -688,7 +688,7 @@ def _(s, d):
     return table(s, d, "embeddings").select("vec_id", V.dot(F.col("embedding"), F.col("embedding")).alias("norm2"))
 
 
-@query("d15_voice_prints", "WITH u AS (SELECT label, unnest(range(1, len(embedding) + 1)) AS i, embedding, sqrt(list_sum([x::DOUBLE * x::DOUBLE FOR x IN embedding])) AS n FROM embeddings), m AS (SELECT label, i, avg(embedding[i]::DOUBLE / n) AS x FROM u GROUP BY 1, 2) SELECT label, list(x ORDER BY i) AS centroid FROM m GROUP BY 1")
+@query("d15_voice_prints", "WITH u AS (SELECT label, unnest(range(1, len(embedding) + 1)) AS i, embedding, sqrt(list_sum([x::DOUBLE * x::DOUBLE FOR x IN embedding])) AS n FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL)) = 0), m AS (SELECT label, i, CAST(sum(CAST(floor(embedding[i]::DOUBLE / n * 68719476736 + 0.5::DOUBLE) AS BIGINT)) AS BIGINT)::DOUBLE / (68719476736 * count(*))::DOUBLE AS x FROM u WHERE n > 0 AND n < 'infinity'::DOUBLE GROUP BY 1, 2) SELECT label, list(x ORDER BY i) AS centroid FROM m GROUP BY 1")
 def _(s, d):
     return V.mean_vectors(table(s, d, "embeddings"), "label", "embedding")
 
