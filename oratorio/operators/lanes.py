@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.fold import DEV, default_folder
 from .joins import interval_join, point_in_interval
 from .latest import latest
+from .sequences import cut_lineage
 from .texts import SLICE, aligned, plain_token, slots_of, spread
 
 #: The system name that a clip's own text takes part under.
@@ -174,15 +175,25 @@ def slot_words(words: DataFrame, clip: str, threshold: float = 0.45) -> DataFram
     """(clip, slot, system, position, word, start, end): the words (clip, system, position, word, start,
     end) that have a time, with the moment that each stands at."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        spans = {(s, p): (a, b) for s, p, a, b in zip(pdf["system"], pdf["position"], pdf["start"], pdf["end"], strict=True)}
-        found = slots_of(list(zip(pdf["system"], pdf["position"], pdf["word"], pdf["start"], pdf["end"], strict=True)), threshold)
-        rows = [(pdf[clip].iloc[0], k, s, p, w, *spans[s, p]) for k, x in enumerate(found) for s, (p, w) in x["words"].items()]
-        return pd.DataFrame(rows, columns=[clip, "slot", "system", "position", "word", "start", "end"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["slot", "system", "position", "word", "start", "end"]
+        for whole in batches:
+            for first in range(0, whole.num_rows, SLICE):
+                b, of, rows = whole.slice(first, SLICE), [], []
+                for k, words in enumerate(b.column(1).to_pylist()):
+                    spans = {(w["system"], w["position"]): (w["start"], w["end"]) for w in words}
+                    found = slots_of([(w["system"], w["position"], w["word"], w["start"], w["end"]) for w in words], threshold)
+                    own = [(i, s, p, w, *spans[s, p]) for i, x in enumerate(found) for s, (p, w) in x["words"].items()]
+                    of += [k] * len(own)
+                    rows += own
+                kinds = [pa.int32(), pa.string(), pa.int32(), pa.string(), pa.float64(), pa.float64()]
+                columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of, pa.int64())), *columns], [clip, *names])
 
     kind = words.schema[clip].dataType.simpleString()
     own = words.select(clip, "system", F.col("position").cast("int").alias("position"), "word", "start", "end").where("start is not null and end is not null")
-    return own.groupBy(clip).applyInPandas(run, f"{clip} {kind}, slot int, system string, position int, word string, start double, end double")
+    listed = own.groupBy(clip).agg(F.array_sort(F.collect_list(F.struct("system", "position", "word", "start", "end"))).alias("words"))
+    return spread(listed, clip).mapInArrow(run, f"{clip} {kind}, slot int, system string, position int, word string, start double, end double")
 
 
 def plain(word: Column) -> Column:
@@ -236,7 +247,8 @@ def candidates(own: DataFrame, words: DataFrame, clip: str, threshold: float = 0
     position, word, start, end) at moments where the clip's own words (clip, pos, word, start, end) have
     nothing, and have not the same word within `near` seconds either."""
     text = own.select(clip, F.lit(OWN).alias("system"), F.col("pos").alias("position"), "word", "start", "end")
-    found = holes(slot_words(words.select(*text.columns).unionByName(text), clip, threshold), clip, least)
+    # read twice below, and the moments behind it are dear
+    found = cut_lineage(holes(slot_words(words.select(*text.columns).unionByName(text), clip, threshold), clip, least))
     return not_near(found, own, clip, near, same).select(clip, "word", "start", "end", "systems")
 
 

@@ -53,3 +53,10 @@ def test_words_are_placed_a_slice_of_clips_at_a_time():
     made = list(L._placing("clip", L.on_clock)([batch]))
     assert [b.num_rows for b in made] == [2 * L.SLICE, 2 * L.SLICE, 0]
     assert made[0].to_pylist()[:2] == [{"clip": "0", "pos": 0, "word": "a", "start": 0.5, "end": None}, {"clip": "0", "pos": 1, "word": "b", "start": None, "end": None}]
+
+
+def test_moments_of_little_input_are_many_tasks(spark):
+    words = spark.createDataFrame([(str(c), s, k, "w", k * 0.4, k * 0.4 + 0.3) for c in range(6) for s in "ab" for k in range(5)], "clip string, system string, position int, word string, start double, end double")
+    found = L.slot_words(words, "clip")
+    assert found.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+    assert sorted((r.clip, r.slot, r.system) for r in found.collect()) == [(str(c), k, s) for c in range(6) for k in range(5) for s in "ab"]
