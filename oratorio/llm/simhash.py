@@ -170,10 +170,12 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: have a band in common with probability 1 - (1 - 0.8 ** 5) ** 12, over 0.99.
 BANDS, LEAST = 12, 5
 #: Texts of a band that are put in order together; texts of a band of which all are paired; how often groups
-#: are paired again at most.
+#: are paired again at most before what is left is compared by blocks.
 PART, SMALL, ROUNDS = 1024, 32, 20
 #: Pairs of which the numbers of the texts are broadcast: two million numbers at most, 32 MB.
 MOST_PAIRS = 1_000_000
+#: Texts, and distinct shingles of them, up to which one task has all that may be alike, and of a block.
+HOME, HOME_SHINGLES = 1024, 1 << 22
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -200,11 +202,21 @@ def bands(h: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(least[k * LEAST : (k + 1) * LEAST].tobytes(), seed=k) for k in range(BANDS)]
 
 
+def _jaccard(x: np.ndarray, y: np.ndarray, least: float = 0.0) -> float:
+    """Jaccard similarity of two sets of shingles, both empty: 1; where their sizes tell that it is below least,
+    a bound of it that is below least too."""
+    small, large = sorted((len(x), len(y)))
+    if not large:
+        return 1.0
+    if small / large < least:
+        return small / large
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)
+
+
 def similarity(a: str | None, b: str | None, n: int) -> float:
     """Jaccard similarity of the texts' shingles; two without words are alike."""
-    x, y = shingles(a, n), shingles(b, n)
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+    return _jaccard(shingles(a, n), shingles(b, n))
 
 
 def _sketch(shingle: int):
@@ -215,8 +227,13 @@ def _sketch(shingle: int):
             texts = b.column(1).to_pylist()
             digests = [hashlib.blake2b((t or "").encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
             fp = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
-            own = [np.array(bands(shingles(t, shingle)), np.uint64).view(np.int64).tolist() for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(digests, pa.binary()), pa.array(fp), pa.array(own, pa.list_(pa.int64()))], ["row", "doc_id", "digest", "fp", "bands"])
+            own, sizes = [], []
+            for t in texts:
+                h = shingles(t, shingle)
+                own.append(np.array(bands(h), np.uint64).view(np.int64).tolist())
+                sizes.append(len(h))
+            arrays = [b.column(0), b.column(2), pa.array(digests, pa.binary()), pa.array(fp), pa.array(own, pa.list_(pa.int64())), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "digest", "fp", "bands", "size"])
 
     return run
 
@@ -230,11 +247,25 @@ def _alike(shingle: int, least: float):
     return run
 
 
+def _met(whole: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """The texts (node, text) of n nodes (node): where these are few, their numbers are broadcast to the texts,
+    so that no other text is shuffled."""
+    return whole.join(F.broadcast(nodes) if n <= 2 * MOST_PAIRS else nodes, "node", "left_semi")
+
+
+def _shared(texts: DataFrame) -> DataFrame:
+    """Rows (band, node, o) of the bands that several texts have. Which these are is counted first, so that
+    bands of one text, which are nearly all, are shuffled as a number and no more."""
+    own = texts.select("node", "o", F.explode("bands").alias("band"))
+    several = written(own.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "bands")
+    return own.join(F.broadcast(several) if several.count() <= MOST_PAIRS else several, "band", "left_semi").select("band", "node", "o")
+
+
 def _neighbours(texts: DataFrame) -> DataFrame:
     """Pairs (a, b) of texts (node, o, bands) with a band in common: each text with the first and the last of
     its band, and with the one before it, in order of doc_id, as row numbers may differ from run to run. The
     order of a large band is that of parts of about PART texts, so that no task sorts a whole one."""
-    shared = texts.select("node", "o", F.explode("bands").alias("band"))
+    shared = _shared(texts)
     ends = shared.groupBy("band").agg(F.min("o")["row"].alias("lo"), F.max("o")["row"].alias("hi"), F.count("*").alias("n")).where("lo <> hi")
     met = shared.join(ends, "band")
     part = F.pmod(F.xxhash64("o.doc_id"), F.ceil(F.col("n") / PART))
@@ -243,6 +274,75 @@ def _neighbours(texts: DataFrame) -> DataFrame:
     return chained.select("node", F.explode(F.array_compact(F.array("lo", "hi", "before"))).alias("a")).select("a", F.col("node").alias("b"))
 
 
+def _joined(label: np.ndarray, tested: np.ndarray, h: list[np.ndarray], p: int, others: np.ndarray, least: float) -> list[int]:
+    """Compares p with the others that are not in its group, joins its group with theirs where they are alike,
+    and gives those; labels are changed in place."""
+    found = []
+    for q in others[(label[others] != label[p]) & ~tested[p, others]].tolist():
+        if label[q] != label[p]:
+            tested[p, q] = tested[q, p] = True
+            if _jaccard(h[p], h[q], least) >= least:
+                label[label == label[q]] = label[p]
+                found.append(q)
+    return found
+
+
+def _home(shingle: int, least: float, distance: int = 3):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Groups of the texts of a home, from all pairs with a band in common or fingerprints within the distance."""
+        n, h = len(pdf), [shingles(t, shingle) for t in pdf["text"]]
+        fp, node = pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["node"].to_numpy(np.int64)
+        label, tested, of = np.arange(n), np.zeros((n, n), bool), {}
+        for i, own in enumerate(pdf["bands"]):
+            for band in own:
+                of.setdefault(band, []).append(i)
+        for members in of.values():
+            m = np.array(members)
+            for k in range(len(m) - 1):
+                _joined(label, tested, h, m[k], m[k + 1 :], least)
+        for p in range(n - 1):
+            _joined(label, tested, h, p, p + 1 + np.flatnonzero(np.bitwise_count(fp[p + 1 :] ^ fp[p]) <= distance), least)
+        root = pd.Series(node).groupby(label).transform("min")
+        return pd.DataFrame({"node": node, "root": root.to_numpy()})
+
+    return run
+
+
+def _blocks(shingle: int, least: float):
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """Edges between the groups of two blocks of a band, or of one: of all its pairs, each in the first of
+        the bands that both texts have."""
+        band, i, j = (int(x) for x in key)
+        h, node = [shingles(t, shingle) for t in pdf["text"]], pdf["node"].to_numpy(np.int64)
+        block, of = pdf["block"].to_numpy(), [set(x) for x in pdf["bands"]]
+        label, tested = pd.factorize(pdf["root"])[0], np.zeros((len(pdf), len(pdf)), bool)
+        found = []
+        for p in np.flatnonzero(block == i):
+            others = np.flatnonzero(block == j)
+            others = np.array([q for q in others[label[others] != label[p]] if min(of[p] & of[q]) == band], int)
+            found += [(int(node[p]), int(node[q])) for q in _joined(label, tested, h, p, others, least)]
+        a, b = np.array(found, np.int64).reshape(-1, 2).T
+        return pd.DataFrame({"a": a, "b": b})
+
+    return run
+
+
+def _all_across(texts: DataFrame, roots: DataFrame, whole: DataFrame, shingle: int, least: float, over: int) -> DataFrame:
+    """Edges (a, b) of all pairs of texts of different groups with a band in common, of bands of more than
+    `over` texts. A band is cut into blocks of about HOME texts or HOME_SHINGLES shingles, and each two blocks,
+    and each block by itself, are one task: quadratic in a band that no round could join, in bounded memory."""
+    own = texts.join(roots, "node", "left").select("node", "size", "bands", F.coalesce("root", "node").alias("root"), F.explode("bands").alias("band"))
+    several = own.groupBy("band").agg(F.count("*").alias("n"), F.sum("size").alias("sizes"), F.min("root").alias("r"), F.max("root").alias("s")).where((F.col("r") != F.col("s")) & (F.col("n") > over))
+    k = F.ceil(F.greatest(F.col("n") / HOME, F.col("sizes") / HOME_SHINGLES, F.lit(1.0)))
+    met = own.join(several.select("band", k.alias("k")), "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")))
+    met = written(met.select("node", "root", "bands", "band", "block", "k"), "across")
+    nodes = written(met.select("node").distinct(), "nodes")
+    dealt = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    dealt = dealt.select("node", "root", "bands", "band", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    brought = dealt.join(_met(whole, nodes, nodes.count()), "node")
+    return brought.groupBy("band", "i", "j").applyInPandas(_blocks(shingle, least), "a bigint, b bigint")
+
+
 def _across(texts: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
     """Pairs (a, b) of texts of different groups with a band in common: all of them in bands of at most SMALL
     texts; in larger ones each text with the one before it in an order of hashes, another one each turn."""
@@ -262,14 +362,36 @@ def _verified(pairs: DataFrame, whole: DataFrame, shingle: int, least: float) ->
     """The pairs (a written table) whose texts (node, text) are alike. Only texts that are in a pair are
     shuffled: where these are few, their numbers are broadcast to the texts."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    if pairs.count() <= MOST_PAIRS:
-        nodes = F.broadcast(nodes)
-    met = whole.join(nodes, "node", "left_semi")
+    met = _met(whole, nodes, 2 * pairs.count())
     second = pairs.join(met.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
     both = second.join(met.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
     return both.mapInArrow(_alike(shingle, least), "a bigint, b bigint")
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _large(texts: DataFrame, close: DataFrame, whole: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Rows (node, root) of the groups of texts that are too many for one task; close are their pairs by
+    fingerprint. Rounds of few pairs join most, the rest is compared by blocks."""
+    tested = written(_ordered(close.unionByName(_neighbours(texts))), "pairs")
+    edges = written(_verified(tested, whole, shingle, least), "alike")
+    roots, settled = components(edges), False
+    for k in range(ROUNDS):
+        alive = texts.join(roots.where("node <> root"), "node", "left_anti")
+        more = _ordered(_neighbours(alive).unionByName(_across(texts, roots, k))).join(tested, ["a", "b"], "left_anti")
+        more = written(more, "pairs")
+        found = written(_verified(more, whole, shingle, least), "alike")
+        if settled := found.isEmpty():
+            break
+        tested, edges = tested.unionByName(more), edges.unionByName(found)
+        roots = components(edges)
+    # the last round compared all pairs of small bands, if it joined none
+    found = written(_all_across(texts, roots, whole, shingle, least, SMALL if settled else 1), "alike")
+    return roots if found.isEmpty() else components(edges.unionByName(found))
+
+
 def representatives(rows: DataFrame, row: str, text: str, doc_id: str, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """Rows (row): of each group of near copies the row that stays, that with the smallest doc_id, nulls
     last, and then the smallest row number. Groups are the components of pairs of texts whose shingles
@@ -277,35 +399,37 @@ def representatives(rows: DataFrame, row: str, text: str, doc_id: str, shingle:
 
     Equal texts are one node. Candidate pairs have SimHash fingerprints within three bits, or a band in
     common: at a similarity of 0.8 some ten of 64 bits differ, which blocks of a fingerprint cannot reach.
-    A text is paired with the first and the last of its band and with the one before it, never all with all,
-    and every candidate's similarity is taken of the whole texts. Where a band still has texts of several
-    groups, these are paired again, all of a small band, by changing orders in a large one, until a round
-    joins no groups. Null and empty texts are alike.
+    Similarities are taken of the whole texts. Texts that are connected by candidate pairs are a home. One
+    of at most HOME texts and HOME_SHINGLES shingles is one task, which has each text once and leaves out
+    only pairs of one group. In a larger one a text is paired with the first and the last of its band and with the one
+    before it; where a band still has texts of several groups, these are paired again, all of a small band,
+    by changing orders in a large one, until a round joins no groups; then all pairs of different groups in
+    a large band are compared by blocks. Either way two texts with a band in common that are alike are in
+    one group. Null and empty texts are alike.
     """
     kind = rows.schema[doc_id].dataType.simpleString()
-    sketches = written(rows.select(row, text, doc_id).mapInArrow(_sketch(shingle), f"row bigint, doc_id {kind}, digest binary, fp bigint, bands array<bigint>"), "sketches")
+    sketches = written(rows.select(row, text, doc_id).mapInArrow(_sketch(shingle), f"row bigint, doc_id {kind}, digest binary, fp bigint, bands array<bigint>, size bigint"), "sketches")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    texts = written(sketches.groupBy("digest").agg(F.min(F.struct(order.alias("o"), "fp", "bands")).alias("f")).select("f.o", F.col("f.o.row").alias("node"), "f.fp", "f.bands"), "texts")
-    marks = texts.groupBy("fp").agg(F.min("o")["row"].alias("head"))
-    marks = written(marks, "marks")
-    close = links(marks)
+    texts = sketches.groupBy("digest").agg(F.min(F.struct(order.alias("o"), "fp", "bands", "size")).alias("f"))
+    texts = written(texts.select("f.o", F.col("f.o.row").alias("node"), "f.fp", "f.bands", "f.size"), "texts")
+    marks = written(texts.groupBy("fp").agg(F.min("o")["row"].alias("head")), "marks")
     x, y = (marks.select(F.col("fp").alias(n), F.col("head").alias(f"h{n}")) for n in ("a", "b"))
-    pairs = close.join(x, "a").join(y, "b").select(F.col("ha").alias("a"), F.col("hb").alias("b")).unionByName(texts.join(marks, "fp").select(F.col("head").alias("a"), F.col("node").alias("b")))
-    pairs = pairs.unionByName(_neighbours(texts)).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    close = links(marks).join(x, "a").join(y, "b").select(F.col("ha").alias("a"), F.col("hb").alias("b"))
+    close = written(close.unionByName(texts.join(marks, "fp").where("head <> node").select(F.col("head").alias("a"), F.col("node").alias("b"))), "close")
+    shared = _shared(texts)
+    least_of = shared.groupBy("band").agg(F.min("node").alias("a"))
+    linked = shared.join(least_of, "band").select("a", F.col("node").alias("b"))
+    homes = written(components(close.unionByName(linked)).select("node", F.col("root").alias("home")), "homes")
+    members = written(texts.join(homes, "node").select("home", "node", "o", "fp", "bands", "size"), "members")
+    large = written(members.groupBy("home").agg(F.count("*").alias("n"), F.sum("size").alias("sizes")).where((F.col("n") > HOME) | (F.col("sizes") > HOME_SHINGLES)).select("home"), "large")
     whole = rows.select(F.col(row).alias("node"), F.col(text).alias("text"))
-    tested = written(pairs, "pairs")
-    edges = written(_verified(tested, whole, shingle, least), "alike")
-    roots = components(edges)
-    for k in range(ROUNDS):
-        alive = texts.join(roots.where("node <> root"), "node", "left_anti")
-        more = _neighbours(alive).unionByName(_across(texts, roots, k))
-        more = more.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        more = written(more, "pairs")
-        found = written(_verified(more, whole, shingle, least), "alike")
-        if found.isEmpty():
-            break
-        tested, edges = tested.unionByName(more), edges.unionByName(found)
-        roots = components(edges)
+    small = members.join(large, "home", "left_anti")
+    met = _met(whole, small.select("node"), small.count())
+    roots = small.select("home", "node", "fp", "bands").join(met, "node").groupBy("home").applyInPandas(_home(shingle, least), "node bigint, root bigint")
+    roots = written(roots, "roots")
+    if not large.isEmpty():
+        many = written(members.join(large, "home", "left_semi"), "many")
+        roots = roots.unionByName(_large(many, close.join(many.select(F.col("node").alias("a")), "a", "left_semi"), whole, shingle, least))
     kept = texts.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("o").alias("o"))
     release(rows.sparkSession)
     return kept.select(F.col("o.row").alias("row"))
