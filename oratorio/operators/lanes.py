@@ -286,8 +286,9 @@ LEAST_WORD, PAST_END = 0.02, 0.05
 def lane_problems(words: DataFrame, clips: DataFrame) -> DataFrame:
     """(clip, pos, problem): all that makes submitted lanes unfit to be stored. words: clip, pos, word, start,
     end, speaker, suggested, source; clips: clip, seconds, speakers (an array). A clip without words is one
-    problem, at pos null: an empty clip is flagged, not attributed."""
-    of = words.join(clips.select("clip", "seconds", F.col("speakers").alias("__known")), "clip")
+    problem, at pos null: an empty clip is flagged, not attributed. Words are not sorted: a task holds its
+    clips and has words pass by."""
+    of = words.join(clips.select("clip", "seconds", F.col("speakers").alias("__known")).hint("shuffle_hash"), "clip")
     text = F.trim(F.coalesce("word", F.lit("")))
     start, end = F.col("start"), F.col("end")
     finite = lambda c: ~F.isnan(c) & (F.abs(c) < float("inf"))
@@ -300,7 +301,7 @@ def lane_problems(words: DataFrame, clips: DataFrame) -> DataFrame:
         F.when((text == "") | text.rlike(r"\s"), "not one word"), F.when(~F.coalesce(F.col("source").isin(*SOURCES), F.lit(False)), "unknown source"), span,
         F.when(F.col("speaker").isNull(), "on no lane").when(~known("speaker"), "unknown speaker"), F.when(F.col("suggested").isNotNull() & ~known("suggested"), "unknown suggestion"),
     ))
-    empty = clips.join(words.select("clip"), "clip", "left_anti").select("clip", F.lit(None).cast("int").alias("pos"), F.lit("no words").alias("problem"))
+    empty = clips.join(words.select("clip").distinct(), "clip", "left_anti").select("clip", F.lit(None).cast("int").alias("pos"), F.lit("no words").alias("problem"))
     return of.select("clip", F.col("pos").cast("int").alias("pos"), F.explode(each).alias("problem")).unionByName(empty)
 
 
