@@ -6,6 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows of a large table that one task of a shuffle takes.
+TASK_ROWS = 1 << 19
+
+
+def dealt(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """rows, n of them, dealt by the keys over a task for each TASK_ROWS, where that is more tasks than the session
+    shuffles into: what a task sorts and adds up, in all joins and sums by these keys, then has one size."""
+    tasks = -(-n // TASK_ROWS)
+    return rows.repartition(tasks, *keys) if tasks > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
 def _bins(rows: DataFrame, start: str, end: str, width: float, name: str) -> DataFrame:
     low, high = F.floor(F.col(start) / width), F.floor(F.col(end) / width)
     return rows.withColumn(name, F.explode(F.sequence(low, F.greatest(low, high))))
