@@ -441,6 +441,8 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     group has one; of repeated rows one stays; extra columns, whatever they are called, stay as they are;
     an empty table gives no rows."""
     rows = numbered(docs)
-    keep = written(representatives(rows, "__row", column_of(docs, "text"), column_of(docs, "doc_id")), "kept")
-    left = rows.join(keep, rows["__row"] == keep["row"], "left_semi")
+    keep = representatives(rows, "__row", column_of(docs, "text"), column_of(docs, "doc_id"))
+    gone = written(rows.select("__row").join(keep.withColumnRenamed("row", "__row"), "__row", "left_anti"), "gone")
+    # most rows stay: where few go, their numbers are broadcast, so that no text is shuffled
+    left = rows.join(F.broadcast(gone) if gone.count() <= 2 * MOST_PAIRS else gone, "__row", "left_anti")
     return left.select(*named_as(left, docs))
