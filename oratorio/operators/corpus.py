@@ -117,11 +117,12 @@ def voice_page(clips: DataFrame, verdicts: DataFrame, limit: int) -> DataFrame:
     return shown.crossJoin(F.broadcast(clips.agg(F.count("*").alias("total"))))
 
 
-def queue_plan(segments: DataFrame, audited: DataFrame, tasks: DataFrame) -> DataFrame:
+def queue_plan(segments: DataFrame, audited: DataFrame, tasks: DataFrame, *more: str) -> DataFrame:
     """Rows (segment_id, queue, priority, action, task_id, new_status), one a segment that waits and has no
     task done: without a seed it is an error, else audited or to be reviewed; its active task is updated, or
     one is inserted, which makes an imported segment queued. segments: (segment_id, pipeline_status, seed_id,
-    priority); audited: (segment_id); tasks: (segment_id, id, status), one active a segment at most."""
+    priority, and more columns, which stay); audited: (segment_id); tasks: (segment_id, id, status), one
+    active a segment at most."""
     waiting = segments.where(F.col("pipeline_status").isin("imported", "queued"))
     open_ = waiting.join(tasks.where("status = 'done'").select("segment_id"), "segment_id", "left_anti")
     active = tasks.where(F.col("status").isin(*ACTIVE)).select("segment_id", F.col("id").alias("task_id"))
@@ -130,7 +131,7 @@ def queue_plan(segments: DataFrame, audited: DataFrame, tasks: DataFrame) -> Dat
     insert = F.col("task_id").isNull()
     return joined.select(
         "segment_id", F.when(F.col("seed_id").isNull(), "error").when(F.col("audited"), "audit").otherwise("review").alias("queue"), "priority",
-        F.when(insert, "insert").otherwise("update").alias("action"), "task_id", F.when(insert, "queued").otherwise(F.col("pipeline_status")).alias("new_status"),
+        F.when(insert, "insert").otherwise("update").alias("action"), "task_id", F.when(insert, "queued").otherwise(F.col("pipeline_status")).alias("new_status"), *more,
     )
 
 

@@ -71,5 +71,5 @@ def queue(segments: DataFrame, hypotheses: DataFrame, flags: DataFrame, known: S
     segments: segment, episode, start, pipeline_status; audited: (segment); tasks: (segment, id, status)."""
     ranked = prioritised(assembled(segments, hypotheses), flags, known)
     waiting = segments.select("segment", "pipeline_status").join(ranked, "segment").withColumnRenamed("segment", "segment_id")
-    plan = queue_plan(waiting, audited.withColumnRenamed("segment", "segment_id"), tasks.withColumnRenamed("segment", "segment_id"))
-    return plan.join(waiting.select("segment_id", "hazards", "unmeasured"), "segment_id").withColumnRenamed("segment_id", "segment")
+    plan = queue_plan(waiting, audited.withColumnRenamed("segment", "segment_id"), tasks.withColumnRenamed("segment", "segment_id"), "hazards", "unmeasured")
+    return plan.withColumnRenamed("segment_id", "segment")
